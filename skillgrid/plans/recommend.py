@@ -47,6 +47,13 @@ def dated(postings: DataFrame) -> DataFrame:
     return stamped.where(F.col("_newest").isNull() | F.col("_ts").isNotNull())
 
 
+def recent_postings(postings: DataFrame, max_age_days: int = 30) -> DataFrame:
+    """Postings at most so many days (1 to 180) older than the newest one; all of them if none has a date."""
+    days = max(1, min(int(max_age_days), 180))
+    recent = F.col("_newest").isNull() | (F.col("_ts") >= F.col("_newest") - F.make_dt_interval(F.lit(days)))
+    return dated(postings).where(recent).drop("_ts", "_newest")
+
+
 def _posting_segments() -> Column:
     """All eight segments a posting belongs to; a null key belongs only where that key is open."""
     keys = [(F.lower(strip(F.col(c))), bit) for c, bit in (("role", ROLE), ("company", COMPANY), ("location", LOCATION))]

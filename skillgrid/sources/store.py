@@ -24,9 +24,10 @@ class MarketStore:
     """
 
     def __init__(self, spark: SparkSession, database: str = "skill_market", buckets: int = 64,
-                 snapshot_root: str | None = None):
+                 snapshot_root: str | None = None, location: str | None = None):
         self.spark, self.database, self.buckets, self.snapshot_root = spark, database, buckets, snapshot_root
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        place = f" LOCATION '{location}'" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"

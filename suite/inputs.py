@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skillgrid.operators.dedupe import with_posting_key
 from skillgrid.operators.demand import demand_cube, demand_rollup, demand_segments
 from skillgrid.session import stored
 from skillgrid.taxonomy import Taxonomy
@@ -29,10 +30,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
               .groupBy("l_orderkey").agg(F.array_sort(F.collect_set("word")).alias("skills")))
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     orders = t("orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
-    return orders.join(skills, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.sha2(F.lower(F.concat_ws("|", "o_orderpriority", F.col("o_orderkey").cast("string"),
-                                   F.concat_ws(" ", "o_orderstatus", "c_mktsegment"), "c_name")), 256)
-        .alias("job_uid"),
+    rows = orders.join(skills, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderpriority").alias("source"),
         F.concat_ws(" ", "o_orderstatus", "c_mktsegment").alias("title"),
         F.col("c_name").alias("company"),
@@ -43,6 +41,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _stamp("o_orderdate").alias("scraped_at"),
         "skills",
     )
+    return with_posting_key(rows)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from skillgrid.functions.binding import bind
 from skillgrid.functions.text import clean_items, strip, title_case
 
 # Display spelling of lower-cased names that plain title case would get wrong.
@@ -87,8 +88,8 @@ def canonical_name(c: Column) -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """First spelling of each name, in order of first appearance."""
-    lowered = F.transform(items, F.lower)
-    return F.filter(items, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)
+    return bind(items, lambda names: bind(F.transform(names, F.lower), lambda lowered: F.filter(
+        names, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)))
 
 
 def resolve_name(c: Column) -> Column:
@@ -115,9 +116,8 @@ def categorize(skill: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two skill lists, ignoring case; two empty lists are alike, one empty list is like nothing."""
     left, right = (F.array_distinct(F.transform(x, F.lower)) for x in (a, b))
-    both_empty = (F.size(left) == 0) & (F.size(right) == 0)
-    return F.when(both_empty, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right)))
+    together = F.size(F.array_union(left, right))
+    return F.when(together == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / together)
 
 
 def truncated_percent(part: Column, total: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from skillgrid.functions.binding import bind
+
 # Every character Python's str.strip / str.split treat as white space.
 _SPACE_RANGES = [
     (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
@@ -71,12 +73,20 @@ def words(c: Column) -> Column:
 
 def word_chunks(all_words: Column, size: int = 700, overlap: int = 90) -> Column:
     """Overlapping windows of words as an array of texts; the last window is the one that reaches the end."""
-    stride = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(all_words) - F.lit(overlap + 1)), F.lit(stride))
-    return F.when(
-        F.size(all_words) > 0,
-        F.transform(starts, lambda at: F.array_join(F.slice(all_words, at + 1, size), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    def windows(listed: Column) -> Column:
+        last_start = F.greatest(F.lit(0), F.size(listed) - F.lit(overlap + 1))
+        starts = F.sequence(F.lit(0), last_start, F.lit(size - overlap))
+        return F.when(
+            F.size(listed) > 0, F.transform(starts, lambda at: F.array_join(F.slice(listed, at + 1, size), " ")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return bind(all_words, windows)
+
+
+def chunk_count(all_words: Column, size: int = 700, overlap: int = 90) -> Column:
+    n = F.size(all_words)
+    more = F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)))
+    return F.when(n > 0, more + 1).otherwise(0).cast("int")
 
 
 def clean_text(c: Column) -> Column:

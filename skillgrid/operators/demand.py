@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgrid.functions.skills import BASELINE_DEMAND
 from skillgrid.functions.text import filter_key, segment_key
+from skillgrid.operators.unnest import unnest, unnest_structs
 
 ROLE, COMPANY, LOCATION = 4, 2, 1
 SEGMENT = ["kept", "role_key", "company_key", "location_key"]
@@ -68,7 +69,7 @@ def demand_segments(cube: DataFrame) -> DataFrame:
     The array has at most one entry per taxonomy term, so its length does not grow with the data.
     """
     entry = F.struct((-F.col("demand_count")).alias("minus"), "skill")
-    ranked = F.array_sort(F.collect_list(entry))
+    ranked = F.sort_array(F.collect_list(entry))
     return cube.groupBy(*SEGMENT).agg(
         F.transform(ranked, lambda e: F.struct((-e["minus"]).alias("demand_count"), e["skill"].alias("skill")))
         .alias("demand"))
@@ -117,7 +118,7 @@ def relaxation_levels(filters: DataFrame) -> DataFrame:
     ]
     options = [F.when(applies, F.struct(F.lit(i + 1).alias("level"), *_segment(*keys)))
                for i, (applies, keys) in enumerate(steps)]
-    return filters.select("*", F.inline(F.filter(F.array(*options), lambda o: o.isNotNull())))
+    return unnest_structs(filters, filters.columns, F.array_compact(F.array(*options)))
 
 
 def resolve_segments(requests: DataFrame, segments: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def _live_array(live: DataFrame | None) -> Column:
     """Demand of the last stream batch (a table of at most ten rows) as one array."""
     if live is None:
         return F.array().cast(DEMAND_ARRAY)
-    ranked = live.agg(F.array_sort(F.collect_list(F.struct(
+    ranked = live.agg(F.sort_array(F.collect_list(F.struct(
         F.col("rank"), F.col("demand_count").cast("bigint").alias("demand_count"), F.col("skill")))).alias("d"))
     return F.transform(ranked.scalar(), lambda e: F.struct(e["demand_count"], e["skill"])).cast(DEMAND_ARRAY)
 
@@ -190,9 +191,8 @@ def attach_demand(requests: DataFrame, segments: DataFrame, live: DataFrame | No
 
 def demand_rows(answered: DataFrame, keys: list[str]) -> DataFrame:
     """One row per request and demanded skill, with its rank."""
-    exploded = answered.select(*keys, "market_source", F.posexplode("demand").alias("_at", "_entry"))
-    return exploded.select(*keys, "market_source", (F.col("_at") + 1).alias("rank"),
-                           F.col("_entry.skill").alias("skill"), F.col("_entry.demand_count").alias("demand_count"))
+    return unnest(answered, [*keys, "market_source"], "demand").select(
+        *keys, "market_source", (F.col("_at") + 1).alias("rank"), "_item.skill", "_item.demand_count")
 
 
 def baseline_demand(spark, top_n: int | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skillgrid.functions.binding import bind
 from skillgrid.functions.skills import CATEGORY_RULES, OTHER_CATEGORY, categorize, clamp, truncated_percent
+from skillgrid.operators.unnest import unnest, unnest_structs
 
 
 def _total(entries: Column) -> Column:
@@ -32,7 +34,7 @@ def with_gap(answered: DataFrame) -> DataFrame:
     wanted = F.filter("_have", lambda n: F.exists("_hit", lambda d: F.lower(d["skill"]) == n))
     df = df.withColumn("_wanted", wanted)
     df = df.withColumn("matching_skills", F.transform(
-        F.array_sort(F.transform("_wanted", match)),
+        F.sort_array(F.transform("_wanted", match)),
         lambda m: F.struct(m["skill"].alias("skill"), (-m["minus"]).alias("demand_count"))))
     df = df.withColumn("_advice", clamp(F.col("top_n"), 5, 100))
     df = df.withColumn("recommendations", recommendations(F.col("_gap"), F.col("_advice")))
@@ -75,9 +77,9 @@ def recommendations(missing: Column, top_n: Column) -> Column:
 
 def unfold(gaps: DataFrame, keys: list[str], column: str) -> DataFrame:
     """One row per entry of a result array, with its rank."""
-    rows = gaps.select(*keys, F.posexplode(column).alias("_at", "_entry"))
-    fields = [f.name for f in rows.schema["_entry"].dataType.fields if f.name != "rank"]
-    return rows.select(*keys, (F.col("_at") + 1).alias("rank"), *[F.col(f"_entry.{f}").alias(f) for f in fields])
+    rows = unnest(gaps, keys, column)
+    fields = [f.name for f in rows.schema["_item"].dataType.fields if f.name != "rank"]
+    return rows.select(*keys, (F.col("_at") + 1).alias("rank"), *[F.col(f"_item.{f}").alias(f) for f in fields])
 
 
 # The strict report knows only these two labels; every other category's skills are left out of it.
@@ -93,11 +95,10 @@ def category_gaps(answered: DataFrame, keys: list[str], strict: bool = False) ->
         d["skill"].alias("skill"),
         F.array_contains(resume, F.lower(d["skill"])).alias("has"),
     ))
-    df = answered.select(*keys, flagged.alias("_flagged"))
-    df = df.withColumn("_groups", F.transform(
+    groups = bind(flagged, lambda listed: F.transform(
         F.array(*[F.lit(x) for x in labels]),
-        lambda c: F.struct(c.alias("category"), F.filter("_flagged", lambda f: f["category"] == c).alias("members"))))
-    rows = df.select(*keys, F.inline(F.filter("_groups", lambda g: F.size(g["members"]) > 0)))
+        lambda c: F.struct(c.alias("category"), F.filter(listed, lambda f: f["category"] == c).alias("members"))))
+    rows = unnest_structs(answered, keys, F.filter(groups, lambda g: F.size(g["members"]) > 0))
     total = F.size("members")
     has = F.size(F.filter("members", lambda m: m["has"]))
     lacking = F.transform(F.filter("members", lambda m: ~m["has"]), lambda m: m["skill"])

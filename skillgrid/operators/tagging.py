@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgrid.functions.skills import lookup
-from skillgrid.functions.text import WORD_CLASS, word_chunks, word_runs, words
+from skillgrid.functions.text import WORD_CLASS, chunk_count, word_chunks, word_runs, words
+from skillgrid.operators.unnest import unnest, unnest_structs
 from skillgrid.taxonomy import Taxonomy
 
 
@@ -77,23 +78,23 @@ def with_skill_hits(df: DataFrame, text: str, taxonomy: Taxonomy, out: str = "hi
             F.size(F.filter(F.col(found), lambda f: f == t)).cast("bigint").alias("mentions"),
         ),
     )
-    return df.withColumn(out, F.array_sort(counted)).drop(lowered, runs, found)
+    return df.withColumn(out, F.sort_array(counted)).drop(lowered, runs, found)
 
 
 def skill_mentions(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy) -> DataFrame:
     """One row per text and skill found in it."""
     tagged = with_skill_hits(df.select(*keys, text), text, taxonomy)
-    return tagged.select(*keys, F.inline("hits")).drop("position", "term")
+    return unnest_structs(tagged, keys, "hits").select(*keys, "skill", "mentions")
 
 
 def skill_list(hits: Column) -> Column:
     """Distinct skill names, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["skill"])))
+    return F.sort_array(F.array_distinct(F.transform(hits, lambda h: h["skill"])))
 
 
 def top_hits(hits: Column, top_n: int | None = 25) -> Column:
     """Most-mentioned skills first, taxonomy order among equals; ``None`` keeps all."""
-    ranked = F.array_sort(F.transform(hits, lambda h: F.struct(
+    ranked = F.sort_array(F.transform(hits, lambda h: F.struct(
         (-h["mentions"]).alias("minus"), h["position"].alias("position"),
         h["skill"].alias("skill"), h["mentions"].alias("mentions"))))
     if top_n is not None:
@@ -104,7 +105,7 @@ def top_hits(hits: Column, top_n: int | None = 25) -> Column:
 
 def top_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy, top_n: int | None = 25) -> DataFrame:
     tagged = with_skill_hits(df.select(*keys, text), text, taxonomy)
-    return tagged.select(*keys, F.inline(top_hits(F.col("hits"), top_n)))
+    return unnest_structs(tagged, keys, top_hits(F.col("hits"), top_n))
 
 
 def required_skills(df: DataFrame, keys: list[str], text: str, required: list[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def required_skills(df: DataFrame, keys: list[str], text: str, required: list[st
     present = F.transform("hits", lambda h: h["term"])
     checks = F.array(*[F.struct(F.lit(r).alias("skill"), F.array_contains(present, r.lower()).alias("found"))
                        for r in dict.fromkeys(required)])
-    return tagged.select(*keys, F.inline(checks))
+    return unnest_structs(tagged, keys, checks)
 
 
 def tag_postings(postings: DataFrame, taxonomy: Taxonomy) -> DataFrame:
@@ -126,21 +127,21 @@ def tag_postings(postings: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 def chunk_texts(df: DataFrame, keys: list[str], text: str, size: int = 700, overlap: int = 90) -> DataFrame:
     """One row per overlapping word window of each text; texts without a word give no row."""
     split = df.select(*keys, words(F.col(text)).alias("_words"))
-    return split.select(*keys, F.posexplode(word_chunks(F.col("_words"), size, overlap)).alias("chunk", "chunk_text"))
+    return unnest(split, keys, word_chunks(F.col("_words"), size, overlap), "chunk_text", "chunk")
 
 
 def resume_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy,
                   size: int = 700, overlap: int = 90) -> DataFrame:
     """Per text and skill the largest count over the text's chunks."""
     chunks = with_skill_hits(chunk_texts(df, keys, text, size, overlap), "chunk_text", taxonomy)
-    hits = chunks.select(*keys, F.inline("hits"))
+    hits = unnest_structs(chunks, keys, "hits")
     return hits.groupBy(*keys, "skill").agg(F.max("mentions").alias("score"))
 
 
 def extraction_summary(chunk_meta: DataFrame, keys: list[str]) -> DataFrame:
     """Merge the metadata of a text's chunks (mode, model version, fallback flag, taxonomy size)."""
     def joined(column: str, separator: str) -> Column:
-        return F.concat_ws(separator, F.array_sort(F.collect_set(column)))
+        return F.concat_ws(separator, F.sort_array(F.collect_set(column)))
 
     return chunk_meta.groupBy(*keys).agg(
         joined("extraction_mode", "+").alias("extraction_mode"),
@@ -162,11 +163,11 @@ def resume_report(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy,
         *keys,
         F.length(body).alias("text_length"),
         F.substring(body, 1, preview).alias("preview"),
-        F.size(word_chunks(words(body), size, overlap)).alias("chunks_processed"),
+        chunk_count(words(body), size, overlap).alias("chunks_processed"),
     )
     scored = resume_skills(df, keys, text, taxonomy, size, overlap)
     # At most one entry per taxonomy term in each group.
-    found = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("skill", "score"))).alias("skill_details"))
+    found = scored.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("skill", "score"))).alias("skill_details"))
     has_words = F.col("chunks_processed") > 0
     details = F.coalesce("skill_details", F.array().cast("array<struct<skill:string,score:bigint>>"))
     return base.join(found, keys, "left").select(

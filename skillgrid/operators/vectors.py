@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skillgrid.functions.skills import canonical_name, score_points
+from skillgrid.operators.unnest import unnest
 from skillgrid.taxonomy import MAX_TERMS
 
 TOP_K_MAX = 120
@@ -69,10 +70,10 @@ def hybrid_hits(similar: DataFrame, mentioned: DataFrame, key: str, top_k: int =
     text_hits = mentioned.select(key, canonical_name(F.col("skill")).alias("name"), F.lit(float(threshold)).alias("score"))
     merged = similar.select(key, "name", "score").unionByName(text_hits).groupBy(key, "name").agg(
         F.bround(F.max("score"), 4).alias("score"))
-    ranked = merged.groupBy(key).agg(F.array_sort(F.collect_list(
+    ranked = merged.groupBy(key).agg(F.sort_array(F.collect_list(
         F.struct((-F.col("score")).alias("minus"), "name"))).alias("all"))
-    return ranked.select(key, F.posexplode(F.slice("all", 1, k)).alias("at", "hit")).select(
-        key, (F.col("at") + 1).alias("rank"), F.col("hit.name").alias("name"), (-F.col("hit.minus")).alias("score"))
+    return unnest(ranked, [key], F.slice("all", 1, k)).select(
+        key, (F.col("_at") + 1).alias("rank"), "_item.name", (-F.col("_item.minus")).alias("score"))
 
 
 def ensemble_tags(similar: DataFrame, mentioned: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD,

@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from skillgrid.functions.binding import bind
 from skillgrid.functions.skills import clamp, fit_score
 from skillgrid.functions.text import clean_items, parse_skill_cell, parse_stamp, shown_or_default, strip
 from skillgrid.operators.demand import COMPANY, LOCATION, ROLE, SEGMENT, attach_demand, with_exact_segment
 from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
+from skillgrid.operators.unnest import unnest_structs
 from skillgrid.taxonomy import Taxonomy
 
 # Rows of a key table that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 # Requests on one segment that share one copy of its candidates.
-REQUESTS_PER_COPY = 1_000
+REQUESTS_PER_COPY = 200
 
+# No request reaches further back, so older postings are dropped before anything is shuffled.
+MAX_AGE_DAYS = 180
 DEMAND_DEPTH = 100
 MISSING_SHOWN = 8
 
@@ -39,19 +43,24 @@ def _candidate_skills(postings: DataFrame, taxonomy: Taxonomy | None) -> DataFra
     return df.withColumn("skills", skills).drop("_text", "hits")
 
 
-def dated(postings: DataFrame) -> DataFrame:
-    """Add the parsed date and the age behind the newest posting; undated rows leave once any row has a date."""
+def newest_stamp(postings: DataFrame) -> Column:
+    return postings.agg(F.max(parse_stamp(F.col("scraped_at"))).alias("t")).scalar()
+
+
+def dated(postings: DataFrame, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
+    """Add the parsed date and the newest date of all postings; keep postings at most so many days older than it.
+
+    Undated postings leave once any posting has a date, and all stay if none has one.
+    """
     stamped = postings.withColumn("_ts", parse_stamp(F.col("scraped_at")))
-    newest = postings.agg(F.max(parse_stamp(F.col("scraped_at"))).alias("t")).scalar()
-    stamped = stamped.withColumn("_newest", newest)
-    return stamped.where(F.col("_newest").isNull() | F.col("_ts").isNotNull())
+    stamped = stamped.withColumn("_newest", newest_stamp(postings))
+    days = F.lit(max(1, min(int(max_age_days), MAX_AGE_DAYS)))
+    return stamped.where(F.col("_newest").isNull() | (F.col("_ts") >= F.col("_newest") - F.make_dt_interval(days)))
 
 
 def recent_postings(postings: DataFrame, max_age_days: int = 30) -> DataFrame:
     """Postings at most so many days (1 to 180) older than the newest one; all of them if none has a date."""
-    days = max(1, min(int(max_age_days), 180))
-    recent = F.col("_newest").isNull() | (F.col("_ts") >= F.col("_newest") - F.make_dt_interval(F.lit(days)))
-    return dated(postings).where(recent).drop("_ts", "_newest")
+    return dated(postings, max_age_days).drop("_ts", "_newest")
 
 
 def _posting_segments() -> Column:
@@ -65,7 +74,7 @@ def _posting_segments() -> Column:
                 usable = usable & key.isNotNull()
         picked = [(key if mask & bit else F.lit("")).alias(name) for (key, bit), name in zip(keys, SEGMENT[1:])]
         options.append(F.when(usable, F.struct(F.lit(mask).alias("kept"), *picked)))
-    return F.filter(F.array(*options), lambda o: o.isNotNull())
+    return F.array_compact(F.array(*options))
 
 
 def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
@@ -75,7 +84,7 @@ def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataF
     every segment is cut to its newest rows first and the join follows, so that no shuffle meets the full size of the
     all-open segment.
     """
-    spread = postings.select("*", F.inline(_posting_segments()))
+    spread = unnest_structs(postings, postings.columns, _posting_segments())
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
         spread = spread.join(F.broadcast(wanted), SEGMENT, "left_semi")
@@ -85,8 +94,7 @@ def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataF
         top = top.join(wanted, SEGMENT, "left_semi")
     shown = F.struct(
         "job_uid", "source", "title", "company", "location", "role", "url", "skills",
-        F.array_distinct(F.transform("skills", F.lower)).alias("names"), F.col("_ts").alias("ts"),
-        F.col("_newest").alias("newest"))
+        F.array_distinct(F.transform("skills", F.lower)).alias("names"), F.col("_ts").alias("ts"))
     # At most ``cap`` entries per group.
     return top.groupBy(*SEGMENT).agg(F.collect_list(shown).alias("_candidates"))
 
@@ -96,27 +104,32 @@ def _last_spelling(skills: Column, name: Column) -> Column:
 
 
 def score_candidates(df: DataFrame) -> DataFrame:
-    """Score the ``_candidates`` of each row against ``_mine``; adds ``total`` and the ranked ``jobs``."""
-    days = clamp(F.coalesce(F.col("max_age_days"), F.lit(30)), 1, 180)
-    fresh = F.filter("_candidates", lambda c: c["newest"].isNull()
-                     | (c["ts"] >= c["newest"] - F.make_dt_interval(days)))
-    df = df.withColumn("_fresh", fresh)
+    """Score each row's ``_candidates`` since ``_cutoff`` against ``_mine``; adds ``total`` and the ranked ``jobs``."""
+    df = df.withColumn("_fresh", F.filter("_candidates", lambda c: F.col("_cutoff").isNull()
+                                          | (c["ts"] >= F.col("_cutoff"))))
     overlap = F.transform("_fresh", lambda c, i: F.struct(
-        i.alias("i"), F.array_intersect(c["names"], F.col("_mine")).alias("matched")))
+        i.alias("i"), c["job_uid"].alias("job_uid"), F.size(c["names"]).alias("size"),
+        F.array_intersect(c["names"], F.col("_mine")).alias("matched")))
     df = df.withColumn("_overlap", F.filter(overlap, lambda o: F.size(o["matched"]) > 0))
+    limit = clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, 20)
+
+    # Fit and overlap decide first. Only postings that reach the last shown place on these, ties included, can be
+    # shown, so alignment is worked out for them alone.
+    df = df.withColumn("_points", F.transform("_overlap", lambda o: (
+        fit_score(F.size(o["matched"]), o["size"]).cast("bigint") * 2**32 + F.size(o["matched"]))))
+    last = F.get(F.sort_array("_points", asc=False), F.least(limit, F.size("_points")) - 1)
+    df = df.withColumn("_near", bind(last, lambda floor: F.filter(
+        "_overlap", lambda o, i: F.get(F.col("_points"), i) >= floor)))
 
     def rank_key(o: Column) -> Column:
-        posting = F.get(F.col("_fresh"), o["i"])
         count = F.size(o["matched"])
         aligned = F.aggregate(
-            F.filter("_wanted", lambda d: F.array_contains(o["matched"], F.lower(d["skill"]))),
-            F.lit(0).cast("bigint"), lambda acc, d: acc + d["demand_count"])
-        return F.struct((-fit_score(count, F.size(posting["names"]))).alias("fit"), (-count).alias("count"),
-                        (-aligned).alias("aligned"), posting["job_uid"].alias("job_uid"), o["i"].alias("i"),
-                        o["matched"].alias("matched"))
+            "_wanted", F.lit(0).cast("bigint"),
+            lambda acc, d: acc + F.when(F.array_contains(o["matched"], d["name"]), d["demand_count"]).otherwise(0))
+        return F.struct((-fit_score(count, o["size"])).alias("fit"), (-count).alias("count"),
+                        (-aligned).alias("aligned"), o["job_uid"], o["i"], o["matched"])
 
-    df = df.withColumn("_scored", F.transform("_overlap", rank_key))
-    df = df.withColumn("_best", F.slice(F.array_sort("_scored"), 1, clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, 20)))
+    df = df.withColumn("_best", F.slice(F.sort_array(F.transform("_near", rank_key)), 1, limit))
 
     def job(s: Column, at: Column) -> Column:
         p = F.get(F.col("_fresh"), s["i"])
@@ -128,14 +141,14 @@ def score_candidates(df: DataFrame) -> DataFrame:
             shown_or_default(p["location"], "Unknown location").alias("location"),
             F.coalesce(strip(p["role"]), F.lit("")).alias("role"), F.coalesce(strip(p["url"]), F.lit("")).alias("url"),
             (-s["fit"]).alias("fit_score"),
-            F.transform(F.array_sort(s["matched"]), lambda n: _last_spelling(p["skills"], n)).alias("matched_skills"),
-            F.slice(F.array_sort(F.transform(missing, lambda n: _last_spelling(p["skills"], n))), 1, MISSING_SHOWN)
+            F.transform(F.sort_array(s["matched"]), lambda n: _last_spelling(p["skills"], n)).alias("matched_skills"),
+            F.slice(F.sort_array(F.transform(missing, lambda n: _last_spelling(p["skills"], n))), 1, MISSING_SHOWN)
             .alias("missing_skills"),
             (-s["count"]).alias("matched_count"), F.size(p["skills"]).alias("job_skill_count"),
             (-s["aligned"]).alias("demand_alignment"), F.coalesce(p["source"], F.lit("")).alias("source"),
         )
 
-    return df.withColumn("total", F.size("_scored")).withColumn("jobs", F.transform("_best", job))
+    return df.withColumn("total", F.size("_overlap")).withColumn("jobs", F.transform("_best", job))
 
 
 def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataFrame, live: DataFrame | None = None,
@@ -148,8 +161,12 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
     mine = F.array_distinct(clean_items(F.transform("resume_skills", F.lower)))
     valid = requests.withColumn("_mine", mine).where(F.size("_mine") > 0)
     answered = attach_demand(valid.withColumn("top_n", F.lit(DEMAND_DEPTH)), segments, live)
-    wanted = F.filter("demand", lambda d: F.array_contains("_mine", F.lower(d["skill"])))
-    narrowed = answered.withColumn("_wanted", wanted).select(*requests.columns, "_mine", "_wanted")
+    named = F.transform("demand", lambda d: F.struct(F.lower(d["skill"]).alias("name"), d["demand_count"]))
+    wanted = F.filter(named, lambda d: F.array_contains("_mine", d["name"]))
+    days = clamp(F.coalesce(F.col("max_age_days"), F.lit(30)), 1, MAX_AGE_DAYS)
+    narrowed = answered.withColumn("_wanted", wanted).withColumn(
+        "_cutoff", newest_stamp(postings) - F.make_dt_interval(days)).select(
+        *requests.columns, "_mine", "_wanted", "_cutoff")
 
     asked = with_exact_segment(requests.select("request_id", "role", "company", "region"))
     popular = asked.groupBy(*SEGMENT).agg(F.count("*").alias("_requests"))
@@ -162,7 +179,9 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
         *SEGMENT, "_candidates", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
     placed = with_exact_segment(narrowed).join(copies, SEGMENT).withColumn(
         "_copy", F.pmod(F.xxhash64("request_id"), F.col("_copies")).cast("int")).drop("_copies")
-    paired = placed.join(copied, [*SEGMENT, "_copy"], "left")
+    # Scoring costs far more than its input bytes suggest; a given partition count keeps them from being merged.
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paired = placed.repartition(parts, *SEGMENT, "_copy").join(copied, [*SEGMENT, "_copy"], "left")
     scored = score_candidates(paired)
     result = (
         F.when(F.col("_candidates").isNull() | (F.size("_fresh") == 0), F.lit("snapshot_no_matches"))
@@ -174,4 +193,4 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
 
 def recommended_jobs(answered: DataFrame) -> DataFrame:
     """One row per request and recommended posting."""
-    return answered.select("request_id", "total", F.inline("jobs"))
+    return unnest_structs(answered, ["request_id", "total"], "jobs")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgrid.functions.text import absolute_link, strip, utc_stamp
+from skillgrid.operators.unnest import unnest
 
 
 def _tag(name: str, attribute: str | None = None, value: str | None = None) -> str:
@@ -110,7 +111,7 @@ def _cards(html: Column, layout: ListingLayout) -> Column:
 
 def page_cards(pages: DataFrame, layout: ListingLayout, keep: list[str]) -> DataFrame:
     """One row per card of a page: position and the card's HTML."""
-    return pages.select(*keep, F.posexplode(_cards(F.col("html"), layout)).alias("position", "card"))
+    return unnest(pages, keep, _cards(F.col("html"), layout), "card", "position")
 
 
 def href(opening_tag: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgrid.functions.text import collapse_spaces, contains_query, or_default, strip, utc_stamp
+from skillgrid.operators.unnest import unnest
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,7 @@ def postings_from_payloads(payloads: DataFrame, source: str, scraped_at: Column
     shape = SHAPES[source]
     carried = keep or []
     parsed = payloads.withColumn("_body", F.from_json("payload", shape.schema()))
-    jobs = parsed.select("query", "location", *carried,
-                         F.posexplode(F.col(f"_body.{shape.root}")).alias("position", "_job"))
+    jobs = unnest(parsed, ["query", "location", *carried], f"_body.{shape.root}", "_job", "position")
     place: Column | str = shape.default_location
     if shape.searched_location:
         place = F.coalesce(F.nullif(F.col("location"), F.lit("")), F.lit(shape.default_location))

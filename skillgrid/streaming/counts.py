@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from skillgrid.operators.tagging import with_skill_hits
+from skillgrid.operators.unnest import unnest, unnest_structs
 from skillgrid.taxonomy import Taxonomy
 
 # The message fields that are read, and the terms of the simple mode.
@@ -51,7 +52,7 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 def count_skills(messages: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Per skill: postings that name it and how often it is named."""
     good = parsed_messages(messages).where(~F.col("rejected"))
-    hits = with_skill_hits(good.select("text"), "text", taxonomy).select(F.inline("hits"))
+    hits = unnest_structs(with_skill_hits(good.select("text"), "text", taxonomy), [], "hits")
     return hits.groupBy("skill", "position").agg(
         F.count("*").alias("postings"), F.sum("mentions").alias("mentions"))
 
@@ -62,18 +63,18 @@ def count_terms(messages: DataFrame, terms: list[str] | None = None) -> DataFram
     listed = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(t).alias("term"), F.lit(t.title()).alias("skill"))
                        for i, t in enumerate(SIMPLE_TERMS if terms is None else terms)])
     found = F.filter(listed, lambda e: F.contains(F.col("text"), F.lower(e["term"])))
-    return good.select(F.inline(found)).groupBy("skill", "position").agg(
+    return unnest_structs(good, [], found).groupBy("skill", "position").agg(
         F.count("*").alias("postings")).withColumn("mentions", F.col("postings"))
 
 
 def top_of_batch(counts: DataFrame, top_n: int = 10) -> DataFrame:
     """The batch's leading skills by count, taxonomy order among equals."""
     top = counts.orderBy(F.desc("mentions"), "position").limit(top_n)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct(
+    ranked = top.agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("mentions")).alias("minus"), "position", "skill", "postings"))).alias("rows"))
-    return ranked.select(F.posexplode("rows").alias("at", "r")).select(
-        (F.col("at") + 1).alias("rank"), F.col("r.skill").alias("skill"), F.col("r.postings").alias("postings"),
-        (-F.col("r.minus")).alias("demand_count"))
+    return unnest(ranked, [], "rows").select(
+        (F.col("_at") + 1).alias("rank"), "_item.skill", "_item.postings",
+        (-F.col("_item.minus")).alias("demand_count"))
 
 
 class SkillCountSink:

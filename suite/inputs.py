@@ -21,13 +21,17 @@ def _stamp(column: str):
     return F.date_format(F.col(column), "yyyy-MM-dd'T'HH:mm:ssxxx")
 
 
+def distinct_words(column: str):
+    """Sorted distinct words of a group's names; names come from a small vocabulary, so the set stays small."""
+    return F.sort_array(F.array_distinct(F.split(F.array_join(F.collect_set(column), " "), " ")))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per order with lines; its skills are the words of its parts' names."""
     t = lambda name: table(spark, sf_dir, name)
-    words = t("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
     lines = t("lineitem").select("l_orderkey", "l_partkey")
-    skills = (lines.join(words, lines.l_partkey == words.p_partkey)
-              .groupBy("l_orderkey").agg(F.array_sort(F.collect_set("word")).alias("skills")))
+    named = lines.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    skills = named.groupBy("l_orderkey").agg(distinct_words("p_name").alias("skills"))
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     orders = t("orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
     rows = orders.join(skills, F.col("o_orderkey") == F.col("l_orderkey")).select(
@@ -50,9 +54,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = (
         t("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
         .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")),
-              F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("o_custkey").agg(F.array_sort(F.collect_set("word")).alias("words"))
+        .join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("o_custkey").agg(distinct_words("p_name").alias("words"))
     )
     people = (
         t("customer")
@@ -95,6 +98,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One resume per conversation: its turns in order."""
     turns = table(spark, sf_dir, "conversations")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "text")))
     return turns.groupBy("conv_id").agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("text"))

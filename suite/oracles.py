@@ -80,7 +80,7 @@ relaxed AS (SELECT f.* FROM full_demand f JOIN requests r USING (request_id) WHE
 
 GAP = """
 flags AS (
-  SELECT d.*, r.resume, r.top_n, list_contains(list_transform(r.resume, x -> lower(x)), lower(d.skill)) AS has
+  SELECT d.*, r.resume, r.top_n, list_contains(list_transform(r.resume, lambda x: lower(x)), lower(d.skill)) AS has
   FROM relaxed d JOIN requests r USING (request_id)),
 missing AS (
   SELECT request_id, skill, demand_count, top_n,
@@ -89,8 +89,8 @@ missing AS (
 matching AS (
   SELECT request_id, skill_shown AS skill, demand_count,
          CAST(row_number() OVER (PARTITION BY request_id ORDER BY demand_count DESC, first_at) AS INTEGER) AS rank
-  FROM (SELECT f.request_id, f.demand_count, list_position(list_transform(f.resume, x -> lower(x)), lower(f.skill)) AS first_at,
-               list_filter(f.resume, x -> lower(x) = lower(f.skill))[-1] AS skill_shown
+  FROM (SELECT f.request_id, f.demand_count, list_position(list_transform(f.resume, lambda x: lower(x)), lower(f.skill)) AS first_at,
+               list_filter(f.resume, lambda x: lower(x) = lower(f.skill))[-1] AS skill_shown
         FROM flags f WHERE has))"""
 
 MARKET = f"WITH {POSTINGS},{DEMAND}"
@@ -135,7 +135,7 @@ mentions AS (
 
 
 def _chunks(texts: str, keys: str, key: str, text: str = "text") -> str:
-    return f"""split AS (SELECT {keys}, list_filter(regexp_split_to_array({text}, '{_SPACE}+'), x -> x <> '') AS w FROM {texts}),
+    return f"""split AS (SELECT {keys}, list_filter(regexp_split_to_array({text}, '{_SPACE}+'), lambda x: x <> '') AS w FROM {texts}),
 chunks AS (
   SELECT {keys}, CAST((s - 1) // 610 AS INTEGER) AS chunk, array_to_string(w[s:s + 699], ' ') AS chunk_text
   FROM (SELECT {keys}, w, unnest(range(1, greatest(0, len(w) - 91) + 2, 610)) AS s FROM split WHERE len(w) > 0))"""
@@ -158,12 +158,12 @@ _LIST = "(SELECT string_agg({0}, ',' ORDER BY {0}) FROM {1})"
 _CENTROIDS = f"""{TERMS_CTE},
 vectors AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 means AS (
-  SELECT label, list(mean ORDER BY at) AS v FROM (
-    SELECT label, at, avg(x) AS mean FROM (
-      SELECT label, unnest(range(1, len(embedding) + 1)) AS at, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
-    GROUP BY label, at) GROUP BY label),
+  SELECT label, list(mean ORDER BY pos) AS v FROM (
+    SELECT label, pos, avg(x) AS mean FROM (
+      SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+    GROUP BY label, pos) GROUP BY label),
 labelled AS (SELECT skill AS name, v FROM means JOIN terms ON label = position),
-similar AS (
+sims AS (
   SELECT doc_id, name, round_even(s, 4) AS score FROM (
     SELECT a.doc_id, b.name, list_cosine_similarity(a.v, b.v) AS s FROM vectors a CROSS JOIN labelled b)
   WHERE s >= 0.18 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, name) <= 3)"""
@@ -247,7 +247,7 @@ ORACLES: dict[str, str] = {
           WHERE p.ts >= (SELECT max(ts) FROM postings) - to_days(CAST(r.days AS INTEGER))
           QUALIFY row_number() OVER (PARTITION BY r.request_id ORDER BY p.scraped_at DESC, p.job_uid) <= 800),
         pairs AS (
-          SELECT *, list_sort(list_intersect(skills, list_transform(resume, x -> lower(x)))) AS matched FROM cand),
+          SELECT *, list_sort(list_intersect(skills, list_transform(resume, lambda x: lower(x)))) AS matched FROM cand),
         aligned AS (
           SELECT request_id, job_uid, sum(d.demand_count) AS alignment
           FROM (SELECT request_id, job_uid, unnest(matched) AS skill FROM pairs) m
@@ -263,12 +263,12 @@ ORACLES: dict[str, str] = {
           CAST(fit AS INTEGER) AS fit_score, CAST(m AS INTEGER) AS matched_count,
           CAST(alignment AS BIGINT) AS demand_alignment, CAST(len(skills) AS INTEGER) AS job_skill_count,
           array_to_string(matched, ',') AS matched_skills,
-          array_to_string(list_sort(list_filter(skills, x -> NOT list_contains(matched, x)))[1:8], ',') AS missing_skills
+          array_to_string(list_sort(list_filter(skills, lambda x: NOT list_contains(matched, x)))[1:8], ',') AS missing_skills
         FROM ranked WHERE rank <= least(20, lim)""",
     "recent_postings": f"""WITH {POSTINGS},{COPIES} SELECT job_uid, role, scraped_at FROM every_copy
         WHERE ts >= (SELECT max(ts) FROM every_copy) - INTERVAL 90 DAY""",
     "skill_jaccard": f"""WITH {POSTINGS},{REQUESTS},
-        pairs AS (SELECT job_uid, skills, list_distinct(list_transform(resume, x -> lower(x))) AS own
+        pairs AS (SELECT job_uid, skills, list_distinct(list_transform(resume, lambda x: lower(x))) AS own
                   FROM postings p JOIN requests r ON p.company = r.company_raw)
         SELECT job_uid, round_even(len(list_intersect(skills, own))
                  / (len(skills) + len(own) - len(list_intersect(skills, own))), 6) AS similarity FROM pairs""",
@@ -325,8 +325,8 @@ ORACLES: dict[str, str] = {
             CASE WHEN p_size < 10 THEN 'Kubernetes' WHEN p_size < 20 THEN 'PostgreSQL' WHEN p_size < 30 THEN 'Node.js'
                  WHEN p_size < 40 THEN 'D3.Js' END AS extra FROM part),
         named AS (SELECT p_partkey, list_filter(list_concat([extra, upper(p_type[1]) || lower(p_type[2:])],
-            list_transform(w, x -> upper(x[1]) || lower(x[2:])), ['Kubernetes']), x -> x IS NOT NULL) AS names FROM raw)
-        SELECT p_partkey, array_to_string(list_filter(names, (x, i) -> list_position(names, x) = i), '|') AS normalized
+            list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), ['Kubernetes']), lambda x: x IS NOT NULL) AS names FROM raw)
+        SELECT p_partkey, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), '|') AS normalized
         FROM named""",
     "parse_skills_cell": f"""WITH {POSTINGS} SELECT job_uid,
           CASE WHEN source = '4-NOT SPECIFIED' THEN '' ELSE array_to_string(skills, '|') END AS skills FROM postings""",
@@ -373,15 +373,15 @@ ORACLES: dict[str, str] = {
                ELSE 'https://jobs.example.org' END || '/job/' || url AS url, position
         FROM postings CROSS JOIN twice WHERE source IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
     "batch_clean": "SELECT DISTINCT lang, lower(text) AS description FROM (SELECT DISTINCT lang, text FROM documents)",
-    "vector_topk": f"WITH {_CENTROIDS} SELECT doc_id, name, score FROM similar",
+    "vector_topk": f"WITH {_CENTROIDS} SELECT doc_id, name, score FROM sims",
     "vector_hybrid": f"""WITH {_CENTROIDS}, {_doc_mentions()},
         merged AS (SELECT doc_id, name, max(score) AS score FROM (
-          SELECT doc_id, name, score FROM similar UNION ALL SELECT doc_id, skill, 0.18 FROM mentions) GROUP BY ALL)
+          SELECT doc_id, name, score FROM sims UNION ALL SELECT doc_id, skill, 0.18 FROM mentions) GROUP BY ALL)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS INTEGER) AS rank, name,
           CAST(score AS DOUBLE) AS score FROM merged QUALIFY rank <= 4""",
     "ensemble_tags": f"""WITH {_CENTROIDS}, {_doc_mentions()}
         SELECT doc_id, skill, max(v) AS value, 'ml_hybrid' AS extraction_mode FROM (
-          SELECT doc_id, name AS skill, greatest(1, CAST(round_even(score * 100, 0) AS BIGINT)) AS v FROM similar
+          SELECT doc_id, name AS skill, greatest(1, CAST(round_even(score * 100, 0) AS BIGINT)) AS v FROM sims
           UNION ALL SELECT doc_id, skill, mentions FROM mentions) GROUP BY doc_id, skill""",
     "stream_batch_counts": f"""WITH msgs AS (SELECT doc_id, lang || ' ' || text || CASE WHEN lang = 'en' THEN ' ' || source
           ELSE '' END AS t FROM documents), {_mentions('msgs', 'doc_id', 't')}

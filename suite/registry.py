@@ -407,7 +407,7 @@ def _label_vectors(spark, sf) -> DataFrame:
     names = F.array(*[F.lit(t) for t in I.TERMS.terms])
     parts = I.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
     means = parts.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("v")).select(
+    return means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "mean"))).alias("v")).select(
         F.get(names, F.col("label")).alias("name"), F.transform("v", lambda e: e["mean"]).alias("vector"))
 
 

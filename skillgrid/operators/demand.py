@@ -145,7 +145,8 @@ def _live_array(live: DataFrame | None) -> Column:
         return F.array().cast(DEMAND_ARRAY)
     ranked = live.agg(F.sort_array(F.collect_list(F.struct(
         F.col("rank"), F.col("demand_count").cast("bigint").alias("demand_count"), F.col("skill")))).alias("d"))
-    return F.transform(ranked.scalar(), lambda e: F.struct(e["demand_count"], e["skill"])).cast(DEMAND_ARRAY)
+    entries = F.transform("d", lambda e: F.struct(e["demand_count"], e["skill"])).cast(DEMAND_ARRAY)
+    return ranked.select(entries).scalar()
 
 
 def _with_fallback(found: DataFrame, live: DataFrame | None) -> DataFrame:

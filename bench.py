@@ -30,7 +30,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
                           spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-                          spark__driver__memory="16g")
+                          spark__driver__memory="16g", spark__python__sql__dataFrameDebugging__enabled="false")
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["market_status"](spark, folder).collect()
     seconds: dict[str, float] = {}

@@ -87,38 +87,42 @@ def segment_demand(demand: DataFrame, role: str | None = None, company: str | No
     )
 
 
-def _segment(role: Column | None, company: Column | None, region: Column | None) -> list[Column]:
-    """Mask and keys for filters that may be null (open) row by row."""
+def segment_sql(role: str | None, company: str | None, region: str | None) -> str:
+    """Fields of a segment as SQL, for filter columns that may be null (open) row by row; None is open for all."""
     parts = ((role, ROLE), (company, COMPANY), (region, LOCATION))
-    mask = F.lit(0)
-    for value, bit in parts:
-        if value is not None:
-            mask = mask + F.when(value.isNotNull(), F.lit(bit)).otherwise(F.lit(0))
-    keys = [F.lit("") if value is None else F.coalesce(value, F.lit("")) for value, _ in parts]
-    return [mask.alias("kept"), *[k.alias(n) for k, n in zip(keys, SEGMENT[1:])]]
+    mask = " + ".join(f"if({column} IS NULL, 0, {bit})" for column, bit in parts if column) or "0"
+    keys = [f"coalesce({column}, '')" if column else "''" for column, _ in parts]
+    return ", ".join(f"{value} AS {name}" for value, name in zip([mask, *keys], SEGMENT))
 
 
 def with_exact_segment(requests: DataFrame) -> DataFrame:
     """Add the segment of a request's own filters."""
-    filters = [filter_key(F.col(c)) for c in ("role", "company", "region")]
-    return requests.select("*", *_segment(*filters))
+    filters = [filter_key(F.col(c)).alias(f"_{c}") for c in ("role", "company", "region")]
+    fields = F.expr(f"struct({segment_sql('_role', '_company', '_region')})").alias("_segment")
+    return requests.select("*", *filters).select(*requests.columns, fields).select(*requests.columns, "_segment.*")
 
 
-def relaxation_levels(filters: DataFrame) -> DataFrame:
-    """The segments to try for each distinct filter triple, level 1 first; a level shows only if it applies."""
-    role, company, region = (F.col(c) for c in ("role_filter", "company_filter", "region_filter"))
-    has_role, has_company, has_region = role.isNotNull(), company.isNotNull(), region.isNotNull()
+def _levels() -> Column:
+    """The segments to try for a filter triple, level 1 first; a level shows only if it applies."""
+    role, company, region = "role_filter", "company_filter", "region_filter"
     steps = [
-        (F.lit(True), (role, company, region)),
-        (has_role & has_company & has_region, (role, None, region)),
-        (has_role & has_company, (role, company, None)),
-        (has_role, (role, None, None)),
-        (has_region, (None, None, region)),
-        (F.lit(True), (None, None, None)),
+        ([], (role, company, region)),
+        ([role, company, region], (role, None, region)),
+        ([role, company], (role, company, None)),
+        ([role], (role, None, None)),
+        ([region], (None, None, region)),
+        ([], (None, None, None)),
     ]
-    options = [F.when(applies, F.struct(F.lit(i + 1).alias("level"), *_segment(*keys)))
-               for i, (applies, keys) in enumerate(steps)]
-    return unnest_structs(filters, filters.columns, F.array_compact(F.array(*options)))
+    options = []
+    for level, (needed, filters) in enumerate(steps, start=1):
+        applies = " AND ".join(f"{c} IS NOT NULL" for c in needed) or "true"
+        options.append(f"CASE WHEN {applies} THEN struct({level} AS level, {segment_sql(*filters)}) END")
+    return F.expr(f"array_compact(array({', '.join(options)}))")
+
+
+def relaxation_levels(filters: DataFrame) -> DataFrame:
+    """One row per distinct filter triple and level that applies to it."""
+    return unnest_structs(filters, filters.columns, _levels())
 
 
 def resolve_segments(requests: DataFrame, segments: DataFrame) -> DataFrame:
@@ -134,9 +138,9 @@ def resolve_segments(requests: DataFrame, segments: DataFrame) -> DataFrame:
     levels = relaxation_levels(filters)
     backed = levels.where("kept > 0").join(segments.select(*SEGMENT), SEGMENT, "left_semi").select(*levels.columns)
     best = backed.unionByName(levels.where("kept = 0")).groupBy(*triples).agg(F.min("level").alias("level"))
-    chosen = relaxation_levels(best.withColumnRenamed("level", "chosen")).where("level = chosen").drop("chosen")
-    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.col("level")).alias("market_source")
-    return chosen.select(*triples, *SEGMENT, label)
+    chosen = F.get(F.filter(_levels(), lambda s: s["level"] == F.col("level")), F.lit(0)).alias("_chosen")
+    label = F.element_at(F.lit(LABELS), F.col("level")).alias("market_source")
+    return best.select(*triples, chosen, label).select(*triples, *[f"_chosen.{c}" for c in SEGMENT], "market_source")
 
 
 def _live_array(live: DataFrame | None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from skillgrid.functions.binding import bind
 from skillgrid.functions.skills import clamp, fit_score
 from skillgrid.functions.text import clean_items, parse_skill_cell, parse_stamp, shown_or_default, strip
-from skillgrid.operators.demand import COMPANY, LOCATION, ROLE, SEGMENT, attach_demand, with_exact_segment
+from skillgrid.operators.demand import COMPANY, LOCATION, ROLE, SEGMENT, attach_demand, segment_sql, with_exact_segment
 from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
 from skillgrid.operators.unnest import unnest_structs
@@ -65,16 +65,13 @@ def recent_postings(postings: DataFrame, max_age_days: int = 30) -> DataFrame:
 
 def _posting_segments() -> Column:
     """All eight segments a posting belongs to; a null key belongs only where that key is open."""
-    keys = [(F.lower(strip(F.col(c))), bit) for c, bit in (("role", ROLE), ("company", COMPANY), ("location", LOCATION))]
+    names = (("_role", ROLE), ("_company", COMPANY), ("_location", LOCATION))
     options = []
     for mask in range(8):
-        usable = F.lit(True)
-        for key, bit in keys:
-            if mask & bit:
-                usable = usable & key.isNotNull()
-        picked = [(key if mask & bit else F.lit("")).alias(name) for (key, bit), name in zip(keys, SEGMENT[1:])]
-        options.append(F.when(usable, F.struct(F.lit(mask).alias("kept"), *picked)))
-    return F.array_compact(F.array(*options))
+        fixed = [name if mask & bit else None for name, bit in names]
+        usable = " AND ".join(f"{name} IS NOT NULL" for name in fixed if name) or "true"
+        options.append(f"CASE WHEN {usable} THEN struct({segment_sql(*fixed)}) END")
+    return F.expr(f"array_compact(array({', '.join(options)}))")
 
 
 def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
@@ -84,7 +81,8 @@ def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataF
     every segment is cut to its newest rows first and the join follows, so that no shuffle meets the full size of the
     all-open segment.
     """
-    spread = unnest_structs(postings, postings.columns, _posting_segments())
+    keyed = postings.select("*", *[F.lower(strip(F.col(c))).alias(f"_{c}") for c in ("role", "company", "location")])
+    spread = unnest_structs(keyed, postings.columns, _posting_segments())
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
         spread = spread.join(F.broadcast(wanted), SEGMENT, "left_semi")

@@ -87,6 +87,10 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(postings(spark, sf_dir), "job_postings")
 
 
+def stored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(requests(spark, sf_dir), "requests")
+
+
 def segments(of_postings: DataFrame) -> DataFrame:
     return stored(demand_segments(demand_cube(demand_rollup(of_postings))), "demand_segments")
 

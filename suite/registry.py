@@ -146,7 +146,7 @@ def category_top_missing(spark, sf):
 @query
 def recommend_postings(spark, sf):
     postings = I.stored_postings(spark, sf)
-    answered = R.recommend_postings(I.requests(spark, sf), postings, I.segments(postings))
+    answered = R.recommend_postings(I.stored_requests(spark, sf), postings, I.segments(postings))
     return R.recommended_jobs(answered).select(
         "request_id", "total", "rank", "job_uid", "title", "fit_score", "matched_count", "demand_alignment",
         "job_skill_count", joined("matched_skills"), joined("missing_skills"))

@@ -14,6 +14,7 @@ from skillgrid.functions.binding import bind
 from skillgrid.functions.skills import clamp, fit_score
 from skillgrid.functions.text import clean_items, parse_skill_cell, parse_stamp, shown_or_default, strip
 from skillgrid.operators.demand import COMPANY, LOCATION, ROLE, SEGMENT, attach_demand, segment_sql, with_exact_segment
+from skillgrid.operators.spread import spread_lookup
 from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
 from skillgrid.operators.unnest import unnest_structs
@@ -21,8 +22,6 @@ from skillgrid.taxonomy import Taxonomy
 
 # Rows of a key table that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
-# Requests on one segment that share one copy of its candidates.
-REQUESTS_PER_COPY = 200
 
 # No request reaches further back, so older postings are dropped before anything is shuffled.
 MAX_AGE_DAYS = 180
@@ -166,20 +165,9 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
         "_cutoff", newest_stamp(postings) - F.make_dt_interval(days)).select(
         *requests.columns, "_mine", "_wanted", "_cutoff")
 
-    asked = with_exact_segment(requests.select("request_id", "role", "company", "region"))
-    popular = asked.groupBy(*SEGMENT).agg(F.count("*").alias("_requests"))
-    copies = popular.select(*SEGMENT, F.ceil(F.col("_requests") / REQUESTS_PER_COPY).cast("int").alias("_copies"))
-
-    candidates = newest_candidates(dated(_candidate_skills(postings, taxonomy)), popular.select(*SEGMENT),
-                                   candidate_cap)
-    # A popular segment's candidates are copied, and its requests split over the copies.
-    copied = candidates.join(copies, SEGMENT).select(
-        *SEGMENT, "_candidates", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
-    placed = with_exact_segment(narrowed).join(copies, SEGMENT).withColumn(
-        "_copy", F.pmod(F.xxhash64("request_id"), F.col("_copies")).cast("int")).drop("_copies")
-    # Scoring costs far more than its input bytes suggest; a given partition count keeps them from being merged.
-    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paired = placed.repartition(parts, *SEGMENT, "_copy").join(copied, [*SEGMENT, "_copy"], "left")
+    asked = with_exact_segment(requests.select("role", "company", "region")).select(*SEGMENT).distinct()
+    candidates = newest_candidates(dated(_candidate_skills(postings, taxonomy)), asked, candidate_cap)
+    paired = spread_lookup(with_exact_segment(narrowed), candidates, SEGMENT, "request_id")
     scored = score_candidates(paired)
     result = (
         F.when(F.col("_candidates").isNull() | (F.size("_fresh") == 0), F.lit("snapshot_no_matches"))

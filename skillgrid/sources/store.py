@@ -23,9 +23,12 @@ class MarketStore:
     shuffle grows with the batch, not with the table.
     """
 
-    def __init__(self, spark: SparkSession, database: str = "skill_market", buckets: int = 64,
+    def __init__(self, spark: SparkSession, database: str = "skill_market", buckets: int | None = None,
                  snapshot_root: str | None = None, location: str | None = None):
-        self.spark, self.database, self.buckets, self.snapshot_root = spark, database, buckets, snapshot_root
+        self.spark, self.database, self.snapshot_root = spark, database, snapshot_root
+        # At least as many buckets as shuffle partitions, or a join would shuffle the stored side after all.
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(buckets or least, least)
         place = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
 
@@ -59,7 +62,8 @@ class MarketStore:
         if self.exists("job_postings"):
             merged = merge_newest(self.table("job_postings"), shaped)
         else:
-            merged = latest_postings(shaped)
+            # One task per bucket, so one file per bucket; a merge runs bucket by bucket as it is.
+            merged = latest_postings(shaped).repartition(self.buckets, "job_uid")
         self._swap_in(merged, "job_postings", bucket_by="job_uid")
         self.rebuild_demand()
         self.export_snapshots()

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skillgrid.functions.skills import BASELINE_DEMAND
-from skillgrid.operators import demand as D, gap as G
+from skillgrid.operators import demand as D, gap as G, spread
 from skillgrid.plans import recommend as R
 
 ROLES, FIRMS, PLACES = ["data", "web", "ops"], ["acme", "globex"], ["paris", "rome"]
@@ -206,7 +206,8 @@ def test_recommendations_with_many_segments_use_no_broadcast(spark, monkeypatch)
     postings, found = spark.createDataFrame(rows, POSTING), segments(spark, rows)
     few = R.recommend_postings(df, postings, found).orderBy("request_id").collect()
     monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(R, "REQUESTS_PER_COPY", 1)
+    monkeypatch.setattr(spread, "SMALLEST_PIECE", 1)
+    monkeypatch.setattr(spread, "PIECES", 1)
     assert R.recommend_postings(df, postings, found).orderBy("request_id").collect() == few
 
 
@@ -227,3 +228,13 @@ def test_untagged_postings_and_text_cells(spark):
         "u1", ["Python"], ["Sql"], "Unknown location")
     assert (second.title, second.company, second.missing_skills) == ("Unknown title", "Unknown company", ["Scala", "Zig"])
     assert second.demand_alignment == 250
+
+
+def test_spread_lookup_keeps_every_row_of_a_hot_key(spark, monkeypatch):
+    asking = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, F.lit("hot"))
+                                      .otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+    table = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, v int")
+    out = spread.spread_lookup(asking, table, ["key"], "n")
+    assert out.count() == 3000 and out.select("n").distinct().count() == 3000
+    want = asking.join(table, "key", "left").groupBy("v").count()
+    assert {tuple(r) for r in out.groupBy("v").count().collect()} == {tuple(r) for r in want.collect()}

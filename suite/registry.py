@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgrid.functions import skills as S, text as X
 from skillgrid.operators import dedupe, demand as D, gap as G, tagging as T, vectors as V
-from skillgrid.plans import ingest, market as M, recommend as R
+from skillgrid.plans import ingest, market as M, recommend as R, resume
 from skillgrid.session import scratch_path, stored, widen_scan
 from skillgrid.sources import files, listings, payloads
 from skillgrid.sources.store import MarketStore
@@ -104,30 +104,34 @@ def demand_exact(spark, sf):
 
 # --- gaps --------------------------------------------------------------------------------------------------------
 
+def _gaps(spark, sf) -> DataFrame:
+    return resume.analyze_gaps(I.requests(spark, sf), I.segments(I.postings(spark, sf)))
+
+
 def _answered(spark, sf) -> DataFrame:
     return D.attach_demand(I.requests(spark, sf), I.segments(I.postings(spark, sf)))
 
 
 @query
 def gap_matching(spark, sf):
-    return G.unfold(G.with_gap(_answered(spark, sf)), ["request_id"], "matching_skills")
+    return G.unfold(_gaps(spark, sf), ["request_id"], "matching_skills")
 
 
 @query
 def gap_missing(spark, sf):
-    return G.unfold(G.with_gap(_answered(spark, sf)), ["request_id"], "missing_skills")
+    return G.unfold(_gaps(spark, sf), ["request_id"], "missing_skills")
 
 
 @query
 def gap_score(spark, sf):
-    return G.with_gap(_answered(spark, sf)).select(
+    return _gaps(spark, sf).select(
         "request_id", "market_source", "skill_score", "resume_skill_count", "market_skill_count", "match_count",
         "gap_count")
 
 
 @query
 def gap_recommendations(spark, sf):
-    return G.unfold(G.with_gap(_answered(spark, sf)), ["request_id"], "recommendations")
+    return G.unfold(_gaps(spark, sf), ["request_id"], "recommendations")
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skillgrid.functions.skills import BASELINE_DEMAND
 from skillgrid.operators import demand as D, gap as G, spread
 from skillgrid.plans import recommend as R
+from skillgrid.plans.resume import analyze_gaps
 
 ROLES, FIRMS, PLACES = ["data", "web", "ops"], ["acme", "globex"], ["paris", "rome"]
 SKILLS = ["python", "sql", "spark", "git", "go", "aws"]
@@ -102,6 +103,12 @@ def test_no_market_data_at_all(spark):
     assert {(r.market_source, len(r.demand)) for r in D.attach_demand(df, empty, live).collect()} == {("live_stream", 1)}
 
 
+def test_gap_requests_without_skills_are_turned_away(spark):
+    df = spark.createDataFrame([(1, [], None, None, None, 5), (2, ["git"], None, None, None, None)], REQUEST)
+    out = analyze_gaps(df, segments(spark, make_postings())).collect()
+    assert [(r.request_id, r.top_n, r.market_source) for r in out] == [(2, 20, "snapshot_role_company_region")]
+
+
 def test_null_keys_never_match_a_filter(spark):
     rows = [("u1", "s", "t", None, "Rome", "data", "d", "l", "x", ["python"])]
     cube = D.demand_cube(D.demand_rollup(spark.createDataFrame(rows, POSTING))).collect()

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from skillgrid.operators import dedupe, vectors as V
-from skillgrid.plans import ingest, market as M
+from skillgrid.plans import ingest, market as M, resume
 from skillgrid.sources import files, listings, payloads
 from skillgrid.sources.store import POSTINGS_SCHEMA, MarketStore
 from skillgrid.streaming import counts as C
@@ -71,6 +71,8 @@ def test_resume_files(spark, tmp_path):
     found = files.read_resume_files(spark, str(tmp_path))
     texts = {r.path[-5:]: r.text for r in files.resume_texts(found).collect()}
     assert texts == {"a.txt": "résumé", "b.TXT": "résumé"}
+    reports = {r.path[-5:]: r.skills for r in resume.read_resumes(found, Taxonomy.from_terms(["résumé"])).collect()}
+    assert reports == {"a.txt": ["Résumé"], "b.TXT": ["Résumé"]}
     assert {r.path[-5:]: r.reason for r in files.rejected_resumes(found).collect()} == {
         "c.xls": "unsupported format", "d.txt": "file too large"}
 

@@ -14,6 +14,8 @@ from skillgrid.taxonomy import MAX_TERMS
 
 TOP_K_MAX = 120
 DEFAULT_THRESHOLD = 0.18
+# Text-term scores held in a task at one time, whatever the batch and taxonomy sizes.
+SCORES_AT_ONCE = 2_000_000
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -38,11 +40,10 @@ def similarity_hits(texts: DataFrame, key: str, vectors: DataFrame, top_k: int =
     names, matrix = taxonomy_matrix(vectors)
     k = max(1, min(int(top_k), len(names), TOP_K_MAX))
     labels = np.array(names, dtype=object)
+    step = max(1, SCORES_AT_ONCE // max(1, len(names)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             column = batch.column(1)
             data = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
             sims = _unit(data.reshape(batch.num_rows, -1)) @ matrix.T

@@ -155,6 +155,15 @@ def test_similarity_and_merging(spark):
     assert alone == {(1, "SQL"): 100, (1, "Go"): 71, (2, "Go"): 71, (3, "Git"): 2}
 
 
+def test_similarity_in_small_slices(spark, monkeypatch):
+    texts = spark.range(500).select(F.col("id").alias("doc_id"), F.array(
+        F.sin("id").cast("float"), F.cos("id").cast("float")).alias("vector"))
+    terms = spark.createDataFrame([(f"t{i}", [1.0, i / 10]) for i in range(7)], "name string, vector array<double>")
+    whole = sorted(map(tuple, V.similarity_hits(texts, "doc_id", terms, top_k=3).collect()))
+    monkeypatch.setattr(V, "SCORES_AT_ONCE", 50)
+    assert sorted(map(tuple, V.similarity_hits(texts, "doc_id", terms, top_k=3).collect())) == whole and len(whole) > 500
+
+
 def run_stream(spark, source, out, sink):
     query = sink.attach(C.file_messages(spark, str(source), 1), f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

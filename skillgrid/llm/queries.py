@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgrid.llm import exact_dedup, line_dedup, sharding
+from skillgrid.llm import (exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing, sharding,
+                           vector_search)
 from skillgrid.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,12 +23,39 @@ def op1_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+@query
+def op2_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_license_scan(spark, sf):
+    return license_scan.scan_licenses(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op4_language_id(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
 @query
 def op5_sharding(spark, sf):
     tree = sharding.ShardTree.regular(regions=2, racks=3, shards=4)
     return sharding.shard_documents(table(spark, sf, "documents"), tree)
 
 
+@query
+def op7_vector_search(spark, sf):
+    return vector_search.nearest_vectors(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op8_jaccard_join(spark, sf):
+    settings = jaccard_join.JaccardSettings(words=4, similar=85, whole=100)
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"), settings)
+
+
 @query
 def op9_line_dedup(spark, sf):
     return line_dedup.remove_repeated_chunks(table(spark, sf, "documents")).select(

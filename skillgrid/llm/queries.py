@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgrid.llm import (exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing, sharding,
-                           vector_search)
+                           token_files, vector_search)
 from skillgrid.llm.common import table
+from skillgrid.session import scratch_path
+
+END_ID = 2
+WORD_BITS = 16  # ids of the word tokenizer are below 49,408
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, on the driver and the executors alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(fn):
     LLM_QUERIES[fn.__name__] = fn
     return fn
@@ -45,6 +56,14 @@ def op5_sharding(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"), tree)
 
 
+@query
+def op6_token_files(spark, sf):
+    path = scratch_path(spark, "token_files")
+    token_files.write_token_files(table(spark, sf, "documents"), path, tokenizer_file("word_bpe_49k.json"), END_ID,
+                                  WORD_BITS)
+    return token_files.decoded_documents(token_files.read_token_files(spark, path))
+
+
 @query
 def op7_vector_search(spark, sf):
     return vector_search.nearest_vectors(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)

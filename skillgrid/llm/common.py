@@ -38,3 +38,11 @@ def salted_lookup(asking: DataFrame, names: DataFrame, keys: list[str], digest:
     right = names.join(hot, digest, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     on = [digest, *keys, "_salt"]
     return left.drop("_salts").join(right.drop("_salts"), on).drop("_salt")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not use yet, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

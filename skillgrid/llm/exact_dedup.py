@@ -14,21 +14,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skillgrid.llm.common import ascii_lower, salted_lookup
+from skillgrid.llm.common import ascii_lower, free_name, salted_lookup
 from skillgrid.session import stored
 
 _ODD = -1  # stands for the missing right half of an odd last name; names are never negative
 
 
-def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sort the distinct keys inside their hash partition and number them: partition and place make up the name."""
-    return distinct.sortWithinPartitions(*keys).withColumn("_name", F.monotonically_increasing_id())
+def _renamed(occurrences: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
+    """Replace the keys of every occurrence (_id, _sha, _at) by their name and gather each document's names.
 
-
-def _renamed(occurrences: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace the keys of every occurrence (_id, _sha, _at) by their name and gather each document's names."""
-    names = _numbered(occurrences.select("_h", *keys).distinct(), keys)
-    found = salted_lookup(occurrences, names, keys, "_h", ["_id", "_sha", "_at"])
+    The distinct keys are sorted inside their hash partition and numbered: partition and place make up the (even) name. A key
+    with over one in ``share`` of all occurrences is hot; there are at most ``share`` of them, so their names are
+    broadcast, as odd numbers of their own. All other occurrences meet their names where these were made.
+    """
+    names = occurrences.select("_h", *keys).distinct().sortWithinPartitions("_h", *keys).withColumn(
+        "_name", F.monotonically_increasing_id() * 2)
+    counts = occurrences.groupBy("_h").agg(F.count("*").alias("_rows"))
+    piece = F.greatest(F.ceil(counts.agg(F.sum("_rows")).scalar() / share), F.lit(200))
+    hot = F.broadcast(counts.where(F.col("_rows") > piece).select("_h"))
+    hot_names = F.broadcast(names.join(hot, "_h", "left_semi").withColumn("_hot", F.col("_name") + 1).drop("_name"))
+    known = occurrences.join(hot_names, ["_h", *keys], "left")
+    done = F.col("_hot").isNotNull()
+    # Named rows only pass through the join: dealt evenly and without their text.
+    passing = {k: F.when(~done, F.col(k)) for k in keys}
+    passing["_h"] = F.when(done, F.xxhash64("_id", "_sha", "_at")).otherwise(F.col("_h"))
+    found = known.withColumns(passing).join(names, ["_h", *keys], "left").withColumn(
+        "_name", F.coalesce("_hot", "_name"))
     # A document's own names: as many as its blocks. Repeated rows bring the same (place, name) again.
     listed = found.groupBy("_id", "_sha").agg(
         F.transform(F.sort_array(F.collect_set(F.struct("_at", "_name"))), lambda s: s["_name"]).alias("_names"),
@@ -83,10 +94,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id; repeated rows once."""
-    kept = stored(exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept_rows")
-    marked = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    unique = marked.dropDuplicates([id_col, "_sha"])
-    left, right = unique.alias("d"), kept.alias("k")
-    same = (F.col(f"d.{id_col}").eqNullSafe(F.col("k._id"))) & (F.col("d._sha") == F.col("k._sha"))
-    return left.join(right, same, "left_semi").drop("_sha")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    sha = free_name(docs, "_text_sha")
+    marked = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    unique = marked.dropDuplicates([id_col, sha])
+    same = unique[id_col].eqNullSafe(kept["_id"]) & (unique[sha] == kept["_sha"])
+    return unique.join(kept, same, "left_semi").drop(sha)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from skillgrid.llm.common import salted_lookup
+from skillgrid.llm.common import free_name, salted_lookup
 from skillgrid.llm.components import components
 from skillgrid.session import stored
 
@@ -268,3 +268,17 @@ def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSetti
     empty = named.where("_node IS NULL").select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"),
                                                 F.col("_id").alias("component_id"))
     return full.unionByName(empty)
+
+
+def one_per_component(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked texts: the one with the smallest id (null ids first).
+
+    Texts without words are linked with nothing and stay. Rows are told apart by id and text; repeated rows stay once.
+    """
+    key = free_name(docs, "_row_key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h")))
+    found = jaccard_components(keyed, settings, key, text_col)
+    kept = stored(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept_keys")
+    unique = keyed.dropDuplicates([key])
+    return unique.join(kept, unique[key].eqNullSafe(kept["_kept"]), "left_semi").drop(key)

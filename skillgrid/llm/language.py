@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from skillgrid.session import stored
@@ -40,6 +40,8 @@ def _letters() -> np.ndarray:
 
 def text_grams(text: str) -> np.ndarray:
     """All 1- to 3-grams of a text as integers; everything between letters is one word end."""
+    if not text:
+        return np.empty(0, np.int64)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     letter = _letters()[codes]
     codes = np.where(letter, codes, _SPACE)
@@ -134,12 +136,12 @@ class ProfileSet:
         return self.langs[best], 1.0 - float(apart[best]) / (self.size * len(own))
 
 
-def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def predict(docs: DataFrame, profiles: DataFrame, carry: list[str], text_col: str = "text",
             profile_size: int = PROFILE_SIZE) -> DataFrame:
-    """doc_id, lang_pred, score of every row; ``und`` with score 0 where the text is null or has no letter.
+    """The columns in ``carry`` of every row as struct ``row``, with lang_pred and score.
 
-    Ties go to the first language by code point. With no learned language every row is ``und``. Repeated rows get
-    equal answers; other columns of ``docs`` are not read.
+    ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by code point. With no
+    learned language every row is ``und``. Rows are independent and pass through, so nothing is joined back.
     """
     # At most MAX_LANGUAGES * profile_size rows; more languages are refused, not cut.
     listed = profiles.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("p")).limit(
@@ -148,18 +150,22 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the training rows")
     shared = docs.sparkSession.sparkContext.broadcast(
         ProfileSet({r["lang"]: [e["gram"] for e in r["p"]] for r in listed}, profile_size))
+    apart = text_col not in carry  # else the text is read from the carried row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.nearest(text) for text in batch["text"].to_pylist()]
+            texts = batch["text"] if apart else batch["row"].field(text_col)
+            found = [known.nearest(text) for text in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+                [batch["row"], pa.array([f[0] for f in found], pa.string()),
+                 pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"),
+                       *([docs[text_col].alias("text")] if apart else []))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -167,8 +173,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
+def learned_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Profiles of the documents that are not held out, written once."""
+    return stored(train_profiles(docs.where(~held_out(id_col)), text_col, lang_col), "language_profiles")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the documents that are not held out, predict all: doc_id, held_out, lang_pred, score."""
-    profiles = stored(train_profiles(docs.where(~held_out(id_col)), text_col, lang_col), "language_profiles")
-    found = predict(docs, profiles, id_col, text_col)
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    """Learn from the documents that are not held out, predict all: doc_id, held_out, lang_pred, score.
+
+    Repeated rows get equal answers; other columns of ``docs`` are not read.
+    """
+    found = predict(docs, learned_profiles(docs, id_col, text_col, lang_col), [id_col], text_col)
+    out = found.select(F.col("row").getField(id_col).alias("doc_id"), "lang_pred", "score")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def with_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                        lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``: those without text or letters."""
+    found = predict(docs, learned_profiles(docs, id_col, text_col, lang_col), docs.columns, text_col)
+    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from skillgrid.llm.common import WORD, salted_lookup
+from skillgrid.llm.common import WORD, free_name, salted_lookup
 from skillgrid.session import stored
 
 _TINY = 1e-9
@@ -187,3 +187,18 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "d
     copies = (F.col("_whole") + F.col("_p").cast("bigint")).alias("copies")
     return result.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
                          (copies * F.col("_size")).alias("taken"), copies)
+
+
+def mixed_rows(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text",
+               source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it. Rows are told apart by id, text and source."""
+    key = free_name(docs, "_row_key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col, source_col))
+    taken = mix(keyed, settings, key, text_col, source_col).groupBy(F.col("doc_id").alias("_taken_key")).agg(
+        F.sum("copies").cast("int").alias("_times"))
+    taken = stored(taken.where("_times > 0"), "mix_taken")
+    times = free_name(docs, "_copy_number")
+    unique = keyed.dropDuplicates([key])
+    joined = unique.join(taken, unique[key] == taken["_taken_key"])
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
+        *[joined[f"`{c}`"] for c in docs.columns])

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgrid.llm import (exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing, sharding,
-                           token_files, vector_search)
+from skillgrid.llm import (exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing, piece_encoding,
+                           sharding, token_files, vector_search)
 from skillgrid.llm.common import table
 from skillgrid.session import scratch_path
 
@@ -80,3 +80,19 @@ def op9_line_dedup(spark, sf):
     return line_dedup.remove_repeated_chunks(table(spark, sf, "documents")).select(
         "doc_id", "n_lines", "removed_lines", "removed_chunks", F.md5("text").alias("text_md5"),
         F.char_length("text").cast("bigint").alias("kept_chars"))
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Ids of every document and whether they decode to its text, as digests."""
+    model = piece_encoding.PieceModel.from_file(tokenizer_file("piece_bpe_32k.model"))
+    own = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    coded = piece_encoding.encode_documents(own, model, keep=("text_md5",))
+    back = piece_encoding.decode_documents(coded, model, keep=("text_md5",))
+    listed = F.array_join("ids", ",")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(listed).alias("ids_crc32"),
+                       (F.md5("text") == F.col("text_md5")).alias("round_trip"))
+
+
+@query
+def op10_piece_encoding(spark, sf):
+    return encoded_digests(table(spark, sf, "documents"))

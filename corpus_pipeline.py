@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skillgrid.llm import exact_dedup, jaccard_join, language, mixing
-from skillgrid.llm.common import table
+from skillgrid.llm.common import ship_package, table
 from skillgrid.llm.queries import encoded_digests
 from skillgrid.session import stored
 
@@ -52,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name.replace(' ', '_')}")

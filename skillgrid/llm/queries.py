@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgrid.llm import (exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing, piece_encoding,
                            sharding, token_files, vector_search)
-from skillgrid.llm.common import table
+from skillgrid.llm.common import ship_package, table
 from skillgrid.session import scratch_path
 
 END_ID = 2
@@ -25,8 +26,13 @@ def tokenizer_file(name: str) -> str:
 
 
 def query(fn):
-    LLM_QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    LLM_QUERIES[fn.__name__] = run
+    return run
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,20 @@ def build_session(app_name: str = "skillgrid", master: str | None = None, **conf
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is named (tests, local runs)."""
+    """The cluster's shared folder. Only a local master may do without: it gets a private one, removed at exit.
+
+    Raises on a cluster without ``spark.checkpoint.dir``: each executor would write to its own disk.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _own_scratch
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="skillgrid-")
+        atexit.register(shutil.rmtree, _own_scratch, ignore_errors=True)
     return _own_scratch
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -16,11 +18,15 @@ POSTINGS_SCHEMA = StructType(
 )
 
 
+TABLES = ("job_postings", "skill_demand", "demand_segments")
+
+
 class MarketStore:
     """Managed tables in one database of the session catalog.
 
     Postings are bucketed by key. A new batch is merged by a join that reads the stored buckets in place, so the
-    shuffle grows with the batch, not with the table.
+    shuffle grows with the batch, not with the table. A swap that was cut short is finished or taken back when the
+    store is opened again, so one writer at a time loses nothing in a crash.
     """
 
     def __init__(self, spark: SparkSession, database: str = "skill_market", buckets: int | None = None,
@@ -31,6 +37,8 @@ class MarketStore:
         self.buckets = max(buckets or least, least)
         place = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
+        for table in TABLES:
+            self._recover(table)
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
@@ -43,9 +51,9 @@ class MarketStore:
 
     def _swap_in(self, df: DataFrame, table: str, bucket_by: str | None = None) -> None:
         """Write beside the current table, then take its place: a table may be rebuilt from itself."""
-        staging, retired = f"{table}_staging", f"{table}_retired"
-        for leftover in (staging, retired):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(leftover)}")
+        self._recover(table)
+        # A name of its own: files of a write that was cut short are in nobody's way.
+        staging, retired = f"{table}_staging_{uuid.uuid4().hex[:8]}", f"{table}_retired"
         writer = df.write.format("parquet")
         if bucket_by:
             writer = writer.bucketBy(self.buckets, bucket_by).sortBy(bucket_by)
@@ -55,6 +63,21 @@ class MarketStore:
         self.spark.sql(f"ALTER TABLE {self.name(staging)} RENAME TO {self.name(table)}")
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name(retired)}")
 
+    def _recover(self, table: str) -> None:
+        """Bring a table back to one complete state after a swap that was cut short.
+
+        A table is retired only once its successor is written in full. So if it is missing, the successor takes its
+        place, and the retired one comes back if there is none. Leftovers go only when a current table exists.
+        """
+        retired = f"{table}_retired"
+        staged = [t.name for t in self.spark.catalog.listTables(self.database) if t.name.startswith(f"{table}_staging_")]
+        if not self.exists(table) and self.exists(retired):
+            successor = staged[0] if len(staged) == 1 else retired
+            self.spark.sql(f"ALTER TABLE {self.name(successor)} RENAME TO {self.name(table)}")
+            staged = [t for t in staged if t != successor]
+        for leftover in [*staged, *([retired] if self.exists(table) else [])]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(leftover)}")
+
     def upsert_postings(self, incoming: DataFrame) -> int:
         """Keep the newest copy of every posting, refresh demand and snapshots, return the stored row count."""
         shaped = union_all([self.spark.createDataFrame([], POSTINGS_SCHEMA), incoming]).select(

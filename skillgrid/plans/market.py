@@ -24,6 +24,13 @@ def source_counts(postings: DataFrame) -> DataFrame:
             .orderBy(F.desc("postings"), "source"))
 
 
+def _stated(limit: int, most: int) -> int:
+    """The limit as asked; out of range it is refused, not changed."""
+    if not 1 <= int(limit) <= most:
+        raise ValueError(f"limit must be from 1 to {most}, not {limit}")
+    return int(limit)
+
+
 def _matching(postings: DataFrame, role: str | None, company: str | None, region: str | None) -> DataFrame:
     for column, value in (("role", role), ("company", company), ("location", region)):
         if value:
@@ -34,7 +41,7 @@ def _matching(postings: DataFrame, role: str | None, company: str | None, region
 def filter_options(postings: DataFrame, role: str | None = None, company: str | None = None,
                    region: str | None = None, limit: int = 200) -> DataFrame:
     """Sorted distinct roles, companies and regions under the other filters, the first ``limit`` of each."""
-    limit = max(1, min(int(limit), 1000))
+    limit = _stated(limit, 1000)
     kept = _matching(postings.select("role", "company", "location"), role, company, region)
     values = kept.select(F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), strip(F.col(column)).alias("value"))
@@ -49,7 +56,7 @@ def top_titles(postings: DataFrame, region: str | None = None, limit: int = 10)
 
     Counted before ranking, so a busy region is spread over tasks; without a title column roles are counted.
     """
-    limit = max(1, min(int(limit), 30))
+    limit = _stated(limit, 30)
     name = "title" if "title" in postings.columns else "role"
     rows = _matching(postings.select(name, "location"), None, None, region)
     rows = rows.select(F.lower(strip(F.col("location"))).alias("region"), strip(F.col(name)).alias("name"))

@@ -20,8 +20,8 @@ from skillgrid.operators.topk import top_per_group
 from skillgrid.operators.unnest import unnest_structs
 from skillgrid.taxonomy import Taxonomy
 
-# Rows of a key table that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+# Newest postings of a segment that are scored, as the feature is defined; how many there were is part of the answer.
+CANDIDATE_CAP = 800
 
 # No request reaches further back, so older postings are dropped before anything is shuffled.
 MAX_AGE_DAYS = 180
@@ -76,24 +76,23 @@ def _posting_segments() -> Column:
 def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     """One row per wanted segment with an array of its newest postings.
 
-    Few wanted segments (counted first) are broadcast and filter the postings before anything is shuffled. With more,
-    every segment is cut to its newest rows first and the join follows, so that no shuffle meets the full size of the
-    all-open segment.
+    Every segment is cut to its newest rows first and the join with the wanted ones follows, so no shuffle meets the full
+    size of the all-open segment. ``_ages`` counts all postings of the segment by age in whole days, started days
+    included, so that a request can tell how many the cut left out.
     """
     keyed = postings.select("*", *[F.lower(strip(F.col(c))).alias(f"_{c}") for c in ("role", "company", "location")])
     spread = unnest_structs(keyed, postings.columns, _posting_segments())
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
-        spread = spread.join(F.broadcast(wanted), SEGMENT, "left_semi")
     order = [F.col("_ts").desc_nulls_last(), F.col("scraped_at").desc_nulls_last(), F.col("job_uid").asc()]
     top = top_per_group(spread, SEGMENT, order, cap, "job_uid")
-    if not few:
-        top = top.join(wanted, SEGMENT, "left_semi")
+    top = top.join(wanted, SEGMENT, "left_semi")
+    age = F.ceil((F.unix_micros("_newest") - F.unix_micros("_ts")) / 86_400_000_000)
+    ages = spread.groupBy(*SEGMENT, F.coalesce(age, F.lit(0)).alias("age")).agg(F.count("*").alias("n"))
+    ages = ages.groupBy(*SEGMENT).agg(F.collect_list(F.struct("age", "n")).alias("_ages"))  # one entry per day of age
     shown = F.struct(
         "job_uid", "source", "title", "company", "location", "role", "url", "skills",
         F.array_distinct(F.transform("skills", F.lower)).alias("names"), F.col("_ts").alias("ts"))
     # At most ``cap`` entries per group.
-    return top.groupBy(*SEGMENT).agg(F.collect_list(shown).alias("_candidates"))
+    return top.groupBy(*SEGMENT).agg(F.collect_list(shown).alias("_candidates")).join(ages, SEGMENT)
 
 
 def _last_spelling(skills: Column, name: Column) -> Column:
@@ -149,10 +148,12 @@ def score_candidates(df: DataFrame) -> DataFrame:
 
 
 def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataFrame, live: DataFrame | None = None,
-                       taxonomy: Taxonomy | None = None, candidate_cap: int = 800) -> DataFrame:
+                       taxonomy: Taxonomy | None = None, *, candidate_cap: int) -> DataFrame:
     """One row per request (request_id, resume_skills, role, company, region, limit, max_age_days).
 
-    Adds ``jobs`` (ranked structs), ``total`` (postings with any match before the cut) and ``market_result``.
+    Adds ``jobs`` (ranked structs), ``total`` (scored postings with any match) and ``market_result``. Of a segment the
+    newest ``candidate_cap`` postings are scored: ``candidates_in_window`` and ``candidates_scored`` show what that left
+    out; a cap no smaller than the largest segment leaves out nothing.
     ``postings`` and ``segments`` are read more than once and are best stored tables.
     """
     mine = F.array_distinct(clean_items(F.transform("resume_skills", F.lower)))
@@ -163,7 +164,7 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
     days = clamp(F.coalesce(F.col("max_age_days"), F.lit(30)), 1, MAX_AGE_DAYS)
     narrowed = answered.withColumn("_wanted", wanted).withColumn(
         "_cutoff", newest_stamp(postings) - F.make_dt_interval(days)).select(
-        *requests.columns, "_mine", "_wanted", "_cutoff")
+        *requests.columns, "_mine", "_wanted", "_cutoff", days.alias("_days"))
 
     asked = with_exact_segment(requests.select("role", "company", "region")).select(*SEGMENT).distinct()
     candidates = newest_candidates(dated(_candidate_skills(postings, taxonomy)), asked, candidate_cap)
@@ -174,9 +175,13 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
         .otherwise(F.lit("snapshot_ranked")))
     return scored.select(
         *requests.columns, F.greatest(F.lit(0), F.col("total")).alias("total"),
+        F.aggregate(F.filter(F.coalesce("_ages", F.array().cast("array<struct<age:bigint,n:bigint>>")),
+                             lambda a: F.col("_cutoff").isNull() | (a["age"] <= F.col("_days"))),
+                    F.lit(0).cast("bigint"), lambda s, a: s + a["n"]).alias("candidates_in_window"),
+        F.greatest(F.lit(0), F.size("_fresh")).alias("candidates_scored"),
         F.coalesce("jobs", F.array()).alias("jobs"), result.alias("market_result"))
 
 
 def recommended_jobs(answered: DataFrame) -> DataFrame:
     """One row per request and recommended posting."""
-    return unnest_structs(answered, ["request_id", "total"], "jobs")
+    return unnest_structs(answered, ["request_id", "total", "candidates_in_window", "candidates_scored"], "jobs")

@@ -8,13 +8,16 @@ from skillgrid.functions.text import clean_text
 from skillgrid.operators.demand import attach_demand
 from skillgrid.operators.gap import with_gap
 from skillgrid.operators.tagging import resume_report
-from skillgrid.sources.files import resume_texts
+from skillgrid.sources.files import resume_status
 from skillgrid.taxonomy import Taxonomy
 
 
-def read_resumes(files: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """Accepted resume files (path, length, content): one summary row per file that has text."""
-    texts = resume_texts(files).where("text <> ''")
+def read_resumes(files: DataFrame, taxonomy: Taxonomy, extracted: DataFrame | None = None) -> DataFrame:
+    """Resume files (path, length, content): one summary row per file that has text; ``resume_status`` lists the others.
+
+    ``extracted`` (path, text) brings the text of formats that are not decoded here.
+    """
+    texts = resume_status(files, extracted).where("status = 'read'")
     return resume_report(texts.select("path", clean_text(F.col("text")).alias("text")), ["path"], "text", taxonomy)
 
 

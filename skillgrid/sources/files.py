@@ -72,6 +72,26 @@ def decoded_text(content: Column) -> Column:
     return strip(F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(content, "ISO-8859-1")))
 
 
+def resume_status(files: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """One row per resume file (path, length, content): path, status and text.
+
+    ``read`` has text; ``needs_text`` is a format that this library does not decode and for which ``extracted`` (path, text)
+    holds nothing; ``empty`` decodes to blanks; ``too_large`` and ``unsupported`` are refused. No file goes missing.
+    """
+    suffix = file_suffix(F.col("path"))
+    landed = files.select("path", "length", "content")
+    if extracted is None:
+        joined = landed.withColumn("_landed", F.lit(None).cast("string"))
+    else:
+        one = extracted.groupBy("path").agg(F.max("text").alias("_landed"))
+        joined = landed.join(one, "path", "left")
+    text = F.when(suffix == ".txt", decoded_text(F.col("content"))).otherwise(strip(F.col("_landed")))
+    status = (F.when(F.col("length") > MAX_RESUME_BYTES, F.lit("too_large"))
+              .when(~F.coalesce(suffix.isin(RESUME_SUFFIXES), F.lit(False)), F.lit("unsupported"))
+              .when(text.isNull(), F.lit("needs_text")).when(text == "", F.lit("empty")).otherwise(F.lit("read")))
+    return joined.select("path", status.alias("status"), F.when(status == "read", text).alias("text"))
+
+
 def resume_texts(files: DataFrame) -> DataFrame:
     """Accepted plain-text resume files with their text; other formats come in as text already extracted."""
     plain = accepted_resumes(files).where(file_suffix(F.col("path")) == ".txt")

@@ -241,7 +241,8 @@ ORACLES: dict[str, str] = {
         FROM ranked WHERE category IN ('Data Engineering', 'Other') GROUP BY request_id, category""",
     "recommend_postings": f"""{ASKED},
         cand AS (
-          SELECT r.request_id, r.lim, r.resume, p.job_uid, p.title, p.skills
+          SELECT r.request_id, r.lim, r.resume, p.job_uid, p.title, p.skills,
+                 count(*) OVER (PARTITION BY r.request_id) AS in_window
           FROM requests r JOIN postings p ON (r.role IS NULL OR lower(p.role) = r.role)
            AND (r.company IS NULL OR lower(p.company) = r.company) AND (r.region IS NULL OR lower(p.location) = r.region)
           WHERE p.ts >= (SELECT max(ts) FROM postings) - to_days(CAST(r.days AS INTEGER))
@@ -259,7 +260,8 @@ ORACLES: dict[str, str] = {
         ranked AS (
           SELECT *, count(*) OVER (PARTITION BY request_id) AS total, row_number() OVER (
             PARTITION BY request_id ORDER BY fit DESC, m DESC, alignment DESC, job_uid) AS rank FROM scored)
-        SELECT request_id, CAST(total AS INTEGER) AS total, CAST(rank AS INTEGER) AS rank, job_uid, title,
+        SELECT request_id, CAST(total AS INTEGER) AS total, in_window AS candidates_in_window,
+          CAST(least(800, in_window) AS INTEGER) AS candidates_scored, CAST(rank AS INTEGER) AS rank, job_uid, title,
           CAST(fit AS INTEGER) AS fit_score, CAST(m AS INTEGER) AS matched_count,
           CAST(alignment AS BIGINT) AS demand_alignment, CAST(len(skills) AS INTEGER) AS job_skill_count,
           array_to_string(matched, ',') AS matched_skills,
@@ -269,7 +271,7 @@ ORACLES: dict[str, str] = {
         WHERE ts >= (SELECT max(ts) FROM every_copy) - INTERVAL 90 DAY""",
     "skill_jaccard": f"""WITH {POSTINGS},{REQUESTS},
         pairs AS (SELECT job_uid, skills, list_distinct(list_transform(resume, lambda x: lower(x))) AS own
-                  FROM postings p JOIN requests r ON p.company = r.company_raw)
+                  FROM postings p JOIN customer ON c_name = p.company JOIN requests r ON r.request_id = c_custkey)
         SELECT job_uid, round_even(len(list_intersect(skills, own))
                  / (len(skills) + len(own) - len(list_intersect(skills, own))), 6) AS similarity FROM pairs""",
     "market_status": f"""WITH {POSTINGS} SELECT count(*) AS total_jobs, count(DISTINCT role) AS total_roles,
@@ -320,6 +322,15 @@ ORACLES: dict[str, str] = {
     "decode_resume": f"""SELECT '/resumes/' || doc_id || CASE WHEN lang = 'de' THEN '.TXT' ELSE '.txt' END AS path,
           regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS text
         FROM documents WHERE lang <> 'es' AND strlen(text) <= 5242880""",
+    "resume_status": f"""WITH f AS (
+          SELECT doc_id % 7 AS part, lang = 'es' AS other, text, '/resumes/' || doc_id || CASE
+              WHEN doc_id % 7 < 3 THEN ['.PDF', '.doc', '.docx'][doc_id % 7 + 1] WHEN lang = 'de' THEN '.TXT'
+              WHEN lang = 'es' THEN '.xls' ELSE '.txt' END AS path FROM documents),
+        s AS (SELECT *, CASE WHEN part = 4 THEN 'too_large' WHEN part >= 3 AND other THEN 'unsupported'
+              WHEN part IN (1, 2) THEN 'needs_text' WHEN part = 3 THEN 'empty' ELSE 'read' END AS status FROM f)
+        SELECT path, status, CAST(CASE WHEN status <> 'read' THEN NULL WHEN part = 0 THEN length('text of ' || path)
+          ELSE length(regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '')) END AS INTEGER) AS text_length
+        FROM s""",
     "normalize_skills": """WITH raw AS (
           SELECT p_partkey, string_split(p_name, ' ') AS w, p_type,
             CASE WHEN p_size < 10 THEN 'Kubernetes' WHEN p_size < 20 THEN 'PostgreSQL' WHEN p_size < 30 THEN 'Node.js'
@@ -331,13 +342,12 @@ ORACLES: dict[str, str] = {
     "parse_skills_cell": f"""WITH {POSTINGS} SELECT job_uid,
           CASE WHEN source = '4-NOT SPECIFIED' THEN '' ELSE array_to_string(skills, '|') END AS skills FROM postings""",
     "payload_normalise": f"""WITH {POSTINGS},{_PAYLOAD}
-        SELECT CASE source WHEN '1-URGENT' THEN 'adzuna' WHEN '2-HIGH' THEN 'jooble' WHEN '3-MEDIUM' THEN 'remotive'
-                 ELSE 'arbeitnow' END AS source, t AS title, c AS company,
+        SELECT CASE source WHEN '1-URGENT' THEN 'adzuna' WHEN '2-HIGH' THEN 'jooble' WHEN '5-LOW' THEN 'arbeitnow'
+                 ELSE 'remotive' END AS source, t AS title, c AS company,
           coalesce(l, CASE WHEN source IN ('1-URGENT', '2-HIGH') THEN coalesce(searched, 'India') ELSE 'Remote' END) AS location,
           CASE WHEN source = '5-LOW' THEN ' Hot ' ELSE role END AS role, d AS description, url,
           '2024-05-01T00:00:00+00:00' AS scraped_at
-        FROM landed WHERE source IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
-           OR (source = '5-LOW' AND contains(lower(t || ' ' || d), 'hot'))""",
+        FROM landed WHERE source <> '5-LOW' OR contains(lower(t || ' ' || d), 'hot')""",
     "ingest_tagged": f"""WITH {POSTINGS},{_PAYLOAD},
         tags(skill, word) AS (VALUES ('Hot', 'hot'), ('Cold', 'cold'), ('Blue', 'blue'), ('Widget', 'widget'),
                                      ('Red', 'red'), ('Hot Gear', 'hot gear')),
@@ -366,12 +376,12 @@ ORACLES: dict[str, str] = {
                ELSE replace(link, '&amp;', '&') END AS url FROM parts""",
     "listing_postings": f"""WITH {POSTINGS}, twice(position) AS (VALUES (0), (1))
         SELECT CASE source WHEN '1-URGENT' THEN 'indeed' WHEN '2-HIGH' THEN 'wellfound' ELSE 'linkedin' END AS source,
-          title, CASE WHEN source = '3-MEDIUM' THEN company || ' & Sons' ELSE company END AS company,
+          title, CASE WHEN source IN ('1-URGENT', '2-HIGH') THEN company ELSE company || ' & Sons' END AS company,
           CASE WHEN source = '2-HIGH' THEN 'Anywhere' ELSE location END AS location, role,
           CASE source WHEN '1-URGENT' THEN 'skills : ' || description WHEN '2-HIGH' THEN description ELSE '' END AS description,
           CASE source WHEN '1-URGENT' THEN 'https://www.indeed.com' WHEN '2-HIGH' THEN 'https://wellfound.com'
                ELSE 'https://jobs.example.org' END || '/job/' || url AS url, position
-        FROM postings CROSS JOIN twice WHERE source IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
+        FROM postings CROSS JOIN twice""",
     "batch_clean": "SELECT DISTINCT lang, lower(text) AS description FROM (SELECT DISTINCT lang, text FROM documents)",
     "vector_topk": f"WITH {_CENTROIDS} SELECT doc_id, name, score FROM sims",
     "vector_hybrid": f"""WITH {_CENTROIDS}, {_doc_mentions()},
@@ -380,7 +390,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS INTEGER) AS rank, name,
           CAST(score AS DOUBLE) AS score FROM merged QUALIFY rank <= 4""",
     "ensemble_tags": f"""WITH {_CENTROIDS}, {_doc_mentions()}
-        SELECT doc_id, skill, max(v) AS value, 'ml_hybrid' AS extraction_mode FROM (
+        SELECT doc_id, skill, max(v) AS value,
+          CASE WHEN doc_id IN (SELECT vec_id FROM embeddings) THEN 'ml_hybrid' ELSE 'regex' END AS extraction_mode,
+          doc_id NOT IN (SELECT vec_id FROM embeddings) AS used_fallback FROM (
           SELECT doc_id, name AS skill, greatest(1, CAST(round_even(score * 100, 0) AS BIGINT)) AS v FROM sims
           UNION ALL SELECT doc_id, skill, mentions FROM mentions) GROUP BY doc_id, skill""",
     "stream_batch_counts": f"""WITH msgs AS (SELECT doc_id, lang || ' ' || text || CASE WHEN lang = 'en' THEN ' ' || source

@@ -150,9 +150,10 @@ def category_top_missing(spark, sf):
 @query
 def recommend_postings(spark, sf):
     postings = I.stored_postings(spark, sf)
-    answered = R.recommend_postings(I.stored_requests(spark, sf), postings, I.segments(postings))
+    answered = R.recommend_postings(I.stored_requests(spark, sf), postings, I.segments(postings),
+                                    candidate_cap=R.CANDIDATE_CAP)
     return R.recommended_jobs(answered).select(
-        "request_id", "total", "rank", "job_uid", "title", "fit_score", "matched_count", "demand_alignment",
+        "request_id", "total", "candidates_in_window", "candidates_scored", "rank", "job_uid", "title", "fit_score", "matched_count", "demand_alignment",
         "job_skill_count", joined("matched_skills"), joined("missing_skills"))
 
 
@@ -165,7 +166,8 @@ def recent_postings(spark, sf):
 @query
 def skill_jaccard(spark, sf):
     """Each posting of a customer against that customer's resume."""
-    resumes = I.requests(spark, sf).where("company <> ''").select("company", "resume_skills")
+    people = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_name").alias("company"))
+    resumes = I.requests(spark, sf).select("request_id", "resume_skills").join(people, "request_id")
     return I.postings(spark, sf).join(resumes, "company").select(
         "job_uid", F.bround(S.jaccard(F.col("skills"), F.col("resume_skills")), 6).alias("similarity"))
 
@@ -254,13 +256,31 @@ def clean_text(spark, sf):
 @query
 def decode_resume(spark, sf):
     """Documents as file contents: one language is written as Latin-1, the others as UTF-8."""
+    return files.resume_texts(_resume_files(spark, sf))
+
+
+@query
+def resume_status(spark, sf):
+    """Every file with its status: known and unknown formats, blank and too large files, texts that came in extracted."""
+    found = _resume_files(spark, sf)
+    parts = F.pmod(F.regexp_extract("path", r"(\d+)", 1).cast("bigint"), F.lit(7))
+    ending = F.element_at(F.array(*map(F.lit, [".PDF", ".doc", ".docx"])), (parts + 1).cast("int"))
+    renamed = F.when(parts < 3, F.regexp_replace("path", r"\.\w+$", ending)).otherwise(F.col("path"))
+    found = found.select(
+        renamed.alias("path"), F.when(parts == 3, F.encode(F.lit(" \n "), "UTF-8")).otherwise(F.col("content")).alias("content"),
+        F.when(parts == 4, F.lit(files.MAX_RESUME_BYTES + 1)).otherwise(F.col("length")).alias("length"))
+    extracted = found.where("path LIKE '%.PDF'").select("path", F.concat(F.lit(" text of "), "path").alias("text"))
+    return files.resume_status(found, extracted).select("path", "status", F.length("text").alias("text_length"))
+
+
+def _resume_files(spark, sf) -> DataFrame:
     latin = F.encode(F.col("text"), "ISO-8859-1")
     docs = widen_scan(I.documents(spark, sf)).select(
         F.concat(F.lit("/resumes/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "de", F.lit(".TXT"))
                  .when(F.col("lang") == "es", F.lit(".xls")).otherwise(F.lit(".txt"))).alias("path"),
         F.when((F.col("lang") == "fr") & (F.decode(latin, "ISO-8859-1") == F.col("text")), latin)
         .otherwise(F.encode(F.col("text"), "UTF-8")).alias("content"))
-    return files.resume_texts(docs.withColumn("length", F.length("content")))
+    return docs.withColumn("length", F.length("content"))
 
 
 @query
@@ -315,10 +335,10 @@ def _payload_rows(postings: DataFrame, source: str) -> DataFrame:
 @query
 def payload_normalise(spark, sf):
     p = I.stored_postings(spark, sf)
-    frames = [payloads.postings_from_payloads(_payload_rows(p.where(F.col("source") == priority), source), source,
+    frames = [payloads.postings_from_payloads(_payload_rows(p.where(F.col("source").isin(*of)), source), source,
                                               F.lit(SCRAPED_AT))
-              for priority, source in (("1-URGENT", "adzuna"), ("2-HIGH", "jooble"), ("3-MEDIUM", "remotive"),
-                                       ("5-LOW", "arbeitnow"))]
+              for of, source in ((["1-URGENT"], "adzuna"), (["2-HIGH"], "jooble"),
+                                 (["3-MEDIUM", "4-NOT SPECIFIED"], "remotive"), (["5-LOW"], "arbeitnow"))]
     return dedupe.union_all(frames).select(
         "source", "title", "company", "location", "role", "description", "url", "scraped_at")
 
@@ -385,8 +405,9 @@ def listing_postings(spark, sf):
     """Pages of each known site layout, built from postings."""
     p = I.postings(spark, sf)
     frames = []
-    for priority, source in (("1-URGENT", "indeed"), ("2-HIGH", "wellfound"), ("3-MEDIUM", "linkedin")):
-        pages = p.where(F.col("source") == priority).select(
+    for of, source in ((["1-URGENT"], "indeed"), (["2-HIGH"], "wellfound"),
+                       (["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "linkedin")):
+        pages = p.where(F.col("source").isin(*of)).select(
             F.lit("https://example.org/search").alias("page_url"), F.col("role").alias("query"),
             F.lit("Anywhere").alias("location"), _listing_html(source).alias("html"))
         frames.append(listings.postings_from_pages(pages, source, F.lit(SCRAPED_AT)))
@@ -435,7 +456,8 @@ def vector_hybrid(spark, sf):
 @query
 def ensemble_tags(spark, sf):
     mentioned = T.skill_mentions(_documents(spark, sf), ["doc_id"], "text", I.TERMS)
-    return V.ensemble_tags(_vector_hits(spark, sf), mentioned, "doc_id")
+    vectored = I.table(spark, sf, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("doc_id"))
+    return V.ensemble_tags(_vector_hits(spark, sf), mentioned, "doc_id", vectored)
 
 
 # --- streams -----------------------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Skill counts per micro-batch of job messages.
 
-Each batch is tagged and counted on the executors; only the ranking of the batch is written. Results are keyed by the
-batch id, so a batch that is delivered again after a failure replaces its own rows and counts once.
+Each batch is read once, tagged and counted on the executors. Results are keyed by the stream's id and the batch id, so
+a batch that is delivered again after a failure replaces its own rows and counts once, and a stream that starts over
+with a new checkpoint does not touch what an earlier one left. The live demand is the list written last.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ SIMPLE_TERMS = [
     "r programming", "pandas", "numpy", "scikit-learn", "git", "linux",
 ]
 _MESSAGE_SCHEMA = "struct<" + ", ".join(f"`{f}`: string" for f in MESSAGE_FIELDS) + ", `_corrupt`: string>"
-LIVE_SCHEMA = "rank int, skill string, postings bigint, demand_count bigint, batch_id bigint"
+LIVE_SCHEMA = ("rank int, skill string, postings bigint, demand_count bigint, written_at timestamp, run string, "
+               "batch_id bigint")
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = "job_postings", starting: str = "earliest") -> DataFrame:
@@ -82,20 +84,28 @@ class SkillCountSink:
 
     def __init__(self, folder: str, taxonomy: Taxonomy, top_n: int = 10, simple: bool = False):
         self.folder, self.taxonomy, self.top_n, self.simple = folder.rstrip("/"), taxonomy, top_n, simple
+        self.run = "direct"  # batches that no stream delivers
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        self.run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or self.run
+        batch = batch.persist()  # a source such as a topic is read once
+        try:
+            if not batch.isEmpty():
+                self._write(batch, f"run={self.run}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    def _write(self, batch: DataFrame, part: str) -> None:
         counts = count_terms(batch) if self.simple else count_skills(batch, self.taxonomy)
-        place = f"{self.folder}/counts/batch_id={batch_id}"
+        place = f"{self.folder}/counts/{part}"
         counts.write.mode("overwrite").parquet(place)
         written = batch.sparkSession.read.schema(counts.schema).parquet(place)
         # A batch without hits leaves the live demand as it is.
         if not written.isEmpty():
-            top_of_batch(written, self.top_n).coalesce(1).write.mode("overwrite").parquet(
-                f"{self.folder}/live/batch_id={batch_id}")
+            top_of_batch(written, self.top_n).withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode(
+                "overwrite").parquet(f"{self.folder}/live/{part}")
         parsed_messages(batch).where("rejected").select("value").write.mode("overwrite").parquet(
-            f"{self.folder}/rejected/batch_id={batch_id}")
+            f"{self.folder}/rejected/{part}")
 
     def attach(self, messages: DataFrame, checkpoint: str) -> DataStreamWriter:
         return (messages.writeStream.foreachBatch(self).outputMode("append")
@@ -103,8 +113,8 @@ class SkillCountSink:
 
 
 def batch_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("skill string, position int, postings bigint, mentions bigint, batch_id bigint").option(
-        "basePath", f"{folder}/counts").parquet(f"{folder}/counts/*")
+    return spark.read.schema("skill string, position int, postings bigint, mentions bigint, run string, batch_id bigint").parquet(
+        f"{folder}/counts")
 
 
 def live_demand(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,5 +125,5 @@ def live_demand(spark: SparkSession, folder: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return spark.createDataFrame([], LIVE_SCHEMA)
-    last = lists.agg(F.max("batch_id").alias("last")).scalar()
-    return lists.where(F.col("batch_id") == last)
+    last = lists.agg(F.max("written_at").alias("last")).scalar()
+    return lists.where(F.col("written_at") == last)

@@ -203,19 +203,19 @@ def test_recommendations_match_a_plain_loop(spark):
             total, jobs = best_jobs(rows, by_id[r.request_id], cap, r.limit, r.max_age_days)
             got = [(j.job_uid, j.fit_score, j.matched_count, j.demand_alignment) for j in r.jobs]
             assert (r.total, got) == (total, jobs), r.request_id
+            assert r.candidates_scored == min(cap, r.candidates_in_window)
 
 
-def test_recommendations_with_many_segments_use_no_broadcast(spark, monkeypatch):
+def test_recommendations_with_hot_segments(spark, monkeypatch):
     rows = make_postings()
     df = spark.createDataFrame([(1, ["python"], "data", None, None, 5, 90), (2, ["sql"], None, None, None, 5, 90)],
                                "request_id int, resume_skills array<string>, role string, company string, "
                                "region string, limit int, max_age_days int")
     postings, found = spark.createDataFrame(rows, POSTING), segments(spark, rows)
-    few = R.recommend_postings(df, postings, found).orderBy("request_id").collect()
-    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    few = R.recommend_postings(df, postings, found, candidate_cap=800).orderBy("request_id").collect()
     monkeypatch.setattr(spread, "SMALLEST_PIECE", 1)
     monkeypatch.setattr(spread, "PIECES", 1)
-    assert R.recommend_postings(df, postings, found).orderBy("request_id").collect() == few
+    assert R.recommend_postings(df, postings, found, candidate_cap=800).orderBy("request_id").collect() == few
 
 
 def test_untagged_postings_and_text_cells(spark):
@@ -228,7 +228,7 @@ def test_untagged_postings_and_text_cells(spark):
                                "request_id int, resume_skills array<string>, role string, company string, "
                                "region string, limit int, max_age_days int")
     taxonomy = Taxonomy.from_terms(["python", "sql"])
-    out = R.recommend_postings(df, postings, segments(spark, []), taxonomy=taxonomy).collect()
+    out = R.recommend_postings(df, postings, segments(spark, []), taxonomy=taxonomy, candidate_cap=800).collect()
     assert [r.request_id for r in out] == [1]
     first, second = out[0].jobs
     assert (first.job_uid, first.matched_skills, first.missing_skills, first.location) == (

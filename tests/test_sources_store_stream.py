@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from skillgrid.operators import dedupe, vectors as V
+from skillgrid import session
 from skillgrid.plans import ingest, market as M, resume
 from skillgrid.sources import files, listings, payloads
 from skillgrid.sources.store import POSTINGS_SCHEMA, MarketStore
@@ -73,6 +75,10 @@ def test_resume_files(spark, tmp_path):
     assert texts == {"a.txt": "résumé", "b.TXT": "résumé"}
     reports = {r.path[-5:]: r.skills for r in resume.read_resumes(found, Taxonomy.from_terms(["résumé"])).collect()}
     assert reports == {"a.txt": ["Résumé"], "b.TXT": ["Résumé"]}
+    extracted = found.where("path LIKE '%.pdf'").selectExpr("path", "' one ' AS text")
+    status = lambda e: {r.path[-5:]: r.status for r in files.resume_status(found, e).collect()}
+    assert status(None) == {"a.txt": "read", "b.TXT": "read", "c.xls": "unsupported", "d.txt": "too_large", "e.pdf": "needs_text"}
+    assert status(extracted)["e.pdf"] == "read"
     assert {r.path[-5:]: r.reason for r in files.rejected_resumes(found).collect()} == {
         "c.xls": "unsupported format", "d.txt": "file too large"}
 
@@ -149,10 +155,74 @@ def test_similarity_and_merging(spark):
     both = V.hybrid_hits(hits, mentioned, "doc_id", top_k=2)
     assert sorted((r.doc_id, r.rank, r.name, r.score) for r in both.collect()) == [
         (1, 1, "SQL", 1.0), (1, 2, "Go", 0.7071), (2, 1, "Go", 0.7071), (3, 1, "Git", 0.18)]
-    tags = {(r.doc_id, r.skill): r.value for r in V.ensemble_tags(hits, mentioned, "doc_id").collect()}
-    assert tags == {(1, "SQL"): 120, (1, "Go"): 71, (2, "Go"): 71, (3, "Git"): 2}
-    alone = {(r.doc_id, r.skill): r.value for r in V.ensemble_tags(hits, mentioned, "doc_id", use_text=False).collect()}
-    assert alone == {(1, "SQL"): 100, (1, "Go"): 71, (2, "Go"): 71, (3, "Git"): 2}
+    vectored = texts.where("vector IS NOT NULL")
+    tags = {tuple(r) for r in V.ensemble_tags(hits, mentioned, "doc_id", vectored).collect()}
+    assert tags == {(1, "SQL", 120, "ml_hybrid", False), (1, "Go", 71, "ml_hybrid", False),
+                    (2, "Go", 71, "ml_hybrid", False), (3, "Git", 2, "regex", True)}
+    alone = {tuple(r)[:4] for r in V.ensemble_tags(hits, mentioned, "doc_id", vectored, use_text=False).collect()}
+    assert alone == {(1, "SQL", 100, "ml"), (1, "Go", 71, "ml"), (2, "Go", 71, "ml"), (3, "Git", 2, "regex")}
+
+
+def test_vectors_that_cannot_be_compared_are_listed(spark):
+    texts = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, None]), (4, None), (5, [0.0, 1.0, 2.0])],
+                                  "doc_id int, vector array<float>")
+    terms = spark.createDataFrame([("sql", [0.5, 0.5]), ("SQL", [1.0, 0.0]), ("go", [0.0, 1.0])], "name string, vector array<double>")
+    assert sorted(map(tuple, V.similarity_hits(texts, "doc_id", terms, top_k=3).collect())) == [(1, "SQL", 1.0)]
+    assert sorted(r.doc_id for r in V.rejected_vectors(texts, "doc_id", terms).collect()) == [2, 3, 5]
+    ragged = spark.createDataFrame([("sql", [0.5]), ("go", [0.0, 1.0])], "name string, vector array<double>")
+    with pytest.raises(ValueError):
+        V.similarity_hits(texts, "doc_id", ragged)
+
+
+def test_limits_out_of_range_are_refused(spark):
+    empty = spark.createDataFrame([], POSTINGS_SCHEMA)
+    for bad in (0, 1001):
+        with pytest.raises(ValueError):
+            M.filter_options(empty, limit=bad)
+    with pytest.raises(ValueError):
+        M.top_titles(empty, limit=31)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key.replace(".", "_"), default)
+
+    class Session:
+        conf = Conf(spark_master="spark://host:7077")
+
+    with pytest.raises(ValueError):
+        session.scratch_root(Session)
+    Session.conf = Conf(spark_master="spark://host:7077", spark_checkpoint_dir="hdfs://shared/")
+    assert session.scratch_root(Session) == "hdfs://shared"
+
+
+@pytest.mark.parametrize("crash_at", ["after the old table left", "before the old table left"])
+def test_store_survives_a_crash_during_a_swap(spark, tmp_path, crash_at):
+    name = "crash_" + crash_at.split()[0]
+    store = MarketStore(spark, name, buckets=4)
+    store.upsert_postings(spark.createDataFrame([posting("a", "2024-01-01"), posting("b", "2024-01-01")], POSTINGS_SCHEMA))
+    # The state in the middle of a swap: a complete successor beside the current or the retired table.
+    third = spark.createDataFrame([posting(x, "2024-01-02", "n") for x in "abc"], POSTINGS_SCHEMA)
+    third.write.bucketBy(store.buckets, "job_uid").sortBy("job_uid").saveAsTable(f"{name}.job_postings_staging_x")
+    if crash_at.startswith("after"):
+        spark.sql(f"ALTER TABLE {name}.job_postings RENAME TO {name}.job_postings_retired")
+    again = MarketStore(spark, name, buckets=4)
+    assert again.table("job_postings").count() == (3 if crash_at.startswith("after") else 2)
+    assert again.upsert_postings(spark.createDataFrame([posting("d", "2024-01-01")], POSTINGS_SCHEMA)) == (
+        4 if crash_at.startswith("after") else 3)
+    assert {t.name for t in spark.catalog.listTables(name)} == {"job_postings", "skill_demand", "demand_segments"}
+
+
+def test_store_takes_the_retired_table_back(spark):
+    store = MarketStore(spark, "crash_lost", buckets=4)
+    store.upsert_postings(spark.createDataFrame([posting("a", "2024-01-01"), posting("b", "2024-01-01")], POSTINGS_SCHEMA))
+    spark.sql("ALTER TABLE crash_lost.job_postings RENAME TO crash_lost.job_postings_retired")
+    assert MarketStore(spark, "crash_lost", buckets=4).upsert_postings(
+        spark.createDataFrame([posting("c", "2024-01-01")], POSTINGS_SCHEMA)) == 3
 
 
 def test_similarity_in_small_slices(spark, monkeypatch):
@@ -184,12 +254,19 @@ def test_stream_counts_live_demand_and_replay(spark, tmp_path):
     assert C.live_demand(spark, out).count() == 0
     run_stream(spark, source, out, sink)
     rows = {(r.batch_id, r.skill, r.postings, r.mentions) for r in C.batch_counts(spark, out).collect()}
+    assert C.batch_counts(spark, out).select("run").distinct().count() == 1
     assert rows == {(0, "Python", 1, 2), (0, "Git", 1, 1), (1, "Git", 1, 1)}
     assert [(r.skill, r.demand_count, r.batch_id) for r in C.live_demand(spark, out).collect()] == [("Git", 1, 1)]
     assert [r.value for r in spark.read.parquet(f"{out}/rejected").where("batch_id = 0").collect()] == ['{"Job Title": "broken']
     # A batch delivered again replaces itself.
     sink(spark.read.text(str(source / "1.json")), 1)
     assert {(r.batch_id, r.skill, r.postings, r.mentions) for r in C.batch_counts(spark, out).collect()} == rows
+    # A stream that starts over counts from batch 0 again: newer data is live, and older counts stay.
+    again = C.SkillCountSink(out, Taxonomy.from_terms(["git", "python"]))
+    query = again.attach(C.file_messages(spark, str(source)), f"{out}/checkpoint2").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert C.batch_counts(spark, out).select("run").distinct().count() == 2
+    assert [(r.skill, r.demand_count, r.batch_id) for r in C.live_demand(spark, out).collect()] == [("Git", 2, 0), ("Python", 2, 0)]
 
 
 def test_simple_mode(spark):

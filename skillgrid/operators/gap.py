@@ -53,6 +53,7 @@ def with_gap(answered: DataFrame) -> DataFrame:
 
 
 def demand_reason(count: Column, skill: Column) -> Column:
+    # The texts and their bounds.
     number = count.cast("string")
     band = (
         F.when(count > 100, F.concat(F.lit("Extremely high demand ("), number, F.lit("+ job postings)")))

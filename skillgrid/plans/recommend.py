@@ -18,11 +18,15 @@ from skillgrid.operators.spread import spread_lookup
 from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
 from skillgrid.operators.unnest import unnest_structs
+from skillgrid.sources.store import POSTINGS_SCHEMA
 from skillgrid.taxonomy import Taxonomy
 
 # Newest postings of a segment that are scored, as the feature is defined; how many there were is part of the answer.
 CANDIDATE_CAP = 800
 
+# What an answer can be, from no stored table to a ranked list.
+RESULTS = ("snapshot_missing", "snapshot_empty", "snapshot_no_matches", "snapshot_ranked")
+
 # No request reaches further back, so older postings are dropped before anything is shuffled.
 MAX_AGE_DAYS = 180
 DEMAND_DEPTH = 100
@@ -147,15 +151,19 @@ def score_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("total", F.size("_overlap")).withColumn("jobs", F.transform("_best", job))
 
 
-def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataFrame, live: DataFrame | None = None,
+def recommend_postings(requests: DataFrame, postings: DataFrame | None, segments: DataFrame, live: DataFrame | None = None,
                        taxonomy: Taxonomy | None = None, *, candidate_cap: int) -> DataFrame:
     """One row per request (request_id, resume_skills, role, company, region, limit, max_age_days).
 
     Adds ``jobs`` (ranked structs), ``total`` (scored postings with any match) and ``market_result``. Of a segment the
     newest ``candidate_cap`` postings are scored: ``candidates_in_window`` and ``candidates_scored`` show what that left
-    out; a cap no smaller than the largest segment leaves out nothing.
+    out; a cap no smaller than the largest segment leaves out nothing. Without a stored table (``None``), with an empty one,
+    or without a posting in the window, ``market_result`` says so.
     ``postings`` and ``segments`` are read more than once and are best stored tables.
     """
+    missing = postings is None
+    if missing:
+        postings = requests.sparkSession.createDataFrame([], POSTINGS_SCHEMA)
     mine = F.array_distinct(clean_items(F.transform("resume_skills", F.lower)))
     valid = requests.withColumn("_mine", mine).where(F.size("_mine") > 0)
     answered = attach_demand(valid.withColumn("top_n", F.lit(DEMAND_DEPTH)), segments, live)
@@ -170,9 +178,11 @@ def recommend_postings(requests: DataFrame, postings: DataFrame, segments: DataF
     candidates = newest_candidates(dated(_candidate_skills(postings, taxonomy)), asked, candidate_cap)
     paired = spread_lookup(with_exact_segment(narrowed), candidates, SEGMENT, "request_id")
     scored = score_candidates(paired)
+    nothing = F.col("_candidates").isNull() | (F.size("_fresh") == 0)
     result = (
-        F.when(F.col("_candidates").isNull() | (F.size("_fresh") == 0), F.lit("snapshot_no_matches"))
-        .otherwise(F.lit("snapshot_ranked")))
+        F.when(F.lit(missing), F.lit(RESULTS[0]))
+        .when(postings.agg(F.count("*")).scalar() == 0, F.lit(RESULTS[1]))
+        .when(nothing, F.lit(RESULTS[2])).otherwise(F.lit(RESULTS[3])))
     return scored.select(
         *requests.columns, F.greatest(F.lit(0), F.col("total")).alias("total"),
         F.aggregate(F.filter(F.coalesce("_ages", F.array().cast("array<struct<age:bigint,n:bigint>>")),

@@ -267,6 +267,16 @@ ORACLES: dict[str, str] = {
           array_to_string(matched, ',') AS matched_skills,
           array_to_string(list_sort(list_filter(skills, lambda x: NOT list_contains(matched, x)))[1:8], ',') AS missing_skills
         FROM ranked WHERE rank <= least(20, lim)""",
+    "recommend_results": f"""WITH {POSTINGS},{REQUESTS},
+        seen AS (
+          SELECT r.request_id, count(p.job_uid) AS n FROM requests r LEFT JOIN postings p
+            ON (r.role IS NULL OR lower(p.role) = r.role) AND (r.company IS NULL OR lower(p.company) = r.company)
+           AND (r.region IS NULL OR lower(p.location) = r.region)
+           AND p.ts >= (SELECT max(ts) FROM postings) - to_days(CAST(r.days AS INTEGER)) GROUP BY r.request_id)
+        SELECT 'full' AS store, request_id, n AS candidates_in_window,
+          CASE WHEN n > 0 THEN 'snapshot_ranked' ELSE 'snapshot_no_matches' END AS market_result FROM seen
+        UNION ALL SELECT 'empty', request_id, 0, 'snapshot_empty' FROM seen
+        UNION ALL SELECT 'missing', request_id, 0, 'snapshot_missing' FROM seen""",
     "recent_postings": f"""WITH {POSTINGS},{COPIES} SELECT job_uid, role, scraped_at FROM every_copy
         WHERE ts >= (SELECT max(ts) FROM every_copy) - INTERVAL 90 DAY""",
     "skill_jaccard": f"""WITH {POSTINGS},{REQUESTS},

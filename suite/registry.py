@@ -157,6 +157,17 @@ def recommend_postings(spark, sf):
         "job_skill_count", joined("matched_skills"), joined("missing_skills"))
 
 
+@query
+def recommend_results(spark, sf):
+    """What every request is told by a full, an empty and a missing store."""
+    postings = I.stored_postings(spark, sf)
+    asked, segments = I.stored_requests(spark, sf), I.segments(postings)
+    answers = [R.recommend_postings(asked, stored, segments, candidate_cap=R.CANDIDATE_CAP).select(
+        F.lit(store).alias("store"), "request_id", "candidates_in_window", "market_result")
+        for store, stored in (("full", postings), ("empty", postings.limit(0)), ("missing", None))]
+    return dedupe.union_all(answers)
+
+
 @query
 def recent_postings(spark, sf):
     p = I.stored_postings(spark, sf)

@@ -2,8 +2,9 @@
 
 A document is cut into chunks of lines. A chunk ends after a line if a rolling value over the hashes of the last
 ``window`` lines hits a residue, so the cuts depend on nearby lines alone: a passage that stands in many documents is
-cut alike in all of them, whatever stands before it. Chunks of several lines that occur more than once in the corpus
-are removed everywhere but at their first place, after their bytes were compared.
+cut alike in all of them, whatever stands before it. A line as long as a passage is a chunk by itself. Chunks of several
+lines, or of one such line, that occur more than once in the corpus are removed everywhere but at their first place,
+after their bytes were compared.
 
 Only chunk hashes and places are counted and joined; texts are moved once to find which hashed chunks really repeat
 (grouped by the bytes themselves, pre-aggregated before the shuffle) and once to be rewritten.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skillgrid.llm.common import salted_lookup
+from skillgrid.llm.common import WORD, salted_lookup
 from skillgrid.session import stored
 
 
@@ -27,34 +28,38 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("_sha"), text.alias("_text"))
 
 
-def line_chunks(texts: DataFrame, window: int, divisor: int) -> DataFrame:
-    """Add _lines and _chunks (an array of structs n, chunk: the number of lines and their text) to texts."""
-    hashed = texts.withColumn("_lines", F.split("_text", "\n", -1)).withColumn(
-        "_values", F.transform("_lines", _line_value))
+def line_chunks(texts: DataFrame, window: int, divisor: int, passage_words: int) -> DataFrame:
+    """Add _lines and _chunks (structs n, long, chunk: lines, whether it is one long line, text) to texts."""
+    hashed = texts.withColumn("_lines", F.split("_text", "\n", -1)).withColumns({
+        "_values": F.transform("_lines", _line_value),
+        "_long": F.transform("_lines", lambda line: F.regexp_count(line, F.lit(WORD)) >= passage_words)})
 
     def cut_after(value: Column, at: Column) -> Column:
         # The rolling value: the hash of the line ``step`` places back counts 31 ** step times.
         rolling = value
         for step in range(1, window):
             rolling = rolling + F.coalesce(F.get("_values", at - step), F.lit(0)) * (31 ** step)
-        return F.when((rolling % divisor == 0) | (at == F.size("_values") - 1), at)
+        alone = F.get("_long", at) | F.coalesce(F.get("_long", at + 1), F.lit(False))
+        return F.when((rolling % divisor == 0) | alone | (at == F.size("_values") - 1), at)
 
     ends = F.filter(F.transform("_values", cut_after), lambda e: e.isNotNull())
 
     def chunk(end: Column, i: Column) -> Column:
         before = F.when(i == 0, F.lit(-1)).otherwise(F.get("_ends", i - 1))
-        return F.struct((end - before).alias("n"),
+        return F.struct((end - before).alias("n"), F.get("_long", end).alias("long"),
                         F.array_join(F.slice("_lines", before + 2, end - before), "\n").alias("chunk"))
 
-    return hashed.withColumn("_ends", ends).withColumn("_chunks", F.transform("_ends", chunk)).drop("_values", "_ends")
+    return hashed.withColumn("_ends", ends).withColumn("_chunks", F.transform("_ends", chunk)).drop(
+        "_values", "_ends", "_long")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2,
-                    divisor: int = 3, min_lines: int = 2) -> DataFrame:
+                    divisor: int = 3, min_lines: int = 2, passage_words: int = 50) -> DataFrame:
     """Every later place of a repeated chunk: _id, _sha, _at, _chunk (the text to compare with)."""
-    cut = line_chunks(_texts(docs, id_col, text_col), window, divisor)
-    placed = F.transform("_chunks", lambda c, i: F.struct(i.alias("at"), c["n"].alias("n"), c["chunk"].alias("chunk")))
-    several = F.filter(placed, lambda s: (s["n"] >= min_lines) & (F.trim(s["chunk"]) != ""))
+    cut = line_chunks(_texts(docs, id_col, text_col), window, divisor, passage_words)
+    placed = F.transform("_chunks", lambda c, i: F.struct(
+        i.alias("at"), ((c["n"] >= min_lines) | c["long"]).alias("passage"), c["chunk"].alias("chunk")))
+    several = F.filter(placed, lambda s: s["passage"] & (F.trim(s["chunk"]) != ""))
     rows = cut.select("_id", "_sha", F.explode(several).alias("_s")).select(
         "_id", "_sha", F.col("_s.at").alias("_at"), F.col("_s.chunk").alias("_chunk"),
         F.xxhash64("_s.chunk").alias("_h"))
@@ -68,20 +73,20 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2,
-                           divisor: int = 3, min_lines: int = 2) -> DataFrame:
+                           divisor: int = 3, min_lines: int = 2, passage_words: int = 50) -> DataFrame:
     """One row per document: doc_id, text, n_lines, removed_lines, removed_chunks.
 
     The first place of a repeated chunk (smallest id, null ids first, then MD5 of the text, then position) keeps it;
     elsewhere its lines leave the text. A null or empty text is one empty line and stays empty. Chunks of blanks only
     are left alone. Rows that repeat id and text count as one place. Other columns of ``docs`` are not read.
     """
-    found = repeated_chunks(docs, id_col, text_col, window, divisor, min_lines)
+    found = repeated_chunks(docs, id_col, text_col, window, divisor, min_lines, passage_words)
     # At most one entry per chunk of the document itself.
     lists = found.groupBy("_id", "_sha").agg(F.collect_set(F.struct("_at", "_chunk")).alias("_drop"))
     left, right = _texts(docs, id_col, text_col).alias("a"), lists.alias("b")
     same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._sha") == F.col("b._sha"))
     joined = left.join(right, same, "left").select("a._id", "a._text", "b._drop")
-    cut = line_chunks(joined, window, divisor)
+    cut = line_chunks(joined, window, divisor, passage_words)
     # Byte comparison: a chunk goes only if it equals the stored text of the repeat.
     gone = F.transform("_chunks", lambda c, i: F.exists(
         F.coalesce("_drop", F.array().cast("array<struct<_at:int,_chunk:string>>")),

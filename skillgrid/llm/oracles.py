@@ -15,17 +15,21 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
   FROM documents),
-v AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS v FROM l),
+v AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS v,
+             len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50 AS passage FROM l),
 e AS (
-  SELECT *, CASE WHEN (v + 31 * coalesce(lag(v) OVER w, 0)) % 3 = 0 OR lead(v) OVER w IS NULL THEN 1 ELSE 0 END AS cut
+  SELECT *, CASE WHEN (v + 31 * coalesce(lag(v) OVER w, 0)) % 3 = 0 OR lead(v) OVER w IS NULL OR passage
+                   OR lead(passage) OVER w THEN 1 ELSE 0 END AS cut
   FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 c AS (
   SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     AS chunk FROM e),
-g AS (SELECT doc_id, chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS body FROM c GROUP BY ALL),
+g AS (
+  SELECT doc_id, chunk, count(*) AS n_lines, count(*) >= 2 OR bool_or(passage) AS whole,
+         string_agg(line, chr(10) ORDER BY n) AS body FROM c GROUP BY doc_id, chunk),
 r AS (
-  SELECT *, n_lines >= 2 AND trim(body) <> ''
-    AND row_number() OVER (PARTITION BY body, n_lines >= 2 ORDER BY doc_id, chunk) > 1 AS gone FROM g),
+  SELECT *, whole AND trim(body) <> ''
+    AND row_number() OVER (PARTITION BY body, whole ORDER BY doc_id, chunk) > 1 AS gone FROM g),
 o AS (
   SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines,
          count(*) FILTER (gone) AS removed_chunks,

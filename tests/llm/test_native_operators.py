@@ -133,6 +133,14 @@ def test_repeated_passages_leave_all_but_the_first(spark):
     assert all(got[i].removed_chunks == 0 and got[i].text == t for i, t in rows[40:])
 
 
+def test_a_repeated_long_line_is_a_passage(spark):
+    passage = " ".join(f"word{i}" for i in range(55))
+    rows = [(i, f"head {i}\n{passage}\ntail {i}") for i in range(5)] + [(9, f"head\n{passage[:-1]}\nshort\nother")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_chunks(docs).collect()}
+    assert got == {0: rows[0][1], **{i: f"head {i}\ntail {i}" for i in range(1, 5)}, 9: rows[-1][1]}
+
+
 def test_line_dedup_on_odd_tables(odd_docs, no_docs, clashing_docs):
     got = line_dedup.remove_repeated_chunks(odd_docs)
     assert got.count() == len(ROWS)

@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skillgrid.session import stored
+
 # White space and words of the corpus contracts; the class is meant for Java, RE2 and Python patterns alike.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
@@ -68,3 +70,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def without_rows(docs: DataFrame, decided: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """``docs`` without the rows that ``decided`` (doc_id, _h, _stays, _rows) drops, and repeated rows once.
+
+    Rows are told apart by id and ``digest``. What goes is usually little: its keys are written, so Spark knows their
+    size and need not shuffle the texts to take it out.
+    """
+    key = free_name(docs, "_row_digest")
+    keyed = docs.withColumn(key, digest)
+    gone = stored(decided.where("NOT _stays").select("doc_id", "_h"), "dropped_rows")
+    again = stored(decided.where("_stays AND _rows > 1").select("doc_id", "_h"), "repeated_rows")
+
+    def same(rows: DataFrame) -> Column:
+        return (keyed[key] == rows["_h"]) & keyed[id_col].eqNullSafe(rows["doc_id"])
+
+    once = keyed.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
+    repeated = keyed.join(again, same(again), "left_semi").dropDuplicates([id_col, key])
+    return once.unionByName(repeated).drop(key)

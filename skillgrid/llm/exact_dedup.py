@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skillgrid.llm.common import ascii_lower, free_name, salted_lookup
+from skillgrid.llm.common import ascii_lower, free_name, salted_lookup, without_rows
 from skillgrid.session import stored
 
 _ODD = -1  # stands for the missing right half of an odd last name; names are never negative
@@ -94,10 +94,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id; repeated rows once."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    found = stored(exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(
+        F.bool_or("kept").alias("_stays"), F.count("*").alias("_rows")), "exact_groups")
     sha = free_name(docs, "_text_sha")
     marked = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    unique = marked.dropDuplicates([id_col, sha])
-    same = unique[id_col].eqNullSafe(kept["_id"]) & (unique[sha] == kept["_sha"])
-    return unique.join(kept, same, "left_semi").drop(sha)
+    return without_rows(marked, found.select("doc_id", F.xxhash64("text_sha256").alias("_h"), "_stays", "_rows"),
+                        id_col, F.xxhash64(sha)).drop(sha)

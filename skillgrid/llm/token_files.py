@@ -17,6 +17,8 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 _STEP = 4096  # bits between two stored counts of ones
-_MEMO = 300_000
+_MEMO = 600_000
 _UNITS = re.compile(r"[^\x20\x09-\x0D]+")
-# Latin letters that stay as they are under NFC, then full stops and commas: two runs that the tokenizer never joins.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+# Latin letters that stay as they are under NFC. Full stops and commas after them are a run of their own to the tokenizer.
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 @dataclass
@@ -115,56 +117,83 @@ class WaveletMatrix:
         return current
 
 
-def word_encoder(path: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
-    """Encode texts with the tokenizer file at ``path``: little-endian unsigned 32-bit ids, the end id last."""
+def _units(text: str) -> list[str]:
+    """Runs between ASCII white space. The tokenizer lower-cases each character, which is safe to do first in Latin-1."""
+    if text.isascii():
+        # ``str.split`` would also cut at four controls.
+        return _UNITS.findall(text.lower()) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower().split()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNITS.findall(text)
+    return _UNITS.findall(text.lower())
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], Iterator[bytes]]:
+    """Encode texts with the tokenizer file at ``path``: little-endian unsigned 32-bit ids, the end id last.
+
+    Kept by the worker process, so its memo serves all tasks that the process runs.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # Lower-case Latin letters between spaces pass the normaliser and the word pattern as they are, so these may rest.
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     ends_word[[i for t, i in tokenizer.get_vocab(False).items() if t.endswith("</w>")]] = True
-    stop, memo, cores = np.array([end_id], "<u4").tobytes(), {}, {}
 
-    def library(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def packed_ids(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    stop, memo, cores, tails = packed_ids([end_id]), {}, {}, {"": b""}
+
+    def library(texts: list[str], by: Tokenizer = tokenizer) -> list[list[int]]:
+        return [e.ids for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_words(words: list[str]) -> None:
         """Words of plain letters go to the tokenizer in lines; each ends with its only word-end token."""
         lines = [words[i:i + 200] for i in range(0, len(words), 200)]
-        for line, ids in zip(lines, library([" ".join(line) for line in lines])):
+        for line, ids in zip(lines, library([" ".join(line) for line in lines], bare)):
             packed = np.array(ids, "<u4")
-            cuts = np.flatnonzero(ends_word[packed]) + 1
+            cuts = (4 * (np.flatnonzero(ends_word[packed]) + 1)).tolist()
             assert len(cuts) == len(line), "the tokenizer joined words"
-            begin = 0
-            for word, cut in zip(line, cuts.tolist()):
-                cores[word] = packed[begin:cut].tobytes()
-                begin = cut
-
-    def learn(units: list[str]) -> None:
-        plain, odd = [], []
-        for unit in units:
-            found = _PLAIN.fullmatch(unit)
-            plain.append((unit, found[1].lower(), found[2])) if found else odd.append(unit)
-        learn_words([w for w in dict.fromkeys(core for _, core, _ in plain) if w not in cores])
-        tails = {t: np.array(ids, "<u4").tobytes() for tails in [list({t for _, _, t in plain if t})]
-                 for t, ids in zip(tails, library(tails))}
-        for unit, core, tail in plain:
-            memo[unit] = cores[core] + tails[tail] if tail else cores[core]
+            raw = packed.tobytes()
+            for word, begin, end in zip(line, [0, *cuts], cuts):
+                cores[word] = raw[begin:end]
+
+    def plain(word: str) -> bool:
+        return (word.isascii() and word.isalpha()) or _LATIN.fullmatch(word) is not None
+
+    def learn(units: set[str]) -> None:
+        split = [(unit, core.lower(), unit[len(core):]) for unit in units for core in (unit.rstrip(".,"),)]
+        learn_words([w for w in {core for _, core, _ in split} if w not in cores and plain(w)])
+        for tail in {tail for _, _, tail in split} - tails.keys():
+            tails[tail] = packed_ids(library([tail])[0])
+        odd = []
+        for unit, core, tail in split:
+            if core in cores:
+                memo[unit] = cores[core] + tails[tail]
+            else:
+                odd.append(unit)
         for unit, ids in zip(odd, library(odd)):
-            memo[unit] = np.array(ids, "<u4").tobytes()
+            memo[unit] = packed_ids(ids)
 
     def encode(texts: list[str | None]) -> Iterator[bytes]:
         for begin in range(0, len(texts), 200):
-            if len(memo) > _MEMO:
-                memo.clear()
-            if len(cores) > _MEMO:
-                cores.clear()
-            split = [_UNITS.findall(t or "") for t in texts[begin:begin + 200]]
-            new = {u for units in split for u in units if u not in memo}
+            for held in (memo, cores, tails):
+                if len(held) > _MEMO:
+                    held.clear()
+            tails[""] = b""
+            split = [_units(t or "") for t in texts[begin:begin + 200]]
+            new = set(chain.from_iterable(split)).difference(memo)
             if new:
-                learn(list(new))
+                learn(new)
             for units in split:
-                yield b"".join([memo[u] for u in units]) + stop
+                yield b"".join(map(memo.__getitem__, units)) + stop
 
     return encode
 

@@ -28,7 +28,8 @@ from skillgrid.session import stored
 
 SPACE = "▁"
 _LONGEST_UNIT = 64  # characters of a unit that goes through the lattice
-_MEMO = 300_000
+_MEMO = 200_000
+_ROWS = 200  # texts that are held as Python objects together
 
 
 @dataclass(frozen=True)
@@ -189,8 +190,7 @@ def fold_viterbi(lattices: DataFrame, byte_ids: tuple[int, ...], unknown: float
 
 def encoded_units(docs: DataFrame, model: PieceModel, text_col: str = "text", share: float = 1 / 200_000) -> DataFrame:
     """word, ids of every unit with at least ``share`` of all units: at most 1 / share rows."""
-    counts = unit_counts(docs, model, text_col)
-    # Counted once and cut by a second aggregate over the same exchange.
+    counts = stored(unit_counts(docs, model, text_col), "unit_counts")
     least = counts.agg(F.sum("n")).scalar() * share
     frequent = counts.where((F.col("n") >= least) & (F.char_length("word") <= _LONGEST_UNIT)).select("word")
     return fold_merges(lattice(frequent, model.table(docs.sparkSession), model.longest), model.byte_ids)
@@ -225,8 +225,8 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
             return found
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(begin, _ROWS)
                 coded = [b"".join(map(unit, pattern.findall(prepared(t or "")))) for t in part["_text"].to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
@@ -245,11 +245,12 @@ def decode_documents(encoded: DataFrame, model: PieceModel, keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: Callable[[int], bytes] = shared.value.__getitem__
-        for batch in batches:
+        # A few rows at a time: ids are many small objects as a list.
+        for part in (batch.slice(at, _ROWS) for batch in batches for at in range(0, batch.num_rows, _ROWS)):
             decoded = [b"".join(map(texts, ids or [])).decode("utf-8", "replace").removeprefix(" ")
-                       for ids in batch["ids"].to_pylist()]
+                       for ids in part["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["ids"], pa.array(decoded, pa.string()), *(batch[c] for c in keep)],
+                [part["doc_id"], part["ids"], pa.array(decoded, pa.string()), *(part[c] for c in keep)],
                 names=["doc_id", "ids", "text", *keep])
 
     return encoded.select("doc_id", "ids", *keep).mapInArrow(

@@ -2,9 +2,11 @@
 
 The automaton is built once from the templates (a bounded list that the caller supplies) and sent to the tasks. A text is
 streamed through it word by word: the state is the longest run of words ending here that stands in some template
-(matching statistics). Where a run cannot be extended it is a maximal match; long matches of one template that follow
-each other in the text and in the template are chained into a span, and a span that covers enough of its template gives
-the template's label. Phrases are templates too, and every place of a phrase is counted on the way.
+(matching statistics), and its suffix links hold the longest run of every other template. Where a template's own run
+cannot be extended it is a maximal match, whatever other templates hold, so a notice inside a longer one is found too;
+long matches of one template that follow each other in the text and in the template are chained into a span, and a span
+that covers enough of its template gives the template's label. Phrases are templates too, and every place of a phrase is
+counted on the way.
 
 One pass over each text, linear in its words, in Arrow batches; no shuffle. Texts are handled as UTF-8 bytes, where
 lower-casing A-Z and the word pattern mean the same as on characters.
@@ -99,6 +101,7 @@ class LicenseAutomaton:
                     up = self.states[up].link
                 if up == own:
                     self.phrases[s].append((len(words), label))
+        self.stops: dict[tuple[int, int], tuple[list, list]] = {}  # filled by _stopped
 
     def _add(self, words: list[bytes], number: int | None) -> None:
         last = 0
@@ -137,20 +140,54 @@ class LicenseAutomaton:
             at = states[at].link
         return half
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
-        """Places (start, label) of phrases, and maximal matches (end, length, template, template end)."""
+    def _runs(self, state: int) -> dict[int, tuple[int, list[int]]]:
+        """Per template the state on the suffix path that holds its longest run, and the places where that run ends."""
+        runs: dict[int, tuple[int, list[int]]] = {}
+        at = state
+        while at > 0 and (at == state or self.states[at].length >= self.settings.min_match):
+            for template, place in sorted(self.states[at].ends):
+                if runs.setdefault(template, (at, []))[0] == at:
+                    runs[template][1].append(place)
+            at = self.states[at].link
+        return runs
+
+    def _stopped(self, old: int, new: int) -> tuple[list, list]:
+        """Runs that end with the step from ``old`` to ``new``: (template, place) of the full match, (length, template,
+        place) of shorter ones."""
+        if (old, new) not in self.stops:
+            states, after = self.states, self._runs(new)
+            source = old  # the state on the suffix path that the step starts from
+            while source > 0 and new not in states[source].step.values():
+                source = states[source].link
+            full, shorter = [], []
+            for template, (at, places) in self._runs(old).items():
+                held = after.get(template, (0, []))[0]
+                if at == source if held == new else states[held].length == states[at].length + 1 and at != old:
+                    continue  # one word longer now
+                if at == old:
+                    full += [(template, p) for p in places]
+                else:
+                    shorter += [(states[at].length, template, p) for p in places]
+            self.stops[old, new] = full, shorter
+        return self.stops[old, new]
+
+    def scan(self, words: list[bytes], per_template: bool = False) -> tuple[list[tuple[int, str]],
+                                                                            list[tuple[int, int, int, int]]]:
+        """Places (start, label) of phrases, and maximal matches (end, length, template, template end).
+
+        The matches are those of the longest runs, or with ``per_template`` those of every template by itself.
+        """
         states, phrases, shortest = self.states, self.phrases, self.settings.min_match
         places, matches = [], []
         root, state, length = states[0].step, 0, 0
         for at, word in enumerate(words):
+            old, run = state, length
             if not state:
                 state = root.get(word, 0)
                 length = 1 if state else 0
             else:
                 following = states[state].step.get(word)
                 if following is None:
-                    if length >= shortest:
-                        matches += [(at - 1, length, t, end) for t, end in sorted(states[state].ends)]
                     while state and word not in states[state].step:
                         state = states[state].link
                         length = states[state].length
@@ -159,12 +196,19 @@ class LicenseAutomaton:
                     state = length = 0
                 else:
                     state, length = following, length + 1
+            if run >= shortest and (per_template or length <= run):
+                matches += self._matches(at - 1, run, old, state, per_template)
             if state and phrases[state]:
                 places += [(at - n + 1, label) for n, label in phrases[state] if n <= length]
-        if state and length >= shortest:
-            matches += [(len(words) - 1, length, t, end) for t, end in sorted(states[state].ends)]
+        if length >= shortest:
+            matches += self._matches(len(words) - 1, length, state, 0, per_template)
         return places, matches
 
+    def _matches(self, at: int, length: int, old: int, new: int, per_template: bool) -> list[tuple[int, int, int, int]]:
+        full, shorter = self._stopped(old, new)
+        found = [(at, length, t, end) for t, end in full]
+        return found + [(at, n, t, end) for n, t, end in shorter] if per_template else found
+
     def spans(self, matches) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, coverage) of chains that cover enough of their template."""
         found, chains = [], {}
@@ -199,7 +243,7 @@ _RESULT = (f"n_words bigint, n_base bigint, first_word bigint, last_word bigint,
 
 def _row(automaton: LicenseAutomaton, text: bytes | None) -> dict:
     words = words_of(text or b"")
-    places, matches = automaton.scan(words)
+    places, matches = automaton.scan(words, per_template=True)
     spans = automaton.spans(matches)
     starts = [p for p, _ in places]
     base = {label for _, label in places}

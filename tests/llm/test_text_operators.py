@@ -116,6 +116,36 @@ def test_license_spans(spark):
     assert (got[3].labels, got[3].base_labels, got[3].score) == ("bsd", "", 1.0)
 
 
+def test_license_templates_do_not_hide_each_other():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        long = list(rng.choice(list("abcd"), 14))
+        notices = [(" ".join(t), f"t{i}") for i, t in enumerate(
+            (long, long[:5], long[3:9], long[3:6], long[-4:], list(rng.choice(list("abcd"), 10))))]
+        known = license_scan.LicenseAutomaton((), notices)
+        words = [w.encode() for w in [*rng.choice(list("abcde"), 20), *long, *rng.choice(list("abcd"), 20), *long[2:11]]]
+        got = known.scan(words, per_template=True)[1]
+        spans = []
+        for i, (notice, label) in enumerate(notices):
+            template = notice.encode().split()
+            runs = [max(n for n in range(min(len(template), at + 1) + 1) if n == 0 or any(
+                template[j:j + n] == words[at + 1 - n:at + 1] for j in range(len(template)))) for at in range(len(words))]
+            want = [(at, n, j + n - 1) for at, n in enumerate(runs) if n >= 3 and [*runs, 0][at + 1] <= n
+                    for j in range(len(template) - n + 1) if template[j:j + n] == words[at + 1 - n:at + 1]]
+            assert [(at, n, place) for at, n, t, place in got if t == i] == want
+            spans += license_scan.LicenseAutomaton((), [(notice, label)]).spans([(a, n, 0, p) for a, n, p in want])
+        assert known.spans(got) == sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+
+
+def test_license_notice_inside_a_longer_one(spark):
+    header = dict((label, text) for text, label in license_scan.NOTICES)["apache"]
+    docs = spark.createDataFrame([(1, header), (2, "Licensed under the Apache License, Version 2.0.")],
+                                 "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert got[1].labels == got[2].labels == "apache,apache-2.0"
+    assert {(s.label, s.first_word, s.coverage) for s in got[1].spans} == {("apache", 0, 1.0), ("apache-2.0", 0, 1.0)}
+
+
 def test_license_on_odd_tables(odd_docs, no_docs, clashing_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
     assert license_scan.scan_licenses(clashing_docs).count() == license_scan.scan_licenses(odd_docs).count() == len(ROWS)

@@ -1,13 +1,13 @@
 """Best-fitting postings for tables of resumes.
 
-Per segment the newest postings are candidates (800 unless told otherwise, as the feature is defined). A segment's
-candidates travel as one bounded array, so a request meets them in a single row and is scored, ranked and cut there:
-request-posting pairs are never shuffled.
+Per segment the newest postings are candidates (800, as the feature is defined), or all of the window. Candidates travel
+as bounded arrays, one per segment under a cap and as many as it takes without one, so a request meets them in a few rows
+and is scored and ranked there: request-posting pairs are never shuffled, only each array's best.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from skillgrid.functions.binding import bind
@@ -17,13 +17,17 @@ from skillgrid.operators.demand import COMPANY, LOCATION, ROLE, SEGMENT, attach_
 from skillgrid.operators.spread import spread_lookup
 from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
-from skillgrid.operators.unnest import unnest_structs
+from skillgrid.operators.unnest import unnest, unnest_structs
+from skillgrid.session import stored
 from skillgrid.sources.store import POSTINGS_SCHEMA
 from skillgrid.taxonomy import Taxonomy
 
 # Newest postings of a segment that are scored, as the feature is defined; how many there were is part of the answer.
 CANDIDATE_CAP = 800
 
+# Postings in an array where all of a segment are scored; a segment has as many arrays as it needs.
+PART_SIZE = 800
+
 # What an answer can be, from no stored table to a ranked list.
 RESULTS = ("snapshot_missing", "snapshot_empty", "snapshot_no_matches", "snapshot_ranked")
 
@@ -77,6 +81,18 @@ def _posting_segments() -> Column:
     return F.expr(f"array_compact(array({', '.join(options)}))")
 
 
+def _by_segment(postings: DataFrame) -> DataFrame:
+    """One row per posting and segment it belongs to."""
+    keyed = postings.select("*", *[F.lower(strip(F.col(c))).alias(f"_{c}") for c in ("role", "company", "location")])
+    return unnest_structs(keyed, postings.columns, _posting_segments())
+
+
+def _shown() -> Column:
+    return F.struct(
+        "job_uid", "source", "title", "company", "location", "role", "url", "skills",
+        F.array_distinct(F.transform("skills", F.lower)).alias("names"), F.col("_ts").alias("ts"))
+
+
 def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     """One row per wanted segment with an array of its newest postings.
 
@@ -84,19 +100,25 @@ def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataF
     size of the all-open segment. ``_ages`` counts all postings of the segment by age in whole days, started days
     included, so that a request can tell how many the cut left out.
     """
-    keyed = postings.select("*", *[F.lower(strip(F.col(c))).alias(f"_{c}") for c in ("role", "company", "location")])
-    spread = unnest_structs(keyed, postings.columns, _posting_segments())
+    spread = _by_segment(postings)
     order = [F.col("_ts").desc_nulls_last(), F.col("scraped_at").desc_nulls_last(), F.col("job_uid").asc()]
     top = top_per_group(spread, SEGMENT, order, cap, "job_uid")
     top = top.join(wanted, SEGMENT, "left_semi")
     age = F.ceil((F.unix_micros("_newest") - F.unix_micros("_ts")) / 86_400_000_000)
     ages = spread.groupBy(*SEGMENT, F.coalesce(age, F.lit(0)).alias("age")).agg(F.count("*").alias("n"))
     ages = ages.groupBy(*SEGMENT).agg(F.collect_list(F.struct("age", "n")).alias("_ages"))  # one entry per day of age
-    shown = F.struct(
-        "job_uid", "source", "title", "company", "location", "role", "url", "skills",
-        F.array_distinct(F.transform("skills", F.lower)).alias("names"), F.col("_ts").alias("ts"))
     # At most ``cap`` entries per group.
-    return top.groupBy(*SEGMENT).agg(F.collect_list(shown).alias("_candidates")).join(ages, SEGMENT)
+    return top.groupBy(*SEGMENT).agg(F.collect_list(_shown()).alias("_candidates")).join(ages, SEGMENT)
+
+
+def all_candidates(postings: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All postings of the wanted segments as arrays of about ``PART_SIZE`` (segment, _part), and each segment's _parts."""
+    spread = _by_segment(postings)
+    sizes = spread.groupBy(*SEGMENT).agg(F.ceil(F.count("*") / PART_SIZE).cast("int").alias("_parts"))
+    sizes = stored(sizes.join(wanted, SEGMENT, "left_semi"), "segment_parts")
+    part = F.pmod(F.xxhash64("job_uid"), F.col("_parts")).cast("int")
+    dealt = spread_lookup(spread, sizes, SEGMENT, "job_uid").where("_parts IS NOT NULL").withColumn("_part", part)
+    return dealt.groupBy(*SEGMENT, "_part").agg(F.collect_list(_shown()).alias("_candidates")), sizes
 
 
 def _last_spelling(skills: Column, name: Column) -> Column:
@@ -152,13 +174,13 @@ def score_candidates(df: DataFrame) -> DataFrame:
 
 
 def recommend_postings(requests: DataFrame, postings: DataFrame | None, segments: DataFrame, live: DataFrame | None = None,
-                       taxonomy: Taxonomy | None = None, *, candidate_cap: int) -> DataFrame:
+                       taxonomy: Taxonomy | None = None, *, candidate_cap: int | None) -> DataFrame:
     """One row per request (request_id, resume_skills, role, company, region, limit, max_age_days).
 
     Adds ``jobs`` (ranked structs), ``total`` (scored postings with any match) and ``market_result``. Of a segment the
     newest ``candidate_cap`` postings are scored: ``candidates_in_window`` and ``candidates_scored`` show what that left
-    out; a cap no smaller than the largest segment leaves out nothing. Without a stored table (``None``), with an empty one,
-    or without a posting in the window, ``market_result`` says so.
+    out. With ``None`` all postings in the window are scored and counted. Without a stored table (``None``), with an empty
+    one, or without a posting in the window, ``market_result`` says so.
     ``postings`` and ``segments`` are read more than once and are best stored tables.
     """
     missing = postings is None
@@ -175,21 +197,54 @@ def recommend_postings(requests: DataFrame, postings: DataFrame | None, segments
         *requests.columns, "_mine", "_wanted", "_cutoff", days.alias("_days"))
 
     asked = with_exact_segment(requests.select("role", "company", "region")).select(*SEGMENT).distinct()
-    candidates = newest_candidates(dated(_candidate_skills(postings, taxonomy)), asked, candidate_cap)
-    paired = spread_lookup(with_exact_segment(narrowed), candidates, SEGMENT, "request_id")
-    scored = score_candidates(paired)
-    nothing = F.col("_candidates").isNull() | (F.size("_fresh") == 0)
+    recent, asking = dated(_candidate_skills(postings, taxonomy)), with_exact_segment(narrowed)
+    if candidate_cap is None:
+        scored = _scored_in_parts(asking, recent, asked, requests.columns)
+    else:
+        candidates = newest_candidates(recent, asked, candidate_cap)
+        scored = score_candidates(spread_lookup(asking, candidates, SEGMENT, "request_id"))
+        in_window = F.aggregate(
+            F.filter(F.coalesce("_ages", F.array().cast("array<struct<age:bigint,n:bigint>>")),
+                     lambda a: F.col("_cutoff").isNull() | (a["age"] <= F.col("_days"))),
+            F.lit(0).cast("bigint"), lambda s, a: s + a["n"])
+        scored = scored.select(
+            *requests.columns, F.greatest(F.lit(0), F.col("total")).alias("total"), in_window.alias("candidates_in_window"),
+            F.greatest(F.lit(0), F.size("_fresh")).alias("candidates_scored"), F.coalesce("jobs", F.array()).alias("jobs"))
     result = (
         F.when(F.lit(missing), F.lit(RESULTS[0]))
         .when(postings.agg(F.count("*")).scalar() == 0, F.lit(RESULTS[1]))
-        .when(nothing, F.lit(RESULTS[2])).otherwise(F.lit(RESULTS[3])))
-    return scored.select(
-        *requests.columns, F.greatest(F.lit(0), F.col("total")).alias("total"),
-        F.aggregate(F.filter(F.coalesce("_ages", F.array().cast("array<struct<age:bigint,n:bigint>>")),
-                             lambda a: F.col("_cutoff").isNull() | (a["age"] <= F.col("_days"))),
-                    F.lit(0).cast("bigint"), lambda s, a: s + a["n"]).alias("candidates_in_window"),
-        F.greatest(F.lit(0), F.size("_fresh")).alias("candidates_scored"),
-        F.coalesce("jobs", F.array()).alias("jobs"), result.alias("market_result"))
+        .when(F.col("candidates_scored") == 0, F.lit(RESULTS[2])).otherwise(F.lit(RESULTS[3])))
+    return scored.withColumn("market_result", result)
+
+
+def _scored_in_parts(asking: DataFrame, postings: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """Every request against every array of its segment; the arrays' counts are added and their best ranked again."""
+    parts, sizes = all_candidates(postings, asked)
+    # A request is told apart by its row, as ids may repeat; written, so that the numbers stay.
+    asking = asking.join(sizes, SEGMENT, "left").withColumn("_row", F.monotonically_increasing_id())
+    asking = stored(asking.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(
+        "_parts"), "requests_by_part")
+    met = score_candidates(spread_lookup(asking, parts, [*SEGMENT, "_part"], "_row"))
+    limit = clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, 20)
+    met = stored(met.select(
+        "_row", *columns, limit.alias("_limit"), F.greatest(F.lit(0), F.col("total")).alias("_total"),
+        F.greatest(F.lit(0), F.size("_fresh")).alias("_scored"), "jobs"), "scored_parts")
+
+    best = unnest(met, ["_row", "_limit"], "jobs", "_job").withColumn("_uid", F.col("_job.job_uid"))
+    order = [F.col("_job.fit_score").desc(), F.col("_job.matched_count").desc(), F.col("_job.demand_alignment").desc(),
+             F.col("_uid").asc()]
+    ranked = top_per_group(best.select("_row", "_limit", "_uid", "_job"), ["_row"], order, 20, "_uid")
+    placed = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_row").orderBy(*order)))
+    placed = placed.where(F.col("_rank") <= F.col("_limit")).withColumn(
+        "_job", F.col("_job").withField("rank", F.col("_rank")))
+    # At most 20 entries per request.
+    lists = placed.groupBy("_row").agg(F.sort_array(F.collect_list("_job")).alias("jobs"))  # by rank, the first field
+    sums = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in columns], F.sum("_total").cast("int").alias("total"),
+                                   F.sum("_scored").alias("_scored"))
+    nothing = F.array().cast(lists.schema["jobs"].dataType)
+    return sums.join(lists, "_row", "left").select(
+        *columns, "total", F.col("_scored").alias("candidates_in_window"),
+        F.col("_scored").cast("int").alias("candidates_scored"), F.coalesce("jobs", nothing).alias("jobs"))
 
 
 def recommended_jobs(answered: DataFrame) -> DataFrame:

@@ -418,3 +418,8 @@ ORACLES: dict[str, str] = {
         WHERE contains(lower(text), term) GROUP BY skill""",
     "replayed_rows": "SELECT doc_id, text FROM documents",
 }
+
+# The same answer without the cut at the newest 800.
+ORACLES["recommend_all_postings"] = ORACLES["recommend_postings"].replace(
+    "QUALIFY row_number() OVER (PARTITION BY r.request_id ORDER BY p.scraped_at DESC, p.job_uid) <= 800", "").replace(
+    "least(800, in_window)", "in_window")

@@ -147,16 +147,26 @@ def category_top_missing(spark, sf):
 
 # --- recommendations ---------------------------------------------------------------------------------------------
 
-@query
-def recommend_postings(spark, sf):
+def _recommended(spark, sf, candidate_cap: int | None):
     postings = I.stored_postings(spark, sf)
     answered = R.recommend_postings(I.stored_requests(spark, sf), postings, I.segments(postings),
-                                    candidate_cap=R.CANDIDATE_CAP)
+                                    candidate_cap=candidate_cap)
     return R.recommended_jobs(answered).select(
         "request_id", "total", "candidates_in_window", "candidates_scored", "rank", "job_uid", "title", "fit_score", "matched_count", "demand_alignment",
         "job_skill_count", joined("matched_skills"), joined("missing_skills"))
 
 
+@query
+def recommend_postings(spark, sf):
+    return _recommended(spark, sf, R.CANDIDATE_CAP)
+
+
+@query
+def recommend_all_postings(spark, sf):
+    """As above, with every posting of the window scored."""
+    return _recommended(spark, sf, None)
+
+
 @query
 def recommend_results(spark, sf):
     """What every request is told by a full, an empty and a missing store."""

@@ -206,6 +206,28 @@ def test_recommendations_match_a_plain_loop(spark):
             assert r.candidates_scored == min(cap, r.candidates_in_window)
 
 
+def test_recommendations_over_the_whole_window(spark, monkeypatch):
+    rows = make_postings(n=150)
+    # Requests 0 and 1 come twice: each row has its own answer.
+    requests = [(i % 2, ["Python", "GIT"], None, None, None, 1 + i, 40 * i + 20) for i in range(4)]
+    requests += [(9, ["python"], "data", None, None, None, None), (10, ["python"], "unknown", None, None, 5, 90)]
+    df = spark.createDataFrame(requests, "request_id int, resume_skills array<string>, role string, company string, "
+                                         "region string, limit int, max_age_days int")
+    postings = spark.createDataFrame(rows, POSTING)
+    monkeypatch.setattr(R, "PART_SIZE", 7)
+    answered = R.recommend_postings(df, postings, segments(spark, rows), candidate_cap=None).collect()
+    assert len(answered) == len(requests)
+    for r in answered:
+        total, jobs = best_jobs(rows, tuple(r[:7]), None, r.limit or 8, r.max_age_days or 30)
+        assert (r.total, [(j.job_uid, j.fit_score, j.matched_count, j.demand_alignment) for j in r.jobs]) == (total, jobs)
+        assert [j.rank for j in r.jobs] == list(range(1, len(jobs) + 1))
+        assert r.candidates_scored == r.candidates_in_window >= total
+        assert r.market_result == ("snapshot_ranked" if r.candidates_scored else "snapshot_no_matches")
+    assert max(r.candidates_scored for r in answered) > 5 * R.PART_SIZE
+    assert R.recommend_postings(df, None, segments(spark, rows), candidate_cap=None).where(
+        "market_result = 'snapshot_missing'").count() == len(requests)
+
+
 def test_recommendations_with_hot_segments(spark, monkeypatch):
     rows = make_postings()
     df = spark.createDataFrame([(1, ["python"], "data", None, None, 5, 90), (2, ["sql"], None, None, None, 5, 90)],

@@ -67,3 +67,27 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
+
+REPEATED_PASSAGES = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+  FROM documents),
+w AS (SELECT *, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS pair FROM l),
+p AS (
+  SELECT doc_id, n, 2 AS k, pair AS body FROM w WHERE regexp_matches(pair, '[^\\x20\\x09-\\x0D]')
+  UNION ALL
+  SELECT doc_id, n, 1, line FROM w WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50),
+r AS (
+  SELECT *, first_value(doc_id) OVER f AS first_id, first_value(n) OVER f AS first_n
+  FROM p WINDOW f AS (PARTITION BY body, k ORDER BY doc_id, n)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(n, n + k)) AS n FROM r WHERE doc_id <> first_id OR n - first_n >= k),
+m AS (SELECT l.*, g.n IS NOT NULL AS gone, h.n IS NOT NULL AS also FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.n = l.n
+      LEFT JOIN gone h ON h.doc_id = l.doc_id AND h.n = l.n - 1),
+o AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS removed_lines,
+         count(*) FILTER (gone AND NOT also) AS removed_passages,
+         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, n_lines, removed_lines, removed_passages, md5(kept) AS text_md5, length(kept) AS kept_chars FROM o
+"""

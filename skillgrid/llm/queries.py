@@ -102,3 +102,11 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
 @query
 def op10_piece_encoding(spark, sf):
     return encoded_digests(table(spark, sf, "documents"))
+
+
+def repeated_passages(spark, sf):
+    """op9 without cuts: every repeated passage of two lines or of one long line."""
+    ship_package(spark)
+    return line_dedup.remove_repeated_passages(table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", "removed_lines", "removed_passages", F.md5("text").alias("text_md5"),
+        F.char_length("text").cast("bigint").alias("kept_chars"))

@@ -147,3 +147,41 @@ def test_line_dedup_on_odd_tables(odd_docs, no_docs, clashing_docs):
     assert {r.doc_id: r.text for r in got.where("doc_id IN (3, 4)").collect()} == {3: "", 4: ""}
     assert line_dedup.remove_repeated_chunks(no_docs).count() == 0
     assert rows_of(line_dedup.remove_repeated_chunks(clashing_docs)) == rows_of(got)
+
+
+def test_passages_go_whole_whatever_stands_around_them(spark):
+    for size in (2, 3, 5):
+        passage = [" ".join(f"p{size}l{line}w{w}" for w in range(60 // size)) for line in range(size)]
+        rows = []
+        for i in range(12):
+            head, tail = [f"head {size} {i} {j}" for j in range(i % 4)], [f"tail {size} {i} {j}" for j in range(i % 3)]
+            rows.append((i, "\n".join([*head, *passage, *tail]), "\n".join([*head, *tail])))
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+        got = {r.doc_id: r for r in line_dedup.remove_repeated_passages(docs).collect()}
+        assert (got[0].removed_lines, got[0].text) == (0, rows[0][1])
+        for i, _, left in rows[1:]:
+            assert (got[i].text, got[i].removed_lines, got[i].removed_passages) == (left, size, 1)
+
+
+def test_short_lines_stay_and_rows_of_equal_lines(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, "a\nb\nc"), (2, "x\nb\ny"), (3, "q\nq\nq"), (4, "r\nr\nr\nr"), (5, f"k\n{long}"), (6, f"{long}\nm"),
+            (7, "\n\ns"), (8, "\n\nt"), (9, "c2\nb\nc\nd2")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_passages(docs).collect()}
+    assert got == {**dict(rows), 4: "r\nr", 6: "m", 9: "c2\nd2"}
+
+
+def test_passages_on_odd_tables(odd_docs, no_docs, clashing_docs):
+    got = line_dedup.remove_repeated_passages(odd_docs)
+    assert got.count() == len(ROWS)
+    assert {r.doc_id: r.text for r in got.where("doc_id IN (3, 4)").collect()} == {3: "", 4: ""}
+    assert line_dedup.remove_repeated_passages(no_docs).count() == 0
+    assert rows_of(line_dedup.remove_repeated_passages(clashing_docs)) == rows_of(got)
+
+
+def test_passages_match_sql(spark):
+    from check import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    assert compare(spark, connect(folder), folder, "repeated_passages") is None

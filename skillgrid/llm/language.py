@@ -110,6 +110,10 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return top.withColumn("rank", rank).where(F.col("rank") <= profile_size).select("lang", "gram", "rank")
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and _LETTER.search(text) is not None
+
+
 class ProfileSet:
     """Profiles as sorted n-grams with one column of ranks per language."""
 
@@ -123,7 +127,7 @@ class ProfileSet:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """Language and a score from 0 (nothing in common) to 1 (the very profile)."""
-        if text is None or not self.langs or not _LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         own = ranked(text_grams(text), self.size)
         if not len(own):
@@ -138,7 +142,7 @@ class ProfileSet:
 
 def predict(docs: DataFrame, profiles: DataFrame, carry: list[str], text_col: str = "text",
             profile_size: int = PROFILE_SIZE) -> DataFrame:
-    """The columns in ``carry`` of every row as struct ``row``, with lang_pred and score.
+    """The columns in ``carry`` of every row as struct ``row``, with lang_pred, score and has_letter.
 
     ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by code point. With no
     learned language every row is ``und``. Rows are independent and pass through, so nothing is joined back.
@@ -156,15 +160,17 @@ def predict(docs: DataFrame, profiles: DataFrame, carry: list[str], text_col: st
         known = shared.value
         for batch in batches:
             texts = batch["text"] if apart else batch["row"].field(text_col)
-            found = [known.nearest(text) for text in texts.to_pylist()]
+            texts = texts.to_pylist()
+            found = [known.nearest(text) for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
+                 pa.array([f[1] for f in found], pa.float64()), pa.array([has_letter(text) for text in texts], pa.bool_())],
+                names=["row", "lang_pred", "score", "has_letter"])
 
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"),
                        *([docs[text_col].alias("text")] if apart else []))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("has_letter", T.BooleanType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -190,6 +196,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def with_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``: those without text or letters."""
+    """``docs`` without the rows that can have no language: those without text or letters, whatever was learned."""
     found = predict(docs, learned_profiles(docs, id_col, text_col, lang_col), docs.columns, text_col)
-    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return found.where("has_letter").select("row.*")

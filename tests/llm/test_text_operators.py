@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from odd_tables import ROWS, rows_of
+from pyspark.sql import functions as F
 from skillgrid.llm import language, license_scan, mixing, piece_encoding, token_files
 from skillgrid.llm.queries import tokenizer_file
 from skillgrid.session import scratch_path
@@ -205,6 +206,13 @@ def test_language_on_odd_tables(odd_docs, no_docs, clashing_docs):
     assert language.identify(unlabelled.where("lang IS NULL")).where("lang_pred <> 'und'").count() == 0
 
 
+def test_known_language_without_labels(spark, odd_docs):
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.with_known_language(docs).count() == len(ROWS) - 4
+    assert language.with_known_language(odd_docs.withColumn("lang", F.lit("und"))).count() == len(ROWS) - 4
+    assert language.identify(docs).where("lang_pred <> 'und' OR score <> 0").count() == 0
+
+
 # --- token files
 
 def test_wavelet_matrix_answers_like_the_plain_list():

@@ -118,7 +118,12 @@ class WaveletMatrix:
 
 
 def _units(text: str) -> list[str]:
-    """Runs between ASCII white space. The tokenizer lower-cases each character, which is safe to do first in Latin-1."""
+    """Runs between ASCII white space. The tokenizer lower-cases each character, which is safe to do first in Latin-1.
+
+    Its added tokens (``<|endoftext|>``) are matched before that, so texts that may hold one keep their letters.
+    """
+    if "<|" in text:
+        return _UNITS.findall(text)
     if text.isascii():
         # ``str.split`` would also cut at four controls.
         return _UNITS.findall(text.lower()) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower().split()

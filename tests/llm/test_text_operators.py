@@ -235,6 +235,16 @@ def plain_ids(texts):
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_special_tokens_in_other_letters_are_plain_text():
+    from tokenizers import Tokenizer
+
+    path = str(tokenizer_file("word_bpe_49k.json"))
+    tokenizer, encode = Tokenizer.from_file(path), token_files.word_encoder(path, 2)
+    texts = ["Some <|ENDOFTEXT|> Text", "<|EndOfText|>", "a<|endoftext|>B, C.", "É <|StartOfText|> ÜB", "Plain Text."]
+    for text, raw in zip(texts, encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_token_files_equal_the_library(spark, sample_docs):
     odd = ["don't STOP e.g. a@b.co ... 12,5", "naïve Äpfel ß, œuvre.", " wide space x́", "日本 text!!?.", "ª² ½",
            None, "", "WORD word. word, word.,"]

@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgrid.llm import (exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing, piece_encoding,
-                           sharding, token_files, vector_search)
+from skillgrid.llm import (alignment, conversations, exact_dedup, jaccard_join, language, license_scan, line_dedup, mixing,
+                           packing, piece_encoding, sharding, token_files, vector_search)
 from skillgrid.llm.common import ship_package, table
 from skillgrid.session import scratch_path
 
 END_ID = 2
+PACKED_END_ID = 1
 WORD_BITS = 16  # ids of the word tokenizer are below 49,408
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +105,23 @@ def op10_piece_encoding(spark, sf):
     return encoded_digests(table(spark, sf, "documents"))
 
 
+@query
+def op11_token_alignment(spark, sf):
+    return alignment.align_documents(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                                     tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    return conversations.repair_conversations(conversations.damage(table(spark, sf, "conversations")))
+
+
+@query
+def op13_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), PACKED_END_ID,
+                                  window=2048)
+
+
 def repeated_passages(spark, sf):
     """op9 without cuts: every repeated passage of two lines or of one long line."""
     ship_package(spark)

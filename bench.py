@@ -18,8 +18,8 @@ from suite.registry import QUERIES  # noqa: E402
 
 HEADLINE = [
     "latest_posting", "posting_upsert", "demand_rollup", "demand_cube", "demand_relaxed", "gap_missing", "gap_score",
-    "category_gaps", "recommend_postings", "market_status", "filter_options", "top_titles_region",
-    "text_skill_mentions", "text_skill_list", "resume_chunks_max", "clean_text", "listing_cards", "payload_normalise",
+    "category_gaps", "recommend_postings", "recommend_all_postings", "recommend_results", "market_status", "filter_options", "top_titles_region",
+    "text_skill_mentions", "text_skill_list", "text_many_terms", "resume_chunks_max", "clean_text", "listing_cards", "payload_normalise",
     "ingest_tagged", "batch_clean", "vector_topk", "ensemble_tags", "stream_batch_counts",
 ]
 

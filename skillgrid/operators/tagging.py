@@ -2,16 +2,19 @@
 
 A term matches where the text has it between word boundaries. Cutting a text into alternating runs of word and
 other characters turns that into equality: a term matches exactly where its own runs appear as consecutive runs of
-the text. So one pass over the text and set look-ups replace one regular-expression scan per term, the cost does not
-grow with the taxonomy, and the whole step is a projection: no join, no shuffle, no Python.
+the text. So one pass over the text and hashed look-ups replace one regular-expression scan per term, and the whole step
+is a projection: no join, no shuffle, no Python. The terms of a list are literals of the plan; a table of terms of any
+size is a ``TermIndex``, which the functions with ``keys`` take as well.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skillgrid.functions.skills import lookup
-from skillgrid.functions.text import WORD_CLASS, chunk_count, word_chunks, word_runs, words
+from skillgrid.functions.binding import bind
+from skillgrid.functions.hashing import hashed_lookup, is_any
+from skillgrid.functions.text import WORD_CLASS, chunk_count, title_case, word_chunks, word_runs, words
+from skillgrid.operators.term_index import TermIndex, chunk_maxima, mentions_by_term
 from skillgrid.operators.unnest import unnest, unnest_structs
 from skillgrid.taxonomy import Taxonomy
 
@@ -26,10 +29,10 @@ def _sequence_hits(runs: Column, length: int, terms: list[str]) -> Column:
         # A lone run of other characters can only match with a word on both sides.
         inner = [t for t in terms if not _is_word_edge(t[0])]
         plain = [t for t in terms if _is_word_edge(t[0])]
-        found = F.filter(runs, lambda r: r.isin(plain))
+        found = F.filter(runs, lambda r: is_any(r, plain))
         if inner:
             last = F.size(runs) - 1
-            found = F.concat(found, F.filter(runs, lambda r, i: r.isin(inner) & (i > 0) & (i < last)))
+            found = F.concat(found, F.filter(runs, lambda r, i: is_any(r, inner) & (i > 0) & (i < last)))
         return found
 
     firsts = sorted({Taxonomy.runs(t)[0] for t in terms})
@@ -39,12 +42,12 @@ def _sequence_hits(runs: Column, length: int, terms: list[str]) -> Column:
 
     def candidate(run: Column, at: Column) -> Column:
         joined = F.concat(run, *[F.get(runs, at + step) for step in range(1, length)])
-        ok = joined.isin(terms)
+        ok = is_any(joined, terms)
         if open_left:
-            ok = ok & ((at > 0) | ~joined.isin(open_left))
+            ok = ok & ((at > 0) | ~is_any(joined, open_left))
         if open_right:
-            ok = ok & ((at + length < F.size(runs)) | ~joined.isin(open_right))
-        return F.when(run.isin(firsts), F.when(ok, joined))
+            ok = ok & ((at + length < F.size(runs)) | ~is_any(joined, open_right))
+        return F.when(is_any(run, firsts), F.when(ok, joined))
 
     return F.filter(F.transform(runs, candidate), lambda t: t.isNotNull())
 
@@ -60,29 +63,31 @@ def with_skill_hits(df: DataFrame, text: str, taxonomy: Taxonomy, out: str = "hi
     """Add ``out``: one struct (position, term, skill, mentions) per term of the taxonomy found in ``text``."""
     lowered = f"_{out}_lower"
     runs = f"_{out}_runs"
-    found = f"_{out}_found"
-    positions = {t: str(i) for t, i in taxonomy.position.items()}
 
     df = df.withColumn(lowered, F.lower(F.col(text)))
     df = df.withColumn(runs, word_runs(F.col(lowered)))
     parts = [_sequence_hits(F.col(runs), n, terms) for n, terms in sorted(taxonomy.by_length.items())]
     parts += [_overlapping_hits(F.col(lowered), t) for t in taxonomy.self_overlapping]
-    df = df.withColumn(found, F.coalesce(F.concat(*parts), F.array().cast("array<string>")) if parts
-                       else F.array().cast("array<string>"))
-    counted = F.transform(
-        F.array_distinct(found),
-        lambda t: F.struct(
-            lookup(positions, t).cast("int").alias("position"),
+    found = F.coalesce(F.concat(*parts), F.array().cast("array<string>")) if parts else F.array().cast("array<string>")
+
+    def counted(listed: Column) -> Column:
+        """Equal terms stand together; a term's count is the distance to the next one's first place."""
+        n = F.size(listed)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(listed, i) != F.get(listed, i - 1)))
+        return bind(firsts, lambda starts: F.transform(starts, lambda at, i: bind(F.get(listed, at), lambda t: F.struct(
+            hashed_lookup(taxonomy.position, t, "int").alias("position"),
             t.alias("term"),
-            lookup(taxonomy.display, t).alias("skill"),
-            F.size(F.filter(F.col(found), lambda f: f == t)).cast("bigint").alias("mentions"),
-        ),
-    )
-    return df.withColumn(out, F.sort_array(counted)).drop(lowered, runs, found)
+            title_case(t).alias("skill"),
+            (F.coalesce(F.get(starts, i + 1), n) - at).cast("bigint").alias("mentions")))))
+
+    return df.withColumn(out, F.sort_array(bind(F.sort_array(found), counted))).drop(lowered, runs)
 
 
-def skill_mentions(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy) -> DataFrame:
+def skill_mentions(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy | TermIndex) -> DataFrame:
     """One row per text and skill found in it."""
+    if isinstance(taxonomy, TermIndex):
+        return mentions_by_term(df, keys, text, taxonomy).select(*keys, "skill", "mentions")
     tagged = with_skill_hits(df.select(*keys, text), text, taxonomy)
     return unnest_structs(tagged, keys, "hits").select(*keys, "skill", "mentions")
 
@@ -103,7 +108,13 @@ def top_hits(hits: Column, top_n: int | None = 25) -> Column:
         (i + 1).alias("rank"), h["skill"].alias("skill"), h["mentions"].alias("mentions")))
 
 
-def top_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy, top_n: int | None = 25) -> DataFrame:
+def top_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy | TermIndex,
+               top_n: int | None = 25) -> DataFrame:
+    if isinstance(taxonomy, TermIndex):
+        # At most one entry per distinct word run of the text in each group.
+        hits = mentions_by_term(df, keys, text, taxonomy).groupBy(*keys).agg(F.collect_list(F.struct(
+            "position", "term", "skill", "mentions")).alias("hits"))
+        return unnest_structs(hits, keys, top_hits(F.col("hits"), top_n))
     tagged = with_skill_hits(df.select(*keys, text), text, taxonomy)
     return unnest_structs(tagged, keys, top_hits(F.col("hits"), top_n))
 
@@ -117,9 +128,14 @@ def required_skills(df: DataFrame, keys: list[str], text: str, required: list[st
     return unnest_structs(tagged, keys, checks)
 
 
-def tag_postings(postings: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """Fill ``skills`` from title and description: distinct names, sorted."""
+def tag_postings(postings: DataFrame, taxonomy: Taxonomy | TermIndex) -> DataFrame:
+    """Fill ``skills`` from title and description: distinct names, sorted. With a table of terms, by ``job_uid``."""
     text = F.concat_ws(" ", F.col("title"), F.col("description"))
+    if isinstance(taxonomy, TermIndex):
+        named = mentions_by_term(postings.select("job_uid", text.alias("_text")), ["job_uid"], "_text", taxonomy)
+        listed = named.groupBy("job_uid").agg(F.sort_array(F.collect_set("skill")).alias("_skills"))
+        return postings.join(listed, "job_uid", "left").withColumn(
+            "skills", F.coalesce("_skills", F.array().cast("array<string>"))).drop("_skills")
     tagged = with_skill_hits(postings.withColumn("_text", text), "_text", taxonomy)
     return tagged.withColumn("skills", skill_list(F.col("hits"))).drop("_text", "hits")
 
@@ -130,12 +146,11 @@ def chunk_texts(df: DataFrame, keys: list[str], text: str, size: int = 700, over
     return unnest(split, keys, word_chunks(F.col("_words"), size, overlap), "chunk_text", "chunk")
 
 
-def resume_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy,
+def resume_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy | TermIndex,
                   size: int = 700, overlap: int = 90) -> DataFrame:
-    """Per text and skill the largest count over the text's chunks."""
-    chunks = with_skill_hits(chunk_texts(df, keys, text, size, overlap), "chunk_text", taxonomy)
-    hits = unnest_structs(chunks, keys, "hits")
-    return hits.groupBy(*keys, "skill").agg(F.max("mentions").alias("score"))
+    """Per text and skill the largest count over the text's chunks; the words are tagged once, not per chunk."""
+    index = taxonomy if isinstance(taxonomy, TermIndex) else TermIndex.from_terms(df.sparkSession, taxonomy)
+    return chunk_maxima(df, keys, text, index, size, overlap)
 
 
 def extraction_summary(chunk_meta: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,13 +167,14 @@ def extraction_summary(chunk_meta: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def resume_report(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy, preview: int = 500,
+def resume_report(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy | TermIndex, preview: int = 500,
                   size: int = 700, overlap: int = 90) -> DataFrame:
     """One row per resume: length, skills with their scores, preview and extraction metadata.
 
     Only hits and the preview are shuffled, never the texts.
     """
     body = F.col(text)
+    n_terms = taxonomy.terms.count() if isinstance(taxonomy, TermIndex) else len(taxonomy.terms)
     base = df.select(
         *keys,
         F.length(body).alias("text_length"),
@@ -179,6 +195,6 @@ def resume_report(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy,
         "preview",
         F.when(has_words, F.lit("regex")).otherwise(F.lit("empty")).alias("extraction_mode"),
         F.lit(False).alias("used_fallback"),
-        F.when(has_words, F.lit(len(taxonomy.terms))).otherwise(F.lit(0)).alias("taxonomy_size"),
+        F.when(has_words, F.lit(n_terms)).otherwise(F.lit(0)).alias("taxonomy_size"),
         "chunks_processed",
     )

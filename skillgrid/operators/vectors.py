@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgrid.functions.skills import canonical_name, score_points
 from skillgrid.operators.unnest import unnest
-from skillgrid.taxonomy import MAX_TERMS
 
 TOP_K_MAX = 120
+# The matrix of the taxonomy is sent to every task, so its rows are bounded; larger input is refused, never cut.
+MAX_VECTORS = 10_000
 DEFAULT_THRESHOLD = 0.18
 # Text-term scores held in a task at one time, whatever the batch and taxonomy sizes.
 SCORES_AT_ONCE = 2_000_000
@@ -29,9 +30,9 @@ def taxonomy_matrix(vectors: DataFrame) -> tuple[list[str], np.ndarray]:
     Refused, not cut, above the size limit, and refused if vectors differ in length or lack a number.
     """
     rows = vectors.select(canonical_name(F.col("name")).alias("name"), "vector", F.col("name").alias("listed")).orderBy(
-        "listed").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"taxonomy table has more than {MAX_TERMS} rows")
+        "listed").limit(MAX_VECTORS + 1).collect()
+    if len(rows) > MAX_VECTORS:
+        raise ValueError(f"taxonomy table has more than {MAX_VECTORS} rows")
     if len({len(r["vector"] or ()) for r in rows}) > 1 or any(x is None for r in rows for x in r["vector"] or (None,)):
         raise ValueError("taxonomy vectors must have one length and no missing numbers")
     return [r["name"] for r in rows], _unit(np.array([r["vector"] for r in rows], dtype="float64"))

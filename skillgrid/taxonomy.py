@@ -7,10 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Terms become literals of the plan, so the list must stay small; larger input is refused, never cut.
-MAX_TERMS = 10_000
+from pyspark.sql import DataFrame, SparkSession
 
 _RUN = re.compile(r"\w+|\W+")
 
@@ -21,33 +18,14 @@ class Taxonomy:
 
     @classmethod
     def from_terms(cls, terms: Iterable[str]) -> Taxonomy:
-        listed = tuple(terms)
-        if len(listed) > MAX_TERMS:
-            raise ValueError(f"taxonomy has {len(listed)} terms, at most {MAX_TERMS} are supported")
-        return cls(listed)
-
-    @classmethod
-    def from_table(cls, table: DataFrame, column: str = "term", order_by: str | None = None) -> Taxonomy:
-        """Read a small dimension table; ``order_by`` fixes the list order used to break ties."""
-        rows = table.where(F.col(column).isNotNull())
-        rows = rows.orderBy(order_by) if order_by else rows
-        return cls.from_terms(r[0] for r in rows.select(column).limit(MAX_TERMS + 1).collect())
-
-    @classmethod
-    def from_text_file(cls, spark: SparkSession, path: str) -> Taxonomy:
-        """One term per line, blank lines skipped."""
-        lines = spark.read.text(path, wholetext=False).where("trim(value) <> ''")
-        return cls.from_terms(r[0].strip() for r in lines.limit(MAX_TERMS + 1).collect())
+        """A list in the program; tables and files of terms are a ``TermIndex``."""
+        return cls(tuple(terms))
 
     @cached_property
     def terms(self) -> tuple[str, ...]:
         """Distinct lower-cased terms in list order."""
         return tuple(dict.fromkeys(t.lower() for t in self.listed if t))
 
-    @cached_property
-    def display(self) -> dict[str, str]:
-        return {t: t.title() for t in self.terms}
-
     @cached_property
     def position(self) -> dict[str, int]:
         return {t: i for i, t in enumerate(self.terms)}

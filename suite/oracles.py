@@ -305,6 +305,17 @@ ORACLES: dict[str, str] = {
     "text_skill_list": f"""WITH {_mentions('documents', 'doc_id')} SELECT d.doc_id,
           coalesce(string_agg(skill, ',' ORDER BY skill), '') AS skills
         FROM documents d LEFT JOIN mentions m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+    "text_many_terms": rf"""WITH cut AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws,
+         regexp_split_to_array(lower(text), '[\p{{L}}\p{{N}}_]+') AS ss FROM documents),
+terms AS (SELECT DISTINCT term FROM (
+  SELECT ws[1] AS term FROM cut WHERE len(ws) > 1 UNION ALL
+  SELECT ws[1] || ss[2] || ws[2] FROM cut WHERE len(ws) > 1 AND ws[1] <> ws[2])),
+grams AS (
+  SELECT doc_id, unnest(ws) AS gram FROM cut UNION ALL
+  SELECT doc_id, g[1] || g[2] || g[3] FROM (
+    SELECT doc_id, unnest(list_zip(ws[:-2], ss[2:-2], ws[2:])) AS g FROM cut WHERE len(ws) > 1))
+SELECT doc_id, term, count(*) AS mentions FROM grams JOIN terms ON gram = term GROUP BY ALL""",
     "required_skills": rf"""WITH needed(skill, pattern) AS (VALUES ('The', '\bthe\b'), ('by the', '\bby the\b'),
           ('rest', '\brest\b'), ('apache', '\bapache\b'), ('C++', '\bc\+\+\b'))
         SELECT doc_id, skill, regexp_matches(m, pattern) AS found

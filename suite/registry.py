@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgrid.functions import skills as S, text as X
 from skillgrid.operators import dedupe, demand as D, gap as G, tagging as T, vectors as V
+from skillgrid.operators.term_index import TermIndex, mentions_by_term
 from skillgrid.plans import ingest, market as M, recommend as R, resume
 from skillgrid.session import scratch_path, stored, widen_scan
 from skillgrid.sources import files, listings, payloads
@@ -237,6 +238,20 @@ def text_skill_list(spark, sf):
     return tagged.select("doc_id", F.array_join(T.skill_list(F.col("hits")), ",").alias("skills"))
 
 
+@query
+def text_many_terms(spark, sf):
+    """Every text's first word and its first two words, where they differ, as terms: a table that grows with the texts."""
+    docs = _documents(spark, sf)
+    word = r"[\p{L}\p{N}_]+"
+    opening = F.regexp_extract(F.lower("text"), rf"^[^\p{{L}}\p{{N}}_]*({word})([^\p{{L}}\p{{N}}_]+)({word})", 1)
+    second = F.regexp_extract(F.lower("text"), rf"^[^\p{{L}}\p{{N}}_]*{word}([^\p{{L}}\p{{N}}_]+)({word})", 2)
+    between = F.regexp_extract(F.lower("text"), rf"^[^\p{{L}}\p{{N}}_]*{word}([^\p{{L}}\p{{N}}_]+)({word})", 1)
+    pair = F.when(opening != second, F.concat(opening, between, second))
+    terms = docs.select(F.explode(F.array(opening, pair)).alias("term"))
+    index = TermIndex.from_table(terms)
+    return mentions_by_term(docs, ["doc_id"], "text", index).select("doc_id", "term", "mentions")
+
+
 @query
 def required_skills(spark, sf):
     return T.required_skills(_documents(spark, sf), ["doc_id"], "text", ["The", "by the", "rest", "apache", "C++"])

@@ -72,18 +72,6 @@ def test_taxonomy_listing_keeps_double_entries(spark):
     assert taxonomy.terms == ("redis", "ci/cd", "git")
 
 
-def test_taxonomy_sources_and_limit(spark, tmp_path):
-    (tmp_path / "terms.txt").write_text("git\n\nci/cd\n")
-    assert set(Taxonomy.from_text_file(spark, str(tmp_path)).terms) == {"git", "ci/cd"}
-    table = spark.createDataFrame([(2, "b"), (1, "a")], "n int, term string")
-    assert Taxonomy.from_table(table, order_by="n").terms == ("a", "b")
-    try:
-        Taxonomy.from_terms(str(i) for i in range(10_001))
-        raise AssertionError("too many terms were accepted")
-    except ValueError:
-        pass
-
-
 def test_chunks(spark):
     sizes = {0: 0, 1: 1, 700: 1, 701: 2, 1310: 2, 1311: 3, 1921: 4}
     df = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in sizes], "id int, text string")
@@ -111,4 +99,4 @@ def test_tagging_is_a_projection(spark):
     mentions = T.skill_mentions(df, ["doc_id"], "text", Taxonomy.from_terms(TERMS))
     plan = mentions._jdf.queryExecution().executedPlan().toString()
     # One pass over the text, and one for each of the two terms that overlap themselves.
-    assert plan.count("regexp_extract_all") == 3
+    assert plan.count("\\E") == 2 * plan.count("+|[^\\p{L}\\p{N}_]+") > 0, plan

@@ -50,17 +50,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def merge_newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored postings (one row per key) merged with a batch of any size; the newer copy of each key stays.
-
-    A full outer join on the key: when the stored table is bucketed by ``job_uid`` it is read in place and only the
-    batch is shuffled. At equal times the same order as in ``latest_postings`` decides.
-    """
+def _paired(stored: DataFrame, incoming: DataFrame, how: str) -> DataFrame:
+    """job_uid, _old, _new, and whether the new copy is the one to keep (_take_new)."""
     columns = stored.columns
     fresh = latest_postings(union_all([stored.limit(0), incoming])).select(*columns)
     old = stored.withColumn("_old", F.struct(*columns))
     new = fresh.withColumn("_new", F.struct(*columns))
-    pair = old.select("job_uid", "_old").join(new.select("job_uid", "_new"), "job_uid", "full_outer")
+    pair = old.select("job_uid", "_old").join(new.select("job_uid", "_new"), "job_uid", how)
 
     def comes_before(a: str, b: str) -> Column:
         verdict, tied = F.lit(False), F.lit(True)
@@ -75,5 +71,20 @@ def merge_newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         return verdict
 
     take_new = F.col("_old").isNull() | (F.col("_new").isNotNull() & comes_before("_new", "_old"))
-    return pair.select(F.when(take_new, F.col("_new")).otherwise(F.col("_old")).alias("_row")).select(
-        *[F.col(f"_row.{c}").alias(c) for c in columns])
+    return pair.withColumn("_take_new", take_new)
+
+
+def merge_newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored postings (one row per key) merged with a batch of any size; the newer copy of each key stays.
+
+    A full outer join on the key: when the stored table is bucketed by ``job_uid`` it is read in place and only the
+    batch is shuffled. At equal times the same order as in ``latest_postings`` decides.
+    """
+    pair = _paired(stored, incoming, "full_outer")
+    return pair.select(F.when(F.col("_take_new"), F.col("_new")).otherwise(F.col("_old")).alias("_row")).select(
+        *[F.col(f"_row.{c}").alias(c) for c in stored.columns])
+
+
+def replaced_postings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """_old and _new of the postings that a merge changes: _old is null for those that are added."""
+    return _paired(stored, incoming, "right").where("_take_new").select("_old", "_new")

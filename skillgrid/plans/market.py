@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skillgrid.functions.text import strip
+from skillgrid.sources.layout import KEYS, is_typed
 
 
 def market_status(postings: DataFrame) -> DataFrame:
@@ -32,9 +33,12 @@ def _stated(limit: int, most: int) -> int:
 
 
 def _matching(postings: DataFrame, role: str | None, company: str | None, region: str | None) -> DataFrame:
+    """Rows under the given filters; stored keys are compared as they are, so the comparison reaches the scan."""
+    typed = is_typed(postings)
     for column, value in (("role", role), ("company", company), ("location", region)):
         if value:
-            postings = postings.where(F.lower(strip(F.col(column))) == value.lower().strip())
+            key = F.col(KEYS[column]) if typed else F.lower(strip(F.col(column)))
+            postings = postings.where(key == value.lower().strip())
     return postings
 
 
@@ -42,7 +46,7 @@ def filter_options(postings: DataFrame, role: str | None = None, company: str |
                    region: str | None = None, limit: int = 200) -> DataFrame:
     """Sorted distinct roles, companies and regions under the other filters, the first ``limit`` of each."""
     limit = _stated(limit, 1000)
-    kept = _matching(postings.select("role", "company", "location"), role, company, region)
+    kept = _matching(postings, role, company, region).select("role", "company", "location")
     values = kept.select(F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), strip(F.col(column)).alias("value"))
         for kind, column in (("roles", "role"), ("companies", "company"), ("regions", "location"))])))
@@ -58,8 +62,7 @@ def top_titles(postings: DataFrame, region: str | None = None, limit: int = 10)
     """
     limit = _stated(limit, 30)
     name = "title" if "title" in postings.columns else "role"
-    rows = _matching(postings.select(name, "location"), None, None, region)
-    rows = rows.select(F.lower(strip(F.col("location"))).alias("region"), strip(F.col(name)).alias("name"))
+    rows = _matching(postings, None, None, region).select(F.lower(strip(F.col("location"))).alias("region"), strip(F.col(name)).alias("name"))
     counts = rows.where((F.col("name") != "") & F.col("region").isNotNull()).groupBy("region", "name").agg(
         F.count("*").alias("postings"))
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("postings"), "name"))

@@ -7,6 +7,8 @@ and is scored and ranked there: request-posting pairs are never shuffled, only e
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
@@ -19,6 +21,7 @@ from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
 from skillgrid.operators.unnest import unnest, unnest_structs
 from skillgrid.session import stored
+from skillgrid.sources.layout import is_typed, newest_ts, untyped
 from skillgrid.sources.store import POSTINGS_SCHEMA
 from skillgrid.taxonomy import Taxonomy
 
@@ -57,11 +60,21 @@ def newest_stamp(postings: DataFrame) -> Column:
 def dated(postings: DataFrame, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
     """Add the parsed date and the newest date of all postings; keep postings at most so many days older than it.
 
-    Undated postings leave once any posting has a date, and all stay if none has one.
+    Undated postings leave once any posting has a date, and all stay if none has one. Postings laid out by month are
+    read from the months that are young enough only.
     """
+    if not 1 <= int(max_age_days) <= MAX_AGE_DAYS:
+        raise ValueError(f"max_age_days must be from 1 to {MAX_AGE_DAYS}, not {max_age_days}")
+    if is_typed(postings):
+        newest = newest_ts(postings)
+        known = postings.select("*", F.col("scraped_ts").alias("_ts"), F.lit(newest).cast("timestamp").alias("_newest"))
+        if newest is None:
+            return untyped(known)
+        oldest = newest - timedelta(days=int(max_age_days))
+        return untyped(known.where((F.col("month") >= f"{oldest:%Y-%m}") & (F.col("scraped_ts") >= F.lit(oldest))))
     stamped = postings.withColumn("_ts", parse_stamp(F.col("scraped_at")))
     stamped = stamped.withColumn("_newest", newest_stamp(postings))
-    days = F.lit(max(1, min(int(max_age_days), MAX_AGE_DAYS)))
+    days = F.lit(int(max_age_days))
     return stamped.where(F.col("_newest").isNull() | (F.col("_ts") >= F.col("_newest") - F.make_dt_interval(days)))
 
 

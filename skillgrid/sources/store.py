@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from skillgrid.operators.dedupe import latest_postings, merge_newest, union_all
+from skillgrid.operators.dedupe import latest_postings, merge_newest, replaced_postings, union_all
+from skillgrid.operators.deltas import added, changed_segments, signed_rollup
 from skillgrid.operators.demand import demand_cube, demand_rollup, demand_segments
+from skillgrid.session import stored
+from skillgrid.sources.layout import clustered, typed_postings
 
 POSTINGS_SCHEMA = StructType(
     [StructField("job_uid", StringType(), False)]
@@ -19,18 +22,23 @@ POSTINGS_SCHEMA = StructType(
 
 
 TABLES = ("job_postings", "skill_demand", "demand_segments")
+LAYOUT = "postings_by_month"
+# Stands while a batch is being merged: tables made from the postings may then be behind them.
+PENDING = "pending_batch"
 
 
 class MarketStore:
     """Managed tables in one database of the session catalog.
 
     Postings are bucketed by key. A new batch is merged by a join that reads the stored buckets in place, so the
-    shuffle grows with the batch, not with the table. A swap that was cut short is finished or taken back when the
-    store is opened again, so one writer at a time loses nothing in a crash.
+    shuffle grows with the batch, not with the table. Demand follows by signed changes, and ``by_month`` keeps the
+    postings with typed columns by month as well, of which only the months are rewritten that a batch touches. A swap that was cut short is
+    finished or taken back when the store is opened again, and a batch that was cut short has everything rebuilt from the
+    postings, so one writer at a time loses nothing in a crash.
     """
 
     def __init__(self, spark: SparkSession, database: str = "skill_market", buckets: int | None = None,
-                 snapshot_root: str | None = None, location: str | None = None):
+                 snapshot_root: str | None = None, location: str | None = None, by_month: bool = False):
         self.spark, self.database, self.snapshot_root = spark, database, snapshot_root
         # At least as many buckets as shuffle partitions, or a join would shuffle the stored side after all.
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -39,6 +47,9 @@ class MarketStore:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
         for table in TABLES:
             self._recover(table)
+        self.by_month = by_month or self.exists(LAYOUT)
+        if self.exists(PENDING) or (self.by_month and not self.exists(LAYOUT)):
+            self.rebuild()
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
@@ -82,16 +93,62 @@ class MarketStore:
         """Keep the newest copy of every posting, refresh demand and snapshots, return the stored row count."""
         shaped = union_all([self.spark.createDataFrame([], POSTINGS_SCHEMA), incoming]).select(
             *POSTINGS_SCHEMA.fieldNames())
-        if self.exists("job_postings"):
-            merged = merge_newest(self.table("job_postings"), shaped)
+        if all(self.exists(t) for t in TABLES):
+            self._merge(shaped)
         else:
             # One task per bucket, so one file per bucket; a merge runs bucket by bucket as it is.
-            merged = latest_postings(shaped).repartition(self.buckets, "job_uid")
-        self._swap_in(merged, "job_postings", bucket_by="job_uid")
-        self.rebuild_demand()
+            merged = merge_newest(self.table("job_postings"), shaped) if self.exists("job_postings") else \
+                latest_postings(shaped).repartition(self.buckets, "job_uid")
+            self._swap_in(merged, "job_postings", bucket_by="job_uid")
+            self.rebuild()
         self.export_snapshots()
         return self.table("job_postings").count()
 
+    def _merge(self, batch: DataFrame) -> None:
+        """Merge a batch and carry its changes into demand and layout."""
+        changes = stored(replaced_postings(self.table("job_postings"), batch), "changed_postings")
+        rollup = stored(signed_rollup(changes), "demand_change")
+        new = changes.select("_new.*")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(PENDING)} (batch string) USING parquet")
+        self._swap_in(merge_newest(self.table("job_postings"), new), "job_postings", bucket_by="job_uid")
+        self._swap_in(added(self.table("skill_demand"), rollup), "skill_demand")
+        self._swap_in(changed_segments(self.table("demand_segments"), rollup), "demand_segments")
+        if self.by_month:
+            self._relay(changes.where("_old IS NOT NULL").select("_old.*"), new)
+        self.spark.sql(f"DROP TABLE {self.name(PENDING)}")
+
+    def _relay(self, before: DataFrame, after: DataFrame) -> None:
+        """Rewrite the months of the layout that the batch touches."""
+        before, after = typed_postings(before), typed_postings(after)
+        # One row per month of the calendar; undated postings have a folder of their own.
+        touched = [r[0] for r in before.select("month").union(after.select("month")).distinct().collect()]
+        in_touched = F.col("month").isin([m for m in touched if m]) | (F.col("month").isNull() & F.lit(None in touched))
+        kept = self.table(LAYOUT).where(in_touched).join(after.select("job_uid"), "job_uid", "left_anti")
+        fresh = stored(kept.unionByName(after), "touched_months")
+        filled = {r[0] for r in fresh.select("month").distinct().collect()}
+        target, names = self.name(LAYOUT), self.table(LAYOUT).columns
+        # A write into a table takes this setting from the session only.
+        mode, usual = "spark.sql.sources.partitionOverwriteMode", self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            clustered(fresh).select(*names).write.insertInto(target, overwrite=True)
+        finally:
+            self.spark.conf.set(mode, usual)
+        for month in set(touched) - filled:
+            value = "null" if month is None else f"'{month}'"
+            self.spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION (month = {value})")
+
+    def rebuild(self) -> None:
+        """Everything that is made from the stored postings, from zero."""
+        self.rebuild_demand()
+        if self.by_month and self.exists("job_postings"):
+            # Partitions keep their own places, so this table is made where it stays, in a folder of its own.
+            root = self.spark.catalog.getDatabase(self.database).locationUri
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(LAYOUT)}")
+            clustered(typed_postings(self.table("job_postings"))).write.partitionBy("month").option(
+                "path", f"{root}/{LAYOUT}-{uuid.uuid4().hex[:8]}").saveAsTable(self.name(LAYOUT))
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(PENDING)}")
+
     def rebuild_demand(self) -> None:
         """Demand rollup from the stored postings, then segments from the stored rollup: each computed once."""
         if not self.exists("job_postings"):

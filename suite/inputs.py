@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgrid.operators.dedupe import with_posting_key
 from skillgrid.operators.demand import demand_cube, demand_rollup, demand_segments
-from skillgrid.session import stored
+from skillgrid.session import scratch_path, stored
+from skillgrid.sources.layout import write_typed
 from skillgrid.taxonomy import Taxonomy
 
 # Common words of the given texts, so that text queries find something.
@@ -87,6 +88,14 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(postings(spark, sf_dir), "job_postings")
 
 
+def by_month(of_postings: DataFrame) -> DataFrame:
+    """Postings as the store lays them out: typed, one folder a month."""
+    spark = of_postings.sparkSession
+    path = scratch_path(spark, "postings_by_month")
+    write_typed(of_postings, path)
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def stored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(requests(spark, sf_dir), "requests")
 

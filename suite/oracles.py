@@ -118,6 +118,13 @@ LATEST = f"""WITH {POSTINGS},{COPIES}
 SELECT job_uid, role, scraped_at FROM every_copy
 QUALIFY row_number() OVER (PARTITION BY job_uid ORDER BY ts DESC NULLS LAST, source, url, role) = 1"""
 
+# Three batches: medium ones come again last, with a later date, without their first skill and written otherwise.
+AFTER_BATCHES = f"""WITH {POSTINGS.replace('postings AS', 'first_copies AS')},
+later_copies AS (
+  SELECT job_uid, role || CASE WHEN source = '1-URGENT' THEN ' later' ELSE '' END AS role, company, location,
+         CASE WHEN source = '3-MEDIUM' THEN skills[2:] ELSE skills END AS skills FROM first_copies),
+postings AS (SELECT * FROM later_copies), {DEMAND.strip()}"""
+
 # Letters outside ASCII count as word characters, other signs outside ASCII as blanks.
 _MASK = r"regexp_replace(regexp_replace({}, '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -189,6 +196,13 @@ ORACLES: dict[str, str] = {
                  UNION ALL SELECT job_uid, role, scraped_at, 1 FROM copies)
         SELECT job_uid, role, run FROM runs
         QUALIFY row_number() OVER (PARTITION BY job_uid ORDER BY run, role, scraped_at) = 1""",
+    "demand_after_upserts": f"""{AFTER_BATCHES} SELECT * FROM demand""",
+    "segments_after_upserts": f"""{AFTER_BATCHES} SELECT kept, role_key, company_key, location_key, skill,
+        CAST(sum(demand_count) AS BIGINT) AS demand_count FROM (
+          SELECT mask AS kept, CASE WHEN mask >= 4 THEN role_norm ELSE '' END AS role_key,
+                 CASE WHEN mask % 4 >= 2 THEN company_norm ELSE '' END AS company_key,
+                 CASE WHEN mask % 2 = 1 THEN location_norm ELSE '' END AS location_key, skill, demand_count
+          FROM demand CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS mask)) GROUP BY ALL""",
     "demand_rollup": f"{MARKET} SELECT * FROM demand",
     "segment_demand_topn": f"""{MARKET} SELECT skill, CAST(sum(demand_count) AS BIGINT) AS demand_count FROM demand
         WHERE role_norm = 'building' AND location_norm = 'nation_3' GROUP BY skill

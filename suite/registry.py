@@ -74,6 +74,33 @@ def posting_upsert(spark, sf):
     return spark.read.parquet(f"{store.snapshot_root}/job_postings.parquet").select("job_uid", "role", "scraped_at")
 
 
+def _three_batches(spark, sf) -> MarketStore:
+    """A store after a load, a batch of copies, and a batch that takes skills away and moves postings."""
+    store = MarketStore(spark, f"market_{uuid.uuid4().hex[:12]}", buckets=8, location=scratch_path(spark, "warehouse"))
+    p = I.stored_postings(spark, sf)
+    store.upsert_postings(p.where("source <> '5-LOW'"))
+    store.upsert_postings(_recopied(p))
+    later = F.date_format(F.to_timestamp("scraped_at") + F.make_dt_interval(F.lit(60)), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    fewer = p.where("source = '3-MEDIUM'").withColumns({
+        "scraped_at": later, "skills": F.slice("skills", 2, 100), "location": F.concat(F.lit(" "), F.upper("location"))})
+    store.upsert_postings(dedupe.union_all([p.where("source = '5-LOW'"), fewer]))
+    return store
+
+
+@query
+def demand_after_upserts(spark, sf):
+    """The stored rollup after three batches, kept by signed changes."""
+    return _three_batches(spark, sf).table("skill_demand")
+
+
+@query
+def segments_after_upserts(spark, sf):
+    """The stored segments after three batches, as rows."""
+    segments = _three_batches(spark, sf).table("demand_segments")
+    return segments.select("kept", "role_key", "company_key", "location_key", F.explode("demand").alias("d")).select(
+        "kept", "role_key", "company_key", "location_key", "d.skill", "d.demand_count")
+
+
 # --- demand ------------------------------------------------------------------------------------------------------
 
 @query
@@ -182,7 +209,8 @@ def recommend_results(spark, sf):
 @query
 def recent_postings(spark, sf):
     p = I.stored_postings(spark, sf)
-    return R.recent_postings(dedupe.union_all([p, _recopied(p)]), 90).select("job_uid", "role", "scraped_at")
+    laid_out = I.by_month(dedupe.union_all([p, _recopied(p)]))
+    return R.recent_postings(laid_out, 90).select("job_uid", "role", "scraped_at")
 
 
 @query
@@ -208,7 +236,7 @@ def source_counts(spark, sf):
 
 @query
 def filter_options(spark, sf):
-    return M.filter_options(I.postings(spark, sf), region="nation_3", limit=20)
+    return M.filter_options(I.by_month(I.postings(spark, sf)), region="nation_3", limit=20)
 
 
 @query

@@ -154,7 +154,10 @@ def resume_skills(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy
 
 
 def extraction_summary(chunk_meta: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge the metadata of a text's chunks (mode, model version, fallback flag, taxonomy size)."""
+    """Merge the metadata of a text's chunks (mode, model version, fallback flag, taxonomy size, skills found).
+
+    ``skills`` lists what each chunk found, at most one entry per term; a text's total counts a skill once.
+    """
     def joined(column: str, separator: str) -> Column:
         return F.concat_ws(separator, F.sort_array(F.collect_set(column)))
 
@@ -163,6 +166,7 @@ def extraction_summary(chunk_meta: DataFrame, keys: list[str]) -> DataFrame:
         F.nullif(joined("model_version", ","), F.lit("")).alias("model_version"),
         F.bool_or("used_fallback").alias("used_fallback"),
         F.max("taxonomy_size").alias("taxonomy_size"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("skills")))).alias("skills_detected_total"),
         F.count("*").alias("chunks_processed"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skillgrid.functions.skills import lookup
 from skillgrid.operators.dedupe import with_posting_key
 from skillgrid.operators.demand import demand_cube, demand_rollup, demand_segments
 from skillgrid.session import scratch_path, stored
@@ -14,6 +15,12 @@ from skillgrid.taxonomy import Taxonomy
 TERMS = Taxonomy.from_terms(["the", "of", "in", "is", "la", "le", "des", "der", "und", "que", "on the", "by the"])
 
 
+# Part words that stand for a skill of each category, so that every category rule is reached.
+SKILL_OF_WORD = {"hot": "python", "cold": "google cloud", "blue": "postgresql", "red": "deep learning", "gear": "kubernetes",
+                 "rod": "vue", "bolt": "apache spark", "ring": "mongodb", "plate": "javascript", "old": "aws",
+                 "new": "terraform", "gizmo": "kafka"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,12 +34,19 @@ def distinct_words(column: str):
     return F.sort_array(F.array_distinct(F.split(F.array_join(F.collect_set(column), " "), " ")))
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_skills(words, skill_of: dict[str, str]):
+    """Words as the skills they stand for, sorted; every word has a skill of its own."""
+    if not skill_of:
+        return words
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(lookup(skill_of, w), w)))
+
+
+def postings(spark: SparkSession, sf_dir: str, skill_of: dict[str, str] = {}) -> DataFrame:
     """One posting per order with lines; its skills are the words of its parts' names."""
     t = lambda name: table(spark, sf_dir, name)
     lines = t("lineitem").select("l_orderkey", "l_partkey")
     named = lines.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    skills = named.groupBy("l_orderkey").agg(distinct_words("p_name").alias("skills"))
+    skills = named.groupBy("l_orderkey").agg(_as_skills(distinct_words("p_name"), skill_of).alias("skills"))
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     orders = t("orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
     rows = orders.join(skills, F.col("o_orderkey") == F.col("l_orderkey")).select(
@@ -49,14 +63,14 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_posting_key(rows)
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, skill_of: dict[str, str] = {}) -> DataFrame:
     """One request per customer, with every kind of filter; the resume lists words of parts the customer returned."""
     t = lambda name: table(spark, sf_dir, name)
     returned = (
         t("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
         .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("o_custkey").agg(distinct_words("p_name").alias("words"))
+        .groupBy("o_custkey").agg(_as_skills(distinct_words("p_name"), skill_of).alias("words"))
     )
     people = (
         t("customer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from suite.inputs import TERMS
+from suite.inputs import SKILL_OF_WORD, TERMS
 
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 
@@ -108,6 +108,15 @@ CATEGORY = """CASE
   WHEN regexp_matches(lower(skill), 'spark|kafka|airflow|hadoop|hive') THEN 'Data Engineering'
   ELSE '' END"""
 
+# The same questions over skills of every category.
+_SKILL_OF_WORD = "CASE w " + " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in SKILL_OF_WORD.items()) + " ELSE w END"
+_NAMED_PARTS = f"SELECT p_partkey, {_SKILL_OF_WORD} AS word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)"
+NAMED_GAPS = GAPS.replace("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part", _NAMED_PARTS).replace(
+    "c_nationkey % 12 + 1 AS top_n", "100 AS top_n")
+FAR_REQUESTS = REQUESTS.replace(
+    "  FROM raw_requests)", """  FROM (SELECT * REPLACE (CASE WHEN request_id % 2 = 0 THEN 'Nobody Inc' ELSE company END AS company,
+                          CASE WHEN request_id % 2 = 0 THEN 'atlantis' ELSE region END AS region) FROM raw_requests))""")
+
 COPIES = f"""
 copies AS (
   SELECT job_uid, source, url, role || ' later' AS role, {_ISO.format("ts + INTERVAL 30 DAY")} AS scraped_at,
@@ -243,6 +252,14 @@ ORACLES: dict[str, str] = {
                ELSE 'Moderate demand (' || demand_count || ' job postings)' END
           || CASE WHEN category <> '' THEN ' - ' || category ELSE '' END AS reason, demand_count
         FROM labelled WHERE rank <= greatest(5, least(100, top_n))""",
+    "every_category_recommendations": f"""{NAMED_GAPS}, labelled AS (SELECT *, {CATEGORY} AS category FROM missing)
+        SELECT request_id, rank, skill, CASE WHEN rank <= 5 THEN 'High' ELSE 'Medium' END AS priority,
+          CASE WHEN demand_count > 100 THEN 'Extremely high demand (' || demand_count || '+ job postings)'
+               WHEN demand_count > 50 THEN 'Very high demand (' || demand_count || ' job postings)'
+               WHEN demand_count > 20 THEN 'High demand (' || demand_count || ' job postings)'
+               ELSE 'Moderate demand (' || demand_count || ' job postings)' END
+          || CASE WHEN category <> '' THEN ' - ' || category ELSE '' END AS reason, demand_count
+        FROM labelled WHERE rank <= greatest(5, least(100, top_n))""",
     "category_gaps": f"""{GAPS}, labelled AS (SELECT *, coalesce(nullif({CATEGORY}, ''), 'Other') AS category FROM flags)
         SELECT request_id, category, CAST(count(*) AS INTEGER) AS total_skills,
           CAST(count(*) FILTER (has) AS INTEGER) AS has_skills, CAST(count(*) FILTER (NOT has) AS INTEGER) AS missing_skills,
@@ -253,6 +270,25 @@ ORACLES: dict[str, str] = {
         SELECT request_id, category,
           coalesce(string_agg(skill, ',' ORDER BY rank) FILTER (NOT has AND r <= 3), '') AS top_missing
         FROM ranked WHERE category IN ('Data Engineering', 'Other') GROUP BY request_id, category""",
+    "every_category_gaps": f"""{NAMED_GAPS}, labelled AS (SELECT *, coalesce(nullif({CATEGORY}, ''), 'Other') AS category FROM flags),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, category, has ORDER BY rank) AS r FROM labelled)
+        SELECT request_id, category, CAST(count(*) AS INTEGER) AS total_skills,
+          CAST(count(*) FILTER (has) AS INTEGER) AS has_skills, CAST(count(*) FILTER (NOT has) AS INTEGER) AS missing_skills,
+          CAST(trunc(CAST(count(*) FILTER (has) AS DOUBLE) / count(*) * 100) AS INTEGER) AS coverage_percentage,
+          coalesce(string_agg(skill, ',' ORDER BY rank) FILTER (NOT has AND r <= 3), '') AS missing_first
+        FROM ranked GROUP BY request_id, category""",
+    "demand_labels": f"""{ASKED.replace(REQUESTS, FAR_REQUESTS)},
+        top_live AS (
+          SELECT CAST(row_number() OVER (ORDER BY demand_count DESC, skill) AS INTEGER) AS rank, skill, demand_count FROM (
+            SELECT skill, CAST(sum(demand_count) AS BIGINT) AS demand_count FROM demand WHERE role_norm = 'building' GROUP BY skill)
+          QUALIFY rank <= 5),
+        baseline(rank, skill, demand_count) AS (VALUES (1, 'Python', 250), (2, 'SQL', 200), (3, 'AWS', 180),
+          (4, 'Docker', 150), (5, 'Kubernetes', 120), (6, 'Java', 110), (7, 'React', 100), (8, 'Git', 90),
+          (9, 'Machine Learning', 85), (10, 'TensorFlow', 70), (11, 'Spark', 65), (12, 'Kafka', 60))
+        SELECT 'stored' AS market, request_id, market_source, rank, skill, demand_count FROM relaxed
+        UNION ALL SELECT 'live', request_id, 'live_stream', rank, skill, demand_count FROM requests CROSS JOIN top_live
+        UNION ALL SELECT 'nothing', request_id, 'baseline_default', rank, skill, CAST(demand_count AS BIGINT)
+        FROM requests CROSS JOIN baseline WHERE rank <= top_n""",
     "recommend_postings": f"""{ASKED},
         cand AS (
           SELECT r.request_id, r.lim, r.resume, p.job_uid, p.title, p.skills,
@@ -352,7 +388,8 @@ SELECT doc_id, term, count(*) AS mentions FROM grams JOIN terms ON gram = term G
     "extraction_summary": f"""WITH {_chunks('documents', 'doc_id, lang, source', 'doc_id')}
         SELECT doc_id, CASE WHEN count(*) > 1 THEN 'ml_hybrid+regex' ELSE 'ml_hybrid' END AS extraction_mode,
           any_value(CASE WHEN lang <> 'en' THEN source END) AS model_version, bool_or(chunk > 2) AS used_fallback,
-          max(chunk * 10 + 12) AS taxonomy_size, count(*) AS chunks_processed FROM chunks GROUP BY doc_id""",
+          max(chunk * 10 + 12) AS taxonomy_size, CAST(1 + count(DISTINCT source || (chunk % 3)) AS INTEGER) AS skills_detected_total,
+          count(*) AS chunks_processed FROM chunks GROUP BY doc_id""",
     "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "decode_resume": f"""SELECT '/resumes/' || doc_id || CASE WHEN lang = 'de' THEN '.TXT' ELSE '.txt' END AS path,
           regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS text
@@ -433,6 +470,10 @@ SELECT doc_id, term, count(*) AS mentions FROM grams JOIN terms ON gram = term G
     "stream_batch_counts": f"""WITH msgs AS (SELECT doc_id, lang || ' ' || text || CASE WHEN lang = 'en' THEN ' ' || source
           ELSE '' END AS t FROM documents), {_mentions('msgs', 'doc_id', 't')}
         SELECT skill, count(*) AS postings, CAST(sum(mentions) AS BIGINT) AS mentions FROM mentions GROUP BY skill""",
+    "stream_batches": f"""WITH msgs AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 3 ELSE 4 END AS batch_id,
+          CASE WHEN lang = 'de' THEN 'zzz' ELSE text END AS t FROM documents), {_mentions('msgs', 'doc_id', 't')}
+        SELECT CAST(batch_id AS BIGINT) AS batch_id, skill, count(*) AS postings, CAST(sum(mentions) AS BIGINT) AS mentions
+        FROM mentions JOIN msgs USING (doc_id) GROUP BY batch_id, skill""",
     "live_demand": f"""WITH msgs AS (SELECT doc_id, lang || ' ' || text || CASE WHEN lang = 'en' THEN ' ' || source
           ELSE '' END AS t FROM documents), {_mentions('msgs', 'doc_id', 't')},
         n AS (SELECT skill, position, count(*) AS postings, CAST(sum(mentions) AS BIGINT) AS demand_count

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skillgrid.functions import skills as S, text as X
 from skillgrid.operators import dedupe, demand as D, gap as G, tagging as T, vectors as V
@@ -173,6 +173,44 @@ def category_top_missing(spark, sf):
         "request_id", "category", joined("top_missing"))
 
 
+def _named_answers(spark, sf) -> DataFrame:
+    """As above, over skills of every category, without a cut by the request."""
+    segments = I.segments(I.postings(spark, sf, I.SKILL_OF_WORD))
+    asked = I.requests(spark, sf, I.SKILL_OF_WORD).withColumn("top_n", F.lit(100))
+    return D.attach_demand(asked, segments)
+
+
+@query
+def every_category_gaps(spark, sf):
+    return G.category_gaps(_named_answers(spark, sf), ["request_id"]).select(
+        "request_id", "category", "total_skills", "has_skills", "missing_skills", "coverage_percentage",
+        F.array_join("top_missing", ",").alias("missing_first"))
+
+
+@query
+def every_category_recommendations(spark, sf):
+    segments = I.segments(I.postings(spark, sf, I.SKILL_OF_WORD))
+    asked = I.requests(spark, sf, I.SKILL_OF_WORD).withColumn("top_n", F.lit(100))
+    return G.unfold(resume.analyze_gaps(asked, segments), ["request_id"], "recommendations")
+
+
+@query
+def demand_labels(spark, sf):
+    """Requests that end at each step: known roles of unknown firms and regions, and markets with live demand or none."""
+    p = I.stored_postings(spark, sf)
+    far = F.when(F.col("request_id") % 2 == 0, F.lit("atlantis"))
+    asked = I.requests(spark, sf).withColumns({
+        "company": F.when(F.col("request_id") % 2 == 0, F.lit("Nobody Inc")).otherwise(F.col("company")),
+        "region": F.coalesce(far, F.col("region"))})
+    segments = I.segments(p)
+    live = D.segment_demand(D.demand_rollup(p), role="building", top_n=5).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("demand_count"), "skill")))
+    answers = {"stored": D.attach_demand(asked, segments, live), "live": D.attach_demand(asked, segments.limit(0), live),
+               "nothing": D.attach_demand(asked, segments.limit(0))}
+    return dedupe.union_all([D.demand_rows(a, ["request_id"]).select(F.lit(market).alias("market"), "*")
+                             for market, a in answers.items()])
+
+
 # --- recommendations ---------------------------------------------------------------------------------------------
 
 def _recommended(spark, sf, candidate_cap: int | None):
@@ -308,6 +346,7 @@ def extraction_summary(spark, sf):
         F.when(F.col("lang") != "en", F.col("source")).alias("model_version"),
         (F.col("chunk") > 2).alias("used_fallback"),
         (F.col("chunk") * 10 + 12).alias("taxonomy_size"),
+        F.array(F.col("lang"), F.concat("source", (F.col("chunk") % 3).cast("string"))).alias("skills"),
     )
     return T.extraction_summary(chunks, ["doc_id"])
 
@@ -546,6 +585,24 @@ def stream_batch_counts(spark, sf):
         F.sum("postings").alias("postings"), F.sum("mentions").alias("mentions"))
 
 
+@query
+def stream_batches(spark, sf):
+    """Counts per batch id of a stream with an empty batch, one without hits, and one that is delivered again."""
+    source, out = scratch_path(spark, "messages"), scratch_path(spark, "stream")
+    docs = widen_scan(I.documents(spark, sf))
+    known = F.col("lang").isin("en", "fr", "de")
+    batches = [docs.where("lang = 'en'"), docs.where("lang = 'fr'"), docs.limit(0),
+               docs.where("lang = 'de'").withColumn("text", F.lit("zzz")), docs.where(~known | F.col("lang").isNull())]
+    sink = C.SkillCountSink(out, I.TERMS)
+    for i, batch in enumerate(batches):
+        # Each run takes what has landed since the last one as one batch.
+        files.as_messages(batch.select(F.col("text").alias("Job Description"))).write.text(f"{source}/part={i}")
+        messages = C.file_messages(spark, f"{source}/*")
+        sink.attach(messages, f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sink(spark.read.text(f"{source}/part=1").select("value"), 1)
+    return C.batch_counts(spark, out).select("batch_id", "skill", "postings", "mentions")
+
+
 @query
 def live_demand(spark, sf):
     return C.live_demand(spark, _streamed(spark, sf)).select("rank", "skill", "postings", "demand_count")

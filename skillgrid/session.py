@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_scratch: str | None = None
+_RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "skillgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,11 +58,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts the lineage for tables with several readers, survives the loss of executors, and gives the
-    optimizer real file sizes, so a later join is broadcast only when the side is measured to be small.
+    optimizer real file sizes, so a later join is broadcast only when the side is measured to be small. Nothing reads the
+    shuffles of the write again, so their files are released when it ends.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    usual = spark.conf.get(_RELEASE_SHUFFLES, None)
+    spark.conf.set(_RELEASE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if usual is None:
+            spark.conf.unset(_RELEASE_SHUFFLES)
+        else:
+            spark.conf.set(_RELEASE_SHUFFLES, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def widen_scan(df: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ partitions by hash, each into a few second-level ones. Linked sets differ in at
 partition has at most one differing shingle, and there all but one of the second-level partitions are equal: enumerating
 these subsets, linked sets share at least one signature (band, partition, subset, content).
 
-A few more partitions than needed (slack) allow exactness without unselective signatures: a signature of very few
-shingles is left out if the set has no more such partitions than the slack. Two linked sets agree in more partitions
-than the slack, so one of their common signatures remains.
+A few more partitions than needed (slack) allow exactness without unselective signatures: a set leaves out its signatures
+of fewer shingles than some number, the largest (up to a bound) at which they lie in no more partitions than the slack.
+Two linked sets agree in more partitions than the slack. A common signature has the same shingles in both, so the set
+with the larger number decides, and one of their common signatures remains.
 
 Signatures (hashes) are shuffled, never shingles. Copies within a task give their signatures once. Inside a bucket, sets
 are compared along a chain in random order first; only pairs whose sets are not connected by then are compared afterwards,
@@ -137,8 +138,8 @@ class JaccardSettings:
     similar: int = 80   # linked: whole * intersection >= similar * union
     whole: int = 100
     parts: int = 3      # second-level partitions of each first-level one
-    few: int = 3        # a signature of fewer shingles is not selective
-    slack: int = 16     # one partition more per so many
+    few: int = 3        # a signature of fewer shingles is not selective and left out, if the slack allows it
+    slack: int = 8      # one partition more per so many
     tile: int = 1024    # sets of a bucket that a task compares with each other, or with as many more
     looked_back: int = 6  # signatures of a set that are looked at to compare a pair once only
 
@@ -191,11 +192,10 @@ class PartEnum:
         if p.parts > 1:  # all but one of the second-level partitions
             content = content.sum(axis=1, keepdims=True, dtype=np.uint64) - content
             sizes = sizes.sum(axis=1, keepdims=True) - sizes
-        small = sizes < self.s.few
         signatures = _mixed(content ^ p.salts)
-        if small.any(axis=1).sum() <= p.slack:
-            return signatures[~small]
-        return signatures.ravel()
+        least = np.sort(sizes.min(axis=1))  # of each partition
+        allowed = min(self.s.few, int(least[p.slack]))  # at most ``slack`` partitions have smaller ones
+        return signatures[sizes >= allowed]
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
         """Of the set's own band, and of the next one if a larger partner can lie there."""

@@ -14,8 +14,9 @@ with the larger number decides, and one of their common signatures remains.
 Signatures (hashes) are shuffled, never shingles. Copies within a task give their signatures once. Inside a bucket, sets
 are compared along a chain in random order first; only pairs whose sets are not connected by then are compared afterwards,
 in tiles, so a group of near copies costs a few comparisons per member and no link between different texts is lost.
-Comparisons look at small sketches first, whose differing cells bound the differing shingles from below; the sets of the
-pairs that remain are read again from the texts and decide.
+Tiles compare outlines (signed counts of shingles in few cells), the pairs they leave are compared by sketches (a byte per
+shingle); both bound the differing shingles from below. The sets of the pairs that remain are read again from the texts
+and decide.
 """
 
 from __future__ import annotations
@@ -116,6 +117,19 @@ def sketch(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """One signed byte per cell: its shingles counted as +1 or -1, with a cell for 8 to 16 shingles, and 64 cells at least.
+
+    A differing shingle changes one cell by one, so the sum of all changes is a lower bound of the number of differing
+    shingles. Clipping to a byte and adding the halves for half as many cells only bring two outlines closer.
+    """
+    size = len(shingles).bit_length() - 1
+    cells = 1 << min(size, max(6, size - 3))
+    sign = 1 - 2 * ((shingles >> np.uint64(55)) & np.uint64(1)).astype(np.int64)
+    counts = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), weights=sign, minlength=cells)
+    return np.clip(counts, -127, 127).astype(np.int8).tobytes()
+
+
 def fewest_differences(left: bytes, right: bytes) -> int:
     """A lower bound of the number of differing shingles."""
     x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
@@ -217,23 +231,27 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """_id, _n (size of the set), _node (its name; null for an empty set) and _sketch (once per set and task)."""
+    """_id, _n (size of the set), _node (its name; null for an empty set), _sketch and _outline (once per set and task)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
         for part in _parts(batches):
             sets = shingler.sets(part["_body"].to_pylist())
             nodes = [set_name(s) if len(s) else None for s in sets]
-            sketches = []
+            sketches, outlines = [], []
             for s, node in zip(sets, nodes):
-                sketches.append(None if node is None or node in seen else sketch(s))
+                new = node is not None and node not in seen
+                sketches.append(sketch(s) if new else None)
+                outlines.append(outline(s) if new else None)
                 seen.add(node)
             yield pa.RecordBatch.from_arrays(
                 [part["_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(sketches, pa.binary())], names=["_id", "_n", "_node", "_sketch"])
+                 pa.array(sketches, pa.binary()), pa.array(outlines, pa.binary())],
+                names=["_id", "_n", "_node", "_sketch", "_outline"])
 
     rows = _bodies(docs, id_col, text_col)
     schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("_n", T.LongType()),
-                           T.StructField("_node", T.LongType()), T.StructField("_sketch", T.BinaryType())])
+                           T.StructField("_node", T.LongType()), T.StructField("_sketch", T.BinaryType()),
+                           T.StructField("_outline", T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -290,9 +308,10 @@ def _kept_pairs(met: DataFrame, keep: Callable[[bytes, bytes], bool], label: str
 
 
 def _sketches(named: DataFrame) -> DataFrame:
-    """_node and _sketch, behind eight bytes that hold the size of the set."""
+    """_node, _n, _outline, and _sketch behind eight bytes that hold the size of the set."""
     sized = F.concat(F.unhex(F.lpad(F.hex("_n"), 16, "0")), F.col("_sketch"))
-    return named.where("_sketch IS NOT NULL").select("_node", sized.alias("_sketch")).dropDuplicates(["_node"])
+    return named.where("_sketch IS NOT NULL").select("_node", "_n", sized.alias("_sketch"), "_outline").dropDuplicates(
+        ["_node"])
 
 
 def _linked(docs: DataFrame, named: DataFrame, pairs: DataFrame, settings: JaccardSettings, id_col: str,
@@ -319,7 +338,7 @@ def _possible(settings: JaccardSettings) -> Callable[[bytes, bytes], bool]:
     return possible
 
 
-def tile_pairs(nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, sketches: list[bytes],
+def tile_pairs(nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, sizes: np.ndarray, outlines: list[bytes],
                earlier: list[list[int | None]], settings: JaccardSettings) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile that lie in different components and may be similar: of all rows, or across two sides.
 
@@ -329,11 +348,10 @@ def tile_pairs(nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, sketches
     # Missing ones differ from each other and from all signatures.
     left = np.array([[0 if e is None else e for e in row] for row in earlier], np.int64).reshape(len(nodes), -1)
     right = np.array([[1 if e is None else e for e in row] for row in earlier], np.int64).reshape(len(nodes), -1)
-    sizes = np.array([int.from_bytes(s[:8], "big") for s in sketches])
-    cells = min(len(s) for s in sketches) - 8
-    table = np.empty((len(nodes), cells), np.uint8)
-    for i, s in enumerate(sketches):
-        table[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8, offset=8).reshape(-1, cells), axis=0)
+    cells = min(map(len, outlines))
+    table = np.empty((len(nodes), cells), np.int32)
+    for i, o in enumerate(outlines):
+        table[i] = np.frombuffer(o, np.int8).reshape(-1, cells).sum(axis=0, dtype=np.int32)
     across, found = len(set(sides.tolist())) > 1, []
     for i in range(len(nodes) - 1):
         other = np.flatnonzero((parts[i + 1:] != parts[i]) & ((sides[i + 1:] != sides[i]) | (not across))) + i + 1
@@ -342,15 +360,15 @@ def tile_pairs(nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, sketches
         if len(other):
             other = other[~(right[other][:, :, None] == left[i]).any(axis=(1, 2))]
             most = (settings.whole - settings.similar) * (sizes[i] + sizes[other]) // (settings.whole + settings.similar)
-            other = other[np.count_nonzero(table[other] != table[i], axis=1) <= most]
+            other = other[np.abs(table[other] - table[i]).sum(axis=1) <= most]
             found.append((np.full(len(other), nodes[i]), nodes[other]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _open_pairs(buckets: DataFrame, sketches: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """Possible pairs (_a, _b) between the components of each bucket.
+def _open_pairs(buckets: DataFrame, outlines: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """Possible pairs (_a, _b) between the components of each bucket, by ``outlines`` (_node, _n, _outline).
 
     A bucket is compared tile by tile: its rows are dealt to tiles by hash, and every two tiles meet in a task of
     their own, so no task holds a whole large bucket and only possible pairs come out. Sets that share many buckets
@@ -360,21 +378,23 @@ def _open_pairs(buckets: DataFrame, sketches: DataFrame, settings: JaccardSettin
     before = F.array(*[F.lag("_sig", k).over(own) for k in range(1, settings.looked_back + 1)])
     tiles = F.ceil(F.count("*").over(Window.partitionBy("_sig")) / settings.tile).cast("int")
     dealt = buckets.withColumn("_tiles", tiles).withColumn("_side", F.pmod(F.xxhash64("_node"), "_tiles").cast("int"))
-    met = dealt.withColumn("_before", before).join(sketches, "_node").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    met = dealt.withColumn("_before", before).join(outlines, "_node").withColumn(
+        "_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     keys = ["_sig", "_one", "_two"]
     met = met.select("_sig", F.least("_side", "_with").alias("_one"), F.greatest("_side", "_with").alias("_two"), "_side",
-                     "_node", "_c", "_sketch", "_before")
+                     "_node", "_c", "_n", "_outline", "_before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def compared() -> pa.RecordBatch:
             a, b = tile_pairs(np.array([r[4] for r in rows]), np.array([r[5] for r in rows]),
-                              np.array([r[3] for r in rows]), [r[6] for r in rows], [r[7] for r in rows], settings)
+                              np.array([r[3] for r in rows]), np.array([r[6] for r in rows]), [r[7] for r in rows],
+                              [r[8] for r in rows], settings)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["_a", "_b"])
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in (*keys, "_side", "_node", "_c", "_sketch", "_before"))):
+            for row in zip(*(batch[c].to_pylist() for c in (*keys, "_side", "_node", "_c", "_n", "_outline", "_before"))):
                 if row[:3] != key:
                     if len(rows) > 1:
                         yield compared()
@@ -408,9 +428,10 @@ def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSetti
 
     sketches = stored(_sketches(named.join(buckets.select("_node").distinct(), "_node", "left_semi")), "sketches")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-        return _linked(docs, named, stored(ordered, "possible_links"), settings, id_col, text_col)
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        ordered = stored(pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), label)
+        possible = _kept_pairs(_with_both(ordered, sketches, "_sketch"), _possible(settings), f"{label}_possible")
+        return _linked(docs, named, possible, settings, id_col, text_col)
 
     def still_open(label: DataFrame) -> DataFrame:
         # The only pair of a bucket of two has been compared in the chain.
@@ -421,11 +442,11 @@ def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSetti
     # In each bucket a set meets the next one in a random order, which connects most of what is alike.
     order = Window.partitionBy("_sig").orderBy(F.xxhash64("_node"))
     chained = buckets.select(F.col("_node").alias("_a"), F.lag("_node").over(order).alias("_b")).where("_b IS NOT NULL")
-    chained = chained.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    links = linked(_kept_pairs(_with_both(chained, sketches, "_sketch"), _possible(settings), "chained"))
+    links = linked(chained, "chained")
     # Then the buckets that still hold several components are compared in full; the settled ones have left.
-    rest = _open_pairs(still_open(components(links, "_a", "_b")), sketches, settings)
-    label = components(links.unionByName(linked(rest)), "_a", "_b")
+    outlines = sketches.select("_node", "_n", "_outline")
+    rest = linked(_open_pairs(still_open(components(links, "_a", "_b")), outlines, settings), "open_pairs")
+    label = components(links.unionByName(rest), "_a", "_b")
 
     grouped = labelled(named.where("_node IS NOT NULL").select("_id", "_n", "_node"), label)
     smallest = grouped.groupBy("_c").agg(F.min("_id").alias("component_id"))

@@ -139,3 +139,41 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 200), (200, 150)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(71)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_outlines_bound_the_differing_shingles_from_below():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 130, 1000, 5000):
+        for changed in (0, 1, size // 10, size // 2, size):
+            left = rng.integers(0, 2**64, size, dtype=np.uint64)
+            right = np.concatenate((left[changed:], rng.integers(0, 2**64, changed + size // 20, dtype=np.uint64)))
+            differing = 2 * changed + size // 20
+            x, y = (np.frombuffer(jaccard_join.outline(s), np.int8).astype(int) for s in (left, right))
+            cells = min(len(x), len(y))
+            apart = np.abs(x.reshape(-1, cells).sum(axis=0) - y.reshape(-1, cells).sum(axis=0)).sum()
+            assert apart <= differing
+            if changed == size > 100:
+                assert apart > size // 4  # unrelated sets are told apart
+
+
+@pytest.mark.parametrize("similar", [80, 85])
+def test_linked_sets_share_a_signature(similar):
+    """Whatever unselective signatures both leave out; among them sets with many small partitions."""
+    rng, settings = np.random.default_rng(similar), jaccard_join.JaccardSettings(similar=similar)
+    scheme = jaccard_join.PartEnum(settings)
+    for _ in range(600):
+        size = int(rng.integers(1, 400))
+        pool = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        most = (settings.whole - similar) * len(pool) // settings.whole
+        gone = int(rng.integers(0, most + 1))
+        keep = np.ones(len(pool), bool)
+        # The pair shares all of ``pool`` but ``gone`` shingles, dealt over both sides.
+        places = rng.permutation(len(pool))[:gone]
+        half = int(rng.integers(0, gone + 1))
+        keep_left, keep_right = keep.copy(), keep.copy()
+        keep_left[places[:half]] = False
+        keep_right[places[half:]] = False
+        left, right = pool[keep_left], pool[keep_right]
+        both, union = len(np.intersect1d(left, right)), len(np.union1d(left, right))
+        assert settings.whole * both >= similar * union
+        assert set(scheme.signatures(left).tolist()) & set(scheme.signatures(right).tolist())

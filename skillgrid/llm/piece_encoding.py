@@ -9,13 +9,17 @@ BPE model means.
 
 The lattice is built for the units that make up at least ``share`` of all units of the corpus; at most 1 / share of these
 exist, so their encodings may be broadcast, and texts are then encoded in place without a shuffle. All other units, and
-very long ones, are encoded in the task by the same merge rule. Both ways are exact, so the share only moves work.
+very long ones, are cut further wherever no piece holds both neighbours, and their parts encoded by the same merge rule,
+remembered by the worker process. Both ways are exact, so the share only moves work.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -28,8 +32,10 @@ from skillgrid.session import stored
 
 SPACE = "▁"
 _LONGEST_UNIT = 64  # characters of a unit that goes through the lattice
+_LONGEST_LOOP = 24  # characters of a part whose merges are found by a plain loop
 _MEMO = 200_000
 _ROWS = 200  # texts that are held as Python objects together
+_DECODED = 50  # rows that are decoded together
 
 
 @dataclass(frozen=True)
@@ -70,6 +76,30 @@ class PieceModel:
         lone = "".join(rf"\x{ord(c):02x}" for c in "\t\n\x0b\x0c" if c not in joined)
         return rf"[{lone}]|{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" if lone else rf"{SPACE}+[^{SPACE}]*"
 
+    @cached_property
+    def lone_newline(self) -> bool:
+        return not any("\n" in p for p in self.pieces if len(p) > 1)
+
+    @cached_property
+    def other_lone(self) -> list[str]:
+        joined = {c for p in self.pieces if len(p) > 1 for c in p}
+        return [c for c in "\t\x0b\x0c" if c not in joined]
+
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """Every two characters that stand next to each other in a piece."""
+        return {a + b for p in self.pieces for a, b in zip(p, p[1:])}
+
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        return {p: score for p, (score, _) in self.pieces.items()}
+
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut between all neighbours that no piece joins, which no merge can cross."""
+        joined = self.neighbours
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in joined]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, s, i) for p, (s, i) in self.pieces.items()], "piece string, score double, id int")
 
@@ -78,6 +108,30 @@ class PieceModel:
 
     def merged(self, unit: str) -> list[int]:
         """Ids of a unit by merges, best score first, leftmost first among equals."""
+        return self._looped(unit) if len(unit) <= _LONGEST_LOOP else self._queued(unit)
+
+    def _ids(self, parts: list[str]) -> list[int]:
+        ids: list[int] = []
+        for part in parts:
+            known = self.pieces.get(part)
+            ids += [known[1]] if known else self.bytes_of(part)
+        return ids
+
+    def _looped(self, unit: str) -> list[int]:
+        score, none = self.scores.get, -math.inf
+        parts = list(unit)
+        joins = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joins and (best := max(joins)) != none:
+            at = joins.index(best)
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del joins[at]
+            if at < len(joins):
+                joins[at] = score(parts[at] + parts[at + 1], none)
+            if at:
+                joins[at - 1] = score(parts[at - 1] + parts[at], none)
+        return self._ids(parts)
+
+    def _queued(self, unit: str) -> list[int]:
         parts, after, before = list(unit), [*range(1, len(unit)), -1], [*range(-1, len(unit) - 1)]
         queue: list[tuple[float, int, str]] = []
 
@@ -100,11 +154,7 @@ class PieceModel:
                 before[after[right]] = left
             offer(before[left])
             offer(left)
-        ids: list[int] = []
-        for part in filter(None, parts):
-            known = self.pieces.get(part)
-            ids += [known[1]] if known else self.bytes_of(part)
-        return ids
+        return self._ids(list(filter(None, parts)))
 
 
 def prepared(text: str) -> str:
@@ -196,6 +246,59 @@ def encoded_units(docs: DataFrame, model: PieceModel, text_col: str = "text", sh
     return fold_merges(lattice(frequent, model.table(docs.sparkSession), model.longest), model.byte_ids)
 
 
+class _Memo(dict):
+    """Remembers what ``compute`` gives for short keys. When it is full it becomes the older half of the memory, from which
+    keys in use come back; what is forgotten is computed again, so no result depends on it."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= _LONGEST_UNIT:
+            if len(self) >= _MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+_encoders: dict[str, Callable[[str], bytes]] = {}
+
+
+def worker_encoder(run: str, words: dict[str, bytes], model: PieceModel) -> Callable[[str], bytes]:
+    """``text_encoder`` of the newest ``run``, kept by the worker process, so its memos serve all tasks of the process."""
+    if run not in _encoders:
+        _encoders.clear()
+        _encoders[run] = text_encoder(words, model)
+    return _encoders[run]
+
+
+def text_encoder(words: dict[str, bytes], model: PieceModel) -> Callable[[str], bytes]:
+    """Text to its ids as 32-bit integers; ``words`` holds those of units that are known."""
+    pattern = re.compile(model.unit_pattern)
+    parts = _Memo(lambda part: array("i", model.merged(part)).tobytes())
+
+    def unit(text: str) -> bytes:
+        return words.get(text) or b"".join(map(parts.__getitem__, model.parts(text)))
+
+    # A word between spaces is the unit with a mark before it; one that begins with a line break goes by the pattern.
+    by_word = _Memo(lambda word: b"".join(map(unit, pattern.findall(word if word[:1] == "\n" else SPACE + word))))
+    simple, others = model.lone_newline, model.other_lone
+
+    def encode(text: str) -> bytes:
+        if simple and "  " not in text and text[:1] != " " and SPACE not in text and not any(c in text for c in others):
+            # Line breaks are units of their own, so a space put before them only ends the word; see ``by_word``.
+            spaced = text.replace("\n", " \n")
+            return b"".join(map(by_word.__getitem__, spaced.split(" "))) if text else b""
+        return b"".join(map(unit, pattern.findall(prepared(text))))
+
+    return encode
+
+
 def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
                      keep: tuple[str, ...] = (), share: float = 1 / 200_000) -> DataFrame:
     """doc_id, ids (array of int) of every row, with the columns named in ``keep``.
@@ -205,29 +308,18 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     units = stored(encoded_units(docs, model, text_col, share), "unit_ids")
-    known = {r["word"]: r["ids"] for r in units.toLocalIterator()}  # at most 1 / share rows
-    shared = spark.sparkContext.broadcast(({w: np.array(i, np.int32).tobytes() for w, i in known.items()}, model))
+    known = {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in units.toLocalIterator()}  # at most 1 / share rows
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known, model))
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pieces = shared.value
-        pattern, memo = re.compile(pieces.unit_pattern), {}
-
-        def unit(word: str) -> bytes:
-            found = words.get(word) or memo.get(word)
-            if found is None:
-                if len(memo) > _MEMO:
-                    memo.clear()
-                found = np.array(pieces.merged(word), np.int32).tobytes()
-                if len(word) <= _LONGEST_UNIT:
-                    memo[word] = found
-            return found
+        encode = worker_encoder(*shared.value)
 
         for batch in batches:
             for begin in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(begin, _ROWS)
-                coded = [b"".join(map(unit, pattern.findall(prepared(t or "")))) for t in part["_text"].to_pylist()]
+                coded = [encode(t or "") for t in part["_text"].to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids, *(part[c] for c in keep)],
@@ -239,18 +331,26 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
 
 def decode_documents(encoded: DataFrame, model: PieceModel, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, text of every row; bytes that are no UTF-8 become the replacement character."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model.texts)
+    joined = np.frombuffer(b"".join(model.texts), np.uint8)
+    ends = np.cumsum([0, *map(len, model.texts)])
+    shared = encoded.sparkSession.sparkContext.broadcast((joined, ends[:-1], np.diff(ends)))
     kinds = [f"{c} {encoded.schema[c].dataType.simpleString()}" for c in keep]
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: Callable[[int], bytes] = shared.value.__getitem__
-        # A few rows at a time: ids are many small objects as a list.
-        for part in (batch.slice(at, _ROWS) for batch in batches for at in range(0, batch.num_rows, _ROWS)):
-            decoded = [b"".join(map(texts, ids or [])).decode("utf-8", "replace").removeprefix(" ")
-                       for ids in part["ids"].to_pylist()]
+        raw, starts, sizes = shared.value
+        for part in (batch.slice(at, _DECODED) for batch in batches for at in range(0, batch.num_rows, _DECODED)):
+            column = part["ids"]
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            lengths = sizes[ids]
+            ends = np.cumsum(lengths)
+            # Byte k of the result lies at its piece's start plus its place inside the piece.
+            body = raw[np.repeat(starts[ids] - ends + lengths, lengths) + np.arange(lengths.sum())].tobytes()
+            counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+            decoded = [body[b:e].decode("utf-8", "replace").removeprefix(" ") for b, e in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["ids"], pa.array(decoded, pa.string()), *(part[c] for c in keep)],
+                [part["doc_id"], column, pa.array(decoded, pa.string()), *(part[c] for c in keep)],
                 names=["doc_id", "ids", "text", *keep])
 
     return encoded.select("doc_id", "ids", *keep).mapInArrow(

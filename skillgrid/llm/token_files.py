@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +193,17 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], Iterato
                     held.clear()
             tails[""] = b""
             split = [_units(t or "") for t in texts[begin:begin + 200]]
-            new = set(chain.from_iterable(split)).difference(memo)
-            if new:
-                learn(new)
-            for units in split:
-                yield b"".join(map(memo.__getitem__, units)) + stop
+            # Each word is looked up once; new ones are learned together and put into their places.
+            found = [list(map(memo.get, units)) for units in split]
+            gaps = [(ids, units, [i for i, x in enumerate(ids) if x is None])
+                    for ids, units in zip(found, split) if None in ids]
+            if gaps:
+                learn({units[i] for _, units, places in gaps for i in places})
+                for ids, units, places in gaps:
+                    for i in places:
+                        ids[i] = memo[units[i]]
+            for ids in found:
+                yield b"".join(ids) + stop
 
     return encode
 

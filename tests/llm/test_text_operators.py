@@ -1,5 +1,6 @@
 """Mixing, licences, languages, token files and piece encoding."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -294,6 +295,19 @@ def test_piece_encoding_equals_the_library(spark, model, share, sample_docs):
         assert back[doc_id].text == (text or "")
 
 
+def test_text_encoder_equals_the_library_on_odd_spacing(model):
+    """Spaces, line breaks, controls and marks in every order; short and long merges agree."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    encode, rng = piece_encoding.text_encoder({}, model), random.Random(3)
+    texts = ["", " ", "\n", "\nabc", "a\n\nb", "a \nb", "a\n b", "a  b", "\t", "a" * 500 + " b", "\u2581a b"]
+    texts += ["".join(rng.choices("ab \n\t\x0b.,1é\u2581日", k=rng.randint(0, 40))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), np.int32).tolist() == library.encode(text)
+        assert model._looped(text) == model._queued(text)
+
+
 def test_viterbi_fold_equals_brute_force(spark):
     scores = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -4.0, "aba": -4.2, "bb": -6.0}
     pieces = spark.createDataFrame([(p, s, i) for i, (p, s) in enumerate(scores.items())], "piece string, score double, id int")

@@ -7,14 +7,19 @@ until each is 0 or 1, so the totals stay what the probabilities promise.
 
 The flight runs in pieces of a stated size (hash of the id inside a source, so a source that holds a third of all rows is
 many pieces). Every piece leaves at most two fractions, and those of a source meet in the next round: a few rounds reach
-one piece per source whatever its size. There the last fractions land on the combination nearest to the totals. Large
-documents fly first; some of the smallest wait, take over what the landing of the others misses, and fly last.
+one piece per source whatever its size. There the last fractions land on the combination nearest to the totals.
+
+Documents too large to be moved by the others of their piece are drawn first, and all others together take over their
+words. Then the largest undecided document always takes part in a move, together with the next largest and the smallest
+one: sizes that differ let it move, so it is decided while many others can still balance it. Two bands of small documents wait: the first holds the words of the largest
+document, the second a few of the smallest. Each takes over what the landing before it misses, and flies after it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,7 +39,7 @@ class MixSettings:
     share: float = 1.0                            # of all sizes
     cap: float = 3.0                              # a target is at most this many times its source's size
     piece: int = 4096                             # documents that fly together
-    reserve: int = 64                             # smallest documents of a source that fly last
+    reserve: int = 64                             # smallest documents of a source, which fly last
     seed: int = 7
 
 
@@ -71,23 +76,36 @@ def _draw(seed: int, doc_id: object, step: int) -> float:
     return int.from_bytes(digest, "big") / 2.0 ** 64
 
 
-def _direction(sizes: list[int]) -> list[float] | None:
-    """A vector that keeps the number and the tokens of the sample, for two or three units."""
+def _direction(sizes: list[int], others: int) -> list[float] | None:
+    """A vector that keeps the tokens and the number of the sample, for two or three units, the largest first.
+
+    Two units of nearly one size cannot move a much larger one and keep both; if the ``others`` still to come are too few
+    to move it that way, the number gives way to the tokens.
+    """
     if len(sizes) == 3:
         a, b, c = sizes
         if a == b == c:
             return [1.0, -1.0, 0.0]
+        if a > 4 * b > 0 and 2 * (b - c) < b + c and (b - c) * others < 4 * a:
+            return [float(b + c), float(-a), float(-a)]
         return [float(c - b), float(a - c), float(b - a)]
     return [1.0, -1.0] if len(sizes) == 2 and sizes[0] == sizes[1] else None
 
 
 def fly(ids: list, sizes: list[int], chances: list[float], seed: int) -> tuple[list[float], list[int]]:
     """Move the probabilities until at most two are fractions; also the places of those."""
-    p, waiting, active, step = list(chances), iter(range(len(ids))), [], 0
+    p, step, active, low = list(chances), 0, [], set()
+    waiting = deque(sorted(range(len(ids)), key=lambda i: (-sizes[i], i)))
     while True:
-        while len(active) < 3 and (unit := next(waiting, None)) is not None:
-            active.append(unit)
-        u = _direction([sizes[i] for i in active])
+        while len(active) < 3 and waiting:
+            # One of the three is the smallest that waits, the others are the largest.
+            if active and not low.intersection(active):
+                active.append(waiting.pop())
+                low.add(active[-1])
+            else:
+                active.append(waiting.popleft())
+        active.sort(key=lambda i: (-sizes[i], i))
+        u = _direction([sizes[i] for i in active], len(waiting))
         if u is None:
             return p, active
         up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(active, u) if x)
@@ -116,30 +134,79 @@ def _spread(sizes: list[int], chances: list[float], tokens: float) -> list[float
     return [float(round(p)) if p < _TINY or p > 1 - _TINY else p for p in moved]
 
 
+def draw_giants(ids: list, sizes: list[int], chances: list[float], seed: int) -> tuple[list[float], int]:
+    """Decide the documents that moves against the smaller ones would not decide; also how many they are.
+
+    ``sizes`` fall. A document moves at random by steps of the others' sizes, so it needs others whose squares reach
+    several times its own. One that lacks them is drawn by its probability, and all smaller documents together take over
+    its words; where they have not enough of them, the result that misses less is taken instead.
+    """
+    p, squares = list(chances), [0]
+    for size in reversed(sizes):
+        squares.append(squares[-1] + size * size)
+    giants = 0
+    while giants < len(sizes) and 4 * sizes[giants] ** 2 > squares[len(sizes) - giants - 1]:
+        giants += 1
+    # The smallest have few others below them too; at least half of all stay for the flight.
+    giants = min(giants, len(sizes) // 2)
+    for i in range(giants):
+        if not 0.0 < p[i] < 1.0:
+            continue
+        rest = range(i + 1, len(sizes))
+
+        def missed(x: float) -> float:
+            words = (p[i] - x) * sizes[i]
+            room = sum(sizes[j] * ((1 - p[j]) if words > 0 else p[j]) for j in rest)
+            return max(abs(words) - room, 0.0)
+
+        drawn = 1.0 if _draw(seed, ids[i], -1) < p[i] else 0.0
+        if missed(drawn) > missed(1.0 - drawn):
+            drawn = 1.0 - drawn
+        words, p[i] = (p[i] - drawn) * sizes[i], drawn
+        p[i + 1:] = _spread(sizes[i + 1:], p[i + 1:], words)
+    return p, giants
+
+
+def _bands(sizes: list[int], chances: list[float], reserve: int, begin: int) -> list[tuple[int, int]]:
+    """Ranges of documents in falling size that fly one after the other: most, a band of their words, the smallest.
+
+    The middle band starts where what it can give or take holds the largest document; no band takes over half.
+    """
+    end = len(sizes)
+    half = (begin + end) // 2
+    few = max(end - reserve, half)
+    room, cut = 0.0, few
+    while cut > half and room < sizes[begin]:
+        cut -= 1
+        room += sizes[cut] * min(chances[cut], 1 - chances[cut])
+    return [(a, b) for a, b in ((begin, cut), (cut, few), (few, end)) if a < b]
+
+
 def _flight(settings: MixSettings):
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values(["_size", "_id"], ascending=[False, True], kind="stable", na_position="last")
         ids, sizes, p = piece["_id"].tolist(), piece["_size"].tolist(), piece["_p"].tolist()
         last = piece["_pieces"].iloc[0] == 1
+        p, giants = draw_giants(ids, sizes, p, settings.seed)
         # The smallest documents wait: they make good what the last fractions of the others miss.
-        cut = len(ids) - min(settings.reserve if last else _HELD, len(ids) // 2)
-        p[:cut], left = fly(ids[:cut], sizes[:cut], p[:cut], settings.seed)
-        if last:
-            for begin, end in ((0, cut), (cut, len(ids))):
-                if begin:
-                    p[begin:end] = _spread(sizes[begin:end], p[begin:end], missing)
-                    open_at = [i for i in range(begin, end) if 0.0 < p[i] < 1.0]
-                    flown, left = fly([ids[i] for i in open_at], [sizes[i] for i in open_at],
-                                      [p[i] for i in open_at], settings.seed)
-                    for i, x in zip(open_at, flown):
-                        p[i] = x
-                    left = [open_at[i] for i in left]
-                own, chance = [sizes[i] for i in left], [p[i] for i in left]
-                tokens = sum(s * x for s, x in zip(own, chance))
-                landed = land(own, tokens, sum(chance))
-                for i, x in zip(left, landed):
+        bands = _bands(sizes, p, settings.reserve, giants) if last else [
+            (giants, max(giants, len(ids) - min(_HELD, len(ids) // 2)))]
+        missing = 0.0
+        for begin, end in bands:
+            band = range(begin, end)
+            goal = sum(sizes[i] * p[i] for i in band) + missing
+            p[begin:end] = _spread(sizes[begin:end], p[begin:end], missing)
+            open_at = [i for i in band if 0.0 < p[i] < 1.0]
+            flown, left = fly([ids[i] for i in open_at], [sizes[i] for i in open_at], [p[i] for i in open_at],
+                              settings.seed)
+            for i, x in zip(open_at, flown):
+                p[i] = x
+            if last:
+                left = [open_at[i] for i in left]
+                rest = goal - sum(sizes[i] * p[i] for i in band if i not in left)
+                for i, x in zip(left, land([sizes[i] for i in left], rest, sum(p[i] for i in left))):
                     p[i] = x
-                missing = tokens - sum(s * x for s, x in zip(own, landed))
+                missing = goal - sum(sizes[i] * p[i] for i in band)
         return piece.assign(_p=p).drop(columns="_piece")
     return run
 

@@ -10,6 +10,43 @@ w AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) O
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM w
 """
 
+# Resharing ends where target = min(3 * size, level * weight); the level is found by capping the sources one by one.
+LLM_ORACLES["mixing_targets"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w
+  FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS k FROM s),
+c AS (
+  SELECT 0::BIGINT AS k, (SELECT sum(size) FROM d)::DOUBLE AS words, (SELECT sum(w) FROM s)::DOUBLE AS weight
+  UNION ALL
+  SELECT r.k, c.words - 3.0::DOUBLE * r.source_size, c.weight - r.w FROM c JOIN r ON r.k = c.k + 1
+  WHERE c.words / c.weight * r.w > 3.0::DOUBLE * r.source_size),
+l AS (SELECT words / weight AS level FROM c WHERE weight > 0 ORDER BY k DESC LIMIT 1)
+SELECT d.doc_id, d.size, r.source_size, round(least(3.0::DOUBLE * r.source_size, coalesce(l.level, 0) * r.w), 6) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN l ON true
+"""
+
+LLM_ORACLES["license_words"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'),
+                            (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) AS t(words, label)),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS n FROM d),
+f AS (
+  SELECT doc_id, n, word, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+h AS (
+  SELECT doc_id, n, label FROM f JOIN p ON word = words[1] AND w1 = words[2]
+    AND (len(words) = 2 OR (w2 = words[3] AND w3 = words[4])))
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, count(label) AS n_base, min(n)::BIGINT AS first_word,
+       max(n)::BIGINT AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id, ws
+"""
+
 LLM_ORACLES["op9_line_dedup"] = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -46,12 +46,26 @@ def op2_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def mixing_targets(spark, sf):
+    """The part of op2 that SQL can state: sizes and targets."""
+    return mixing.mix(table(spark, sf, "documents")).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 @query
 def op3_license_scan(spark, sf):
     return license_scan.scan_licenses(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query
+def license_words(spark, sf):
+    """The part of op3 that SQL can state: words and the places of the base phrases."""
+    return license_scan.scan_licenses(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 @query
 def op4_language_id(spark, sf):
     return language.identify(table(spark, sf, "documents"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from odd_tables import ROWS, rows_of
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def test_flight_keeps_totals_and_chances():
     assert np.abs(mean - 0.3).max() < 0.13
 
 
+def _one_source(sizes, seed, **settings):
+    chance = 0.64
+    frame = pd.DataFrame({"_id": range(len(sizes)), "_k": "=a", "_size": sizes, "source_size": sum(sizes), "target": 0.0,
+                          "_whole": 0, "_p": chance, "_most": len(sizes), "_pieces": 1, "_piece": 0})
+    done = mixing._flight(mixing.MixSettings(seed=seed, **settings))(frame)
+    assert done["_p"].isin([0.0, 1.0]).all()
+    taken = dict(zip(done["_id"], done["_p"]))
+    return taken, sum(s * taken[i] for i, s in enumerate(sizes)) - chance * sum(sizes)
+
+
+@pytest.mark.parametrize("others", ["mixed", "equal", "two sizes"])
+def test_a_very_long_document_is_drawn_and_made_good(others):
+    rng = np.random.default_rng(5)
+    small = {"mixed": (np.exp(rng.normal(4.5, 1.2, 900)).astype(int) + 1).tolist(), "equal": [100] * 900,
+             "two sizes": [101, 100] * 450}[others]
+    drawn = []
+    for seed in range(60):
+        taken, off = _one_source([20_020, *small], seed)
+        assert abs(off) <= 100
+        drawn.append(taken[0])
+    assert 0.45 < np.mean(drawn) < 0.83  # 0.64, three standard errors
+
+
+def test_two_very_long_documents(spark):
+    texts = ["w " * 20_000, "v " * 19_000] + [f"a{i} " * (1 + i * 37 % 400) for i in range(800)]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    by = {}
+    for r in mixing.mix(docs).collect():
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    assert len(by) == 2 and all(abs(sum(taken) - target) <= max(100, target / 1000) for (_, target), taken in by.items())
+
+
 def test_mix_on_odd_tables(odd_docs, no_docs, clashing_docs):
     got = mixing.mix(odd_docs)
     assert got.count() == len(ROWS)

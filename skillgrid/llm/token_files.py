@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 _STEP = 4096  # bits between two stored counts of ones
-_MEMO = 600_000
+_MEMO = 900_000
 _UNITS = re.compile(r"[^\x20\x09-\x0D]+")
 # Latin letters that stay as they are under NFC. Full stops and commas after them are a run of their own to the tokenizer.
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
@@ -44,9 +44,11 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         current, zeros, planes, ones = ids.astype(np.uint32 if bits > 16 else np.uint16), [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = (current >> level & 1).astype(bool)
-            planes.append(np.packbits(bit).tobytes())
-            sums = np.add.reduceat(bit, np.arange(0, len(bit), _STEP), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+            bit = (current & (1 << level)) != 0
+            packed = np.packbits(bit)
+            planes.append(packed.tobytes())
+            sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), _STEP // 8), dtype=np.int64) if len(
+                packed) else np.zeros(0, np.int64)
             ones.append(np.concatenate(([0], np.cumsum(sums))))
             left = current[~bit]
             zeros.append(len(left))
@@ -153,7 +155,7 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], Iterato
     def packed_ids(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    stop, memo, cores, tails = packed_ids([end_id]), {}, {}, {"": b""}
+    stop, memo, tails = packed_ids([end_id]), {}, {}
 
     def library(texts: list[str], by: Tokenizer = tokenizer) -> list[list[int]]:
         return [e.ids for e in by.encode_batch_fast(texts, add_special_tokens=False)]
@@ -167,31 +169,35 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], Iterato
             assert len(cuts) == len(line), "the tokenizer joined words"
             raw = packed.tobytes()
             for word, begin, end in zip(line, [0, *cuts], cuts):
-                cores[word] = raw[begin:end]
-
-    def plain(word: str) -> bool:
-        return (word.isascii() and word.isalpha()) or _LATIN.fullmatch(word) is not None
+                memo[word] = raw[begin:end]
 
     def learn(units: set[str]) -> None:
-        split = [(unit, core.lower(), unit[len(core):]) for unit in units for core in (unit.rstrip(".,"),)]
-        learn_words([w for w in {core for _, core, _ in split} if w not in cores and plain(w)])
-        for tail in {tail for _, _, tail in split} - tails.keys():
-            tails[tail] = packed_ids(library([tail])[0])
-        odd = []
-        for unit, core, tail in split:
-            if core in cores:
-                memo[unit] = cores[core] + tails[tail]
+        """Plain words are learned without the stops and commas after them, which are tokens of their own."""
+        longer, cores, words, odd = [], [], set(), []
+        for unit in units:
+            core = unit.rstrip(".,").lower()
+            if (core.isascii() and core.isalpha()) or _LATIN.fullmatch(core):
+                if unit != core:
+                    longer.append(unit)
+                    cores.append(core)
+                if core not in memo:
+                    words.add(core)
             else:
                 odd.append(unit)
+        learn_words(list(words))
+        for unit, core in zip(longer, cores):
+            tail = unit[len(core):]
+            if tail not in tails:
+                tails[tail] = packed_ids(library([tail])[0]) if tail else b""
+            memo[unit] = memo[core] + tails[tail]
         for unit, ids in zip(odd, library(odd)):
             memo[unit] = packed_ids(ids)
 
     def encode(texts: list[str | None]) -> Iterator[bytes]:
         for begin in range(0, len(texts), 200):
-            for held in (memo, cores, tails):
+            for held in (memo, tails):
                 if len(held) > _MEMO:
                     held.clear()
-            tails[""] = b""
             split = [_units(t or "") for t in texts[begin:begin + 200]]
             # Each word is looked up once; new ones are learned together and put into their places.
             found = [list(map(memo.get, units)) for units in split]

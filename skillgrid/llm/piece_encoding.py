@@ -23,6 +23,8 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from skillgrid.session import stored
 SPACE = "▁"
 _LONGEST_UNIT = 64  # characters of a unit that goes through the lattice
 _LONGEST_LOOP = 24  # characters of a part whose merges are found by a plain loop
-_MEMO = 200_000
+_MEMO = 350_000
 _ROWS = 200  # texts that are held as Python objects together
 _DECODED = 50  # rows that are decoded together
 
@@ -97,7 +99,7 @@ class PieceModel:
     def parts(self, unit: str) -> list[str]:
         """The unit cut between all neighbours that no piece joins, which no merge can cross."""
         joined = self.neighbours
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in joined]
+        cuts = [i for i, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in joined]
         return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -120,7 +122,7 @@ class PieceModel:
     def _looped(self, unit: str) -> list[int]:
         score, none = self.scores.get, -math.inf
         parts = list(unit)
-        joins = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        joins = [*map(score, map(add, unit, unit[1:]), repeat(none))]
         while joins and (best := max(joins)) != none:
             at = joins.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
@@ -286,7 +288,7 @@ def text_encoder(words: dict[str, bytes], model: PieceModel) -> Callable[[str],
         return words.get(text) or b"".join(map(parts.__getitem__, model.parts(text)))
 
     # A word between spaces is the unit with a mark before it; one that begins with a line break goes by the pattern.
-    by_word = _Memo(lambda word: b"".join(map(unit, pattern.findall(word if word[:1] == "\n" else SPACE + word))))
+    by_word = _Memo(lambda word: b"".join(map(unit, pattern.findall(word))) if word[:1] == "\n" else unit(SPACE + word))
     simple, others = model.lone_newline, model.other_lone
 
     def encode(text: str) -> bytes:
@@ -299,21 +301,17 @@ def text_encoder(words: dict[str, bytes], model: PieceModel) -> Callable[[str],
     return encode
 
 
-def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
-                     keep: tuple[str, ...] = (), share: float = 1 / 200_000) -> DataFrame:
-    """doc_id, ids (array of int) of every row, with the columns named in ``keep``.
+Batches = Iterator[pa.RecordBatch]
 
-    A null text counts as empty and has no ids. Characters that are no piece become the ids of their UTF-8 bytes.
-    Rows are independent: repeated rows and null ids need no care.
-    """
-    spark = docs.sparkSession
+
+def _encoding(docs: DataFrame, model: PieceModel, text_col: str, keep: tuple[str, ...],
+              share: float) -> Callable[[Batches], Batches]:
+    """Batches of doc_id, _text and ``keep`` to batches of doc_id, ids and ``keep``."""
     units = stored(encoded_units(docs, model, text_col, share), "unit_ids")
     known = {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in units.toLocalIterator()}  # at most 1 / share rows
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known, model))
-    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, known, model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encode = worker_encoder(*shared.value)
 
         for batch in batches:
@@ -325,19 +323,16 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids, *(part[c] for c in keep)],
                                                  names=["doc_id", "ids", *keep])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", "ids array<int>", *kinds]))
+    return run
 
 
-def decode_documents(encoded: DataFrame, model: PieceModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids, text of every row; bytes that are no UTF-8 become the replacement character."""
+def _decoding(spark: SparkSession, model: PieceModel, keep: tuple[str, ...]) -> Callable[[Batches], Batches]:
+    """Batches of doc_id, ids and ``keep`` to the same with the text."""
     joined = np.frombuffer(b"".join(model.texts), np.uint8)
     ends = np.cumsum([0, *map(len, model.texts)])
-    shared = encoded.sparkSession.sparkContext.broadcast((joined, ends[:-1], np.diff(ends)))
-    kinds = [f"{c} {encoded.schema[c].dataType.simpleString()}" for c in keep]
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((joined, ends[:-1], np.diff(ends)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         raw, starts, sizes = shared.value
         for part in (batch.slice(at, _DECODED) for batch in batches for at in range(0, batch.num_rows, _DECODED)):
             column = part["ids"]
@@ -353,5 +348,36 @@ def decode_documents(encoded: DataFrame, model: PieceModel, keep: tuple[str, ...
                 [part["doc_id"], column, pa.array(decoded, pa.string()), *(part[c] for c in keep)],
                 names=["doc_id", "ids", "text", *keep])
 
+    return run
+
+
+def _schema(df: DataFrame, id_col: str, columns: tuple[str, ...], keep: tuple[str, ...]) -> str:
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
+    return ", ".join([f"doc_id {df.schema[id_col].dataType.simpleString()}", *columns, *kinds])
+
+
+def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
+                     keep: tuple[str, ...] = (), share: float = 1 / 200_000) -> DataFrame:
+    """doc_id, ids (array of int) of every row, with the columns named in ``keep``.
+
+    A null text counts as empty and has no ids. Characters that are no piece become the ids of their UTF-8 bytes.
+    Rows are independent: repeated rows and null ids need no care.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
+    return rows.mapInArrow(_encoding(docs, model, text_col, keep, share), _schema(docs, id_col, ("ids array<int>",), keep))
+
+
+def decode_documents(encoded: DataFrame, model: PieceModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, text of every row; bytes that are no UTF-8 become the replacement character."""
     return encoded.select("doc_id", "ids", *keep).mapInArrow(
-        run, ", ".join([f"doc_id {kind}", "ids array<int>", "text string", *kinds]))
+        _decoding(encoded.sparkSession, model, keep), _schema(encoded, "doc_id", ("ids array<int>", "text string"), keep))
+
+
+def round_trip_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
+                         keep: tuple[str, ...] = (), share: float = 1 / 200_000) -> DataFrame:
+    """``decode_documents`` of ``encode_documents`` in one worker process per task, which passes on the ids itself."""
+    encode = _encoding(docs, model, text_col, keep, share)
+    decode = _decoding(docs.sparkSession, model, keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)),
+                           _schema(docs, id_col, ("ids array<int>", "text string"), keep))

@@ -107,8 +107,7 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     """Ids of every document and whether they decode to its text, as digests."""
     model = piece_encoding.PieceModel.from_file(tokenizer_file("piece_bpe_32k.model"))
     own = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
-    coded = piece_encoding.encode_documents(own, model, keep=("text_md5",))
-    back = piece_encoding.decode_documents(coded, model, keep=("text_md5",))
+    back = piece_encoding.round_trip_documents(own, model, keep=("text_md5",))
     listed = F.array_join("ids", ",")
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(listed).alias("ids_crc32"),
                        (F.md5("text") == F.col("text_md5")).alias("round_trip"))

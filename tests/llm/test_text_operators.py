@@ -365,3 +365,22 @@ def test_piece_encoding_of_odd_tables(no_docs, clashing_docs, model):
     assert piece_encoding.encode_documents(no_docs, model).count() == 0
     coded = piece_encoding.encode_documents(clashing_docs, model, keep=("n_chars",))
     assert coded.columns == ["doc_id", "ids", "n_chars"] and coded.count() == len(ROWS)
+
+
+def test_units_are_counted_as_the_pattern_cuts_them(spark, sample_docs):
+    model = piece_encoding.PieceModel.from_file(tokenizer_file("piece_bpe_32k.model"))
+    odd = ["a  b", " a", "a\nb", "a \nb\n\n c\n", "\n", " ", "", None, "a\tb c", "x▁y ▁", "a b", "a\n b  ", "\n\na"]
+    texts = odd + [r["text"] for r in sample_docs.select("text").collect()]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter(u for t in texts if t for u in re.findall(model.unit_pattern, piece_encoding.prepared(t)))
+    rows = piece_encoding.unit_counts(docs, model, "text").collect()
+    assert len(rows) == len(want) and {r["word"]: r["n"] for r in rows} == want
+
+
+def test_round_trip_is_encoding_then_decoding(sample_docs, no_docs):
+    model = piece_encoding.PieceModel.from_file(tokenizer_file("piece_bpe_32k.model"))
+    for docs in (sample_docs, no_docs):
+        apart = piece_encoding.decode_documents(piece_encoding.encode_documents(docs, model, keep=("source",)), model, ("source",))
+        both = piece_encoding.round_trip_documents(docs, model, keep=("source",))
+        assert both.columns == apart.columns == ["doc_id", "ids", "text", "source"]
+        assert rows_of(both) == rows_of(apart)

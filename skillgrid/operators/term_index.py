@@ -28,6 +28,10 @@ from skillgrid.taxonomy import Taxonomy
 _WORD = WORD_CLASS + "+"
 _SLOT = 1 << 31  # places in a text: word i is slot 2i + 1, the separator before it slot 2i
 
+# Measured bytes of terms up to which every task gets a copy, so that nothing of the texts is shuffled to meet them.
+COPIED_BYTES = 128 << 20
+_ROW_BYTES = 48  # of a copied term besides its text
+
 
 @dataclass(frozen=True)
 class TermIndex:
@@ -38,6 +42,7 @@ class TermIndex:
     edges: bool  # whether any term has a lead or a trail
     longest_sign: int  # characters of the longest term without a word
     listed: dict[int, list[str]] | None = None  # cores by number of words, where the terms are a list in the program
+    size: int = 0  # bytes of the terms as a join holds them
 
     @property
     def bounded(self) -> bool:
@@ -86,9 +91,10 @@ class TermIndex:
             ((F.length(term) > 1) & border).alias("repeats"))
         shape = cut_terms.agg(F.sort_array(F.collect_set(F.when(words_ > 0, words_))).alias("lengths"),
                           F.bool_or((F.col("lead") != "") | (F.col("trail") != "")).alias("edges"),
-                          F.max(F.when(words_ == 0, F.length("term"))).alias("sign")).first()
+                          F.max(F.when(words_ == 0, F.length("term"))).alias("sign"),
+                          F.sum(F.octet_length("term") + _ROW_BYTES).alias("size")).first()
         terms = cut_terms.drop("_words")
-        return cls(terms, tuple(shape["lengths"]), bool(shape["edges"]), shape["sign"] or 0)
+        return cls(terms, tuple(shape["lengths"]), bool(shape["edges"]), shape["sign"] or 0, size=shape["size"] or 0)
 
 
 def _place(slot: Column, offset: Column) -> Column:
@@ -153,6 +159,20 @@ def _candidates(index: TermIndex, cut: Column, numbered: bool) -> Column:
     return F.flatten(F.array_compact(F.array(*parts)))
 
 
+def _cut_and_run(index: TermIndex, joined: Column, numbered: bool) -> Column:
+    """``_candidates`` of a text, given as struct (t, n, of). What lambdas use is bound, or every entry would cut it again."""
+    def cut_and_run(j: Column) -> Column:
+        cut = F.struct(F.regexp_extract_all(j["t"], F.lit(_WORD), F.lit(0)).alias("w"),
+                       F.split(j["t"], _WORD, -1).alias("s"), j["of"].alias("of"), j["n"].alias("listed"))
+        return bind(cut, lambda c: _candidates(index, c, numbered))
+    return bind(joined, cut_and_run)
+
+
+def _whole(text: str) -> Column:
+    """A text that is not cut into chunks, for ``_cut_and_run``."""
+    return F.struct(F.lower(F.col(text)).alias("t"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
+
+
 def term_hits(df: DataFrame, keys: list[str], text: str, index: TermIndex, collapse: int | None = None) -> DataFrame:
     """keys, position, term, skill, repeats, start, stop, strict, edge_aware of every place of a term.
 
@@ -165,25 +185,19 @@ def term_hits(df: DataFrame, keys: list[str], text: str, index: TermIndex, colla
         return empty.select(*keys, "position", "term", "skill", "repeats", *(F.lit(0).cast("bigint").alias(c) for c in (
             "start", "stop")), F.lit(False).alias("strict"), F.lit(False).alias("edge_aware"), *(
             F.lit(0).alias(c) for c in (("first_word", "last_word", "words") if collapse is not None else ())))
-    # What lambdas use is bound, or every entry would cut the text again.
-    lowered = F.lower(F.col(text))
     if collapse is not None:
-        listed = words(lowered)
+        listed = words(F.lower(F.col(text)))
         # One entry per word run: the white-space separated word it stands in.
         joined = bind(listed, lambda ws: F.struct(
             F.array_join(ws, " ").alias("t"), F.size(ws).alias("n"),
             F.when(F.size(ws) > collapse, F.flatten(F.transform(
                 ws, lambda w, i: F.array_repeat(i, F.regexp_count(w, F.lit(_WORD)))))).alias("of")))
     else:
-        joined = F.struct(lowered.alias("t"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
-
-    def cut_and_run(j: Column) -> Column:
-        cut = F.struct(F.regexp_extract_all(j["t"], F.lit(_WORD), F.lit(0)).alias("w"),
-                       F.split(j["t"], _WORD, -1).alias("s"), j["of"].alias("of"), j["n"].alias("listed"))
-        return bind(cut, lambda c: _candidates(index, c, collapse is not None))
+        joined = _whole(text)
 
     # Only the entries leave the text: a row does not carry what the others are made of.
-    met = unnest_structs(df.select(*keys, bind(joined, cut_and_run).alias("_found")), keys, "_found").join(index.terms, "core")
+    found = _cut_and_run(index, joined, collapse is not None)
+    met = unnest_structs(df.select(*keys, found.alias("_found")), keys, "_found").join(index.terms, "core")
     if not index.bounded:
         unseen = {"before": F.lit(""), "after": F.lit(""), "cut": F.lit(0), "first": F.lit(False), "last": F.lit(False)}
         met = met.withColumns(unseen | ({"left": F.lit(0), "right": F.lit(0)} if collapse is not None else {}))
@@ -223,9 +237,53 @@ def count_mentions(hits: DataFrame, by: list[str], edge_aware: bool = False) ->
     return grouped.select(*by, "position", "term", "skill", F.when(F.col("repeats"), apart).otherwise(F.col("_n")).alias("mentions"))
 
 
+def _by_core(entries: Column) -> Column:
+    """A text's entries as one struct per core: core, n, count, and its first words ``at`` where places could overlap."""
+    def grouped(listed: Column) -> Column:
+        size = F.size(listed)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1))
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(listed, i)["core"] != F.get(listed, i - 1)["core"]))
+
+        def entry(first: Column, count: Column) -> Column:
+            return bind(F.get(listed, first), lambda e: F.struct(
+                e["core"].alias("core"), e["n"].alias("n"), count.alias("count"),
+                F.when((e["n"] > 1) & (count > 1), F.transform(F.slice(listed, first + 1, count), lambda x: x["at"])).alias("at")))
+
+        return bind(firsts, lambda starts: F.transform(starts, lambda first, i: bind(
+            F.coalesce(F.get(starts, i + 1), size) - first, lambda count: entry(first, count))))
+
+    return bind(F.sort_array(entries), grouped)
+
+
+def _mentions_in_rows(df: DataFrame, keys: list[str], text: str, index: TermIndex) -> DataFrame:
+    """``mentions_by_term`` where no term has edges and no two rows have the same keys: a text is counted in its row.
+
+    A text meets a term once, with its count, and what it meets is an answer: nothing is grouped afterwards.
+    """
+    found = unnest_structs(df.select(*keys, _by_core(_cut_and_run(index, _whole(text), False)).alias("_found")), keys, "_found")
+    terms = index.terms.select("core", "position", "term", "skill", "repeats")
+    met = found.join(F.broadcast(terms) if index.size <= COPIED_BYTES else terms, "core")
+    apart = F.aggregate("at", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda done, at: F.when(
+        at >= done["end"], F.struct((at + F.col("n")).alias("end"), (done["n"] + 1).alias("n"))).otherwise(done),
+        lambda done: done["n"])
+    mentions = F.when(F.col("repeats") & F.col("at").isNotNull(), apart).otherwise(F.col("count"))
+    return met.select(*keys, "position", "term", "skill", mentions.cast("bigint").alias("mentions"))
+
+
 def mentions_by_term(df: DataFrame, keys: list[str], text: str, index: TermIndex, edge_aware: bool = False) -> DataFrame:
-    """keys, position, term, skill, mentions; ``keys`` tell texts apart."""
-    return count_mentions(term_hits(df, keys, text, index), keys, edge_aware)
+    """keys, position, term, skill, mentions; ``keys`` tell texts apart. Rows with the same keys are counted as one text.
+
+    Where no term has edges, both kinds of boundary always hold and only rows whose keys come again are shuffled.
+    """
+    if index.bounded or not index.lengths:
+        return count_mentions(term_hits(df, keys, text, index), keys, edge_aware)
+    again = stored(df.groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1").select(
+        *(F.col(k).alias(f"_again_{k}") for k in keys)), "repeated_keys")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_again_{k}"))
+    once = _mentions_in_rows(df.join(again, same, "left_anti"), keys, text, index)
+    return once.unionByName(count_mentions(term_hits(df.join(again, same, "left_semi"), keys, text, index), keys, edge_aware))
 
 
 def chunk_maxima(df: DataFrame, keys: list[str], text: str, index: TermIndex, size: int, overlap: int) -> DataFrame:

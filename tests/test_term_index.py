@@ -115,3 +115,26 @@ def test_cost_does_not_follow_the_number_of_terms(spark):
     for (fast, small), (slow, large) in zip(clock(few), clock(many)):
         assert small == large and slow < 2 * fast + 0.5
     docs.unpersist()
+
+
+def test_texts_with_keys_of_their_own_are_counted_in_their_rows(spark):
+    """Nothing is shuffled for them; rows whose keys come again, null keys too, count as one text."""
+    rows = [(1, "ab cd ab cd ab"), (2, "cd ab cd"), (2, "ab"), (None, "cd"), (None, "cd"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    index = X.TermIndex.from_table(spark.createDataFrame([("ab",), ("ab cd ab",), ("cd",)], "term string"))
+    got = {(r.id, r.term): r.mentions for r in X.mentions_by_term(df, ["id"], "text", index).collect()}
+    assert got == {(1, "ab"): 3, (1, "ab cd ab"): 1, (1, "cd"): 2, (2, "ab"): 2, (2, "cd"): 2, (None, "cd"): 2}
+    own = X._mentions_in_rows(df.where("id = 1"), ["id"], "text", index)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Aggregate" not in plan
+    assert sorted((r.term, r.mentions) for r in own.collect()) == [("ab", 3), ("ab cd ab", 1), ("cd", 2)]
+
+
+def test_plain_words_in_rows_equal_regular_expressions(spark):
+    words = ["ab", "cd", "ab cd ab", "cd  ab", "ab ab", "x"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", "cd", "x", "abx", " ", " ", "  ", ", "]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    got = found(spark, texts, words)
+    for i, text in enumerate(texts):
+        expected = {t: len(re.findall(rf"\b{re.escape(t)}\b", text)) for t in words}
+        assert got[i] == {t: n for t, n in expected.items() if n}, repr(text)

@@ -155,7 +155,7 @@ class JaccardSettings:
     few: int = 3        # a signature of fewer shingles is not selective and left out, if the slack allows it
     slack: int = 8      # one partition more per so many
     tile: int = 1024    # sets of a bucket that a task compares with each other, or with as many more
-    looked_back: int = 6  # signatures of a set that are looked at to compare a pair once only
+    looked_back: int = 24  # signatures of a set that are looked at to compare a pair once only
 
 
 @dataclass(frozen=True)
@@ -358,9 +358,13 @@ def tile_pairs(nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, sizes: n
         most = (settings.whole - settings.similar) * (sizes[i] + sizes[other]) // (settings.whole + settings.similar)
         other = other[np.abs(sizes[other] - sizes[i]) <= most]
         if len(other):
-            other = other[~(right[other][:, :, None] == left[i]).any(axis=(1, 2))]
             most = (settings.whole - settings.similar) * (sizes[i] + sizes[other]) // (settings.whole + settings.similar)
             other = other[np.abs(table[other] - table[i]).sum(axis=1) <= most]
+        if len(other) and left.shape[1]:
+            own, theirs = np.sort(left[i]), right[other]
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            other = other[~(own[place] == theirs).any(axis=1)]
+        if len(other):
             found.append((np.full(len(other), nodes[i]), nodes[other]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)

@@ -177,3 +177,14 @@ def test_linked_sets_share_a_signature(similar):
         both, union = len(np.intersect1d(left, right)), len(np.union1d(left, right))
         assert settings.whole * both >= similar * union
         assert set(scheme.signatures(left).tolist()) & set(scheme.signatures(right).tolist())
+
+
+def test_a_pair_that_shares_far_apart_signatures_is_compared_once(spark):
+    """Eight signatures of their own lie between the two that the sets share."""
+    shared, own = [0, 100], {1: range(10, 18), 2: range(20, 28)}
+    rows = [(s, node, node) for node in own for s in [*shared, *own[node]]]
+    buckets = spark.createDataFrame(rows, "_sig bigint, _node bigint, _c bigint")
+    shingles = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    outlines = spark.createDataFrame([(n, 100, bytearray(jaccard_join.outline(shingles))) for n in own], "_node bigint, _n bigint, _outline binary")
+    pairs = [tuple(sorted(p)) for p in jaccard_join._open_pairs(buckets, outlines, JaccardSettings()).collect()]
+    assert pairs == [(1, 2)]

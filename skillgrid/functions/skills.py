@@ -103,14 +103,18 @@ def normalize_skills(items: Column) -> Column:
 
 
 def categorize(skill: Column) -> Column:
-    lowered = F.lower(skill)
-    chain = F
-    for label, parts in CATEGORY_RULES:
-        hit = F.lit(False)
-        for part in parts:
-            hit = hit | F.contains(lowered, F.lit(part))
-        chain = chain.when(hit, F.lit(label))
-    return chain.otherwise(F.lit(""))
+    def labelled(lowered: Column) -> Column:
+        chain = F
+        for label, parts in CATEGORY_RULES:
+            hit = F.lit(False)
+            # What holds a longer part holds the shorter one in it, so the shorter one decides.
+            for part in (p for p in parts if not any(q != p and q in p for q in parts)):
+                hit = hit | F.contains(lowered, F.lit(part))
+            chain = chain.when(hit, F.lit(label))
+        return chain.otherwise(F.lit(""))
+
+    # Lower-cased once, not once for every part.
+    return bind(F.lower(skill), labelled)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -81,3 +81,12 @@ def test_scores(spark):
 def test_stamps(spark):
     got = column(spark, ["2024-05-01T10:00:00+00:00", "nope", None], X.parse_stamp)
     assert got[0] is not None and got[1] is None and got[2] is None
+
+
+def test_a_skill_is_lower_cased_once_for_all_category_rules(spark):
+    names = ["JavaScript", "Private CLOUD", "MySQL", "Rails", "Deep Learning", "welding", None]
+    df = spark.createDataFrame([(n,) for n in names], "s string").select(
+        F.get(F.transform(F.array("s"), S.categorize), F.lit(0)).alias("c"))
+    assert [r.c for r in df.collect()] == [
+        "Programming Language", "Cloud Platform", "Database Technology", "AI/Machine Learning", "AI/Machine Learning", "", ""]
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1

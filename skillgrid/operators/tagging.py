@@ -59,16 +59,22 @@ def _overlapping_hits(text: Column, term: str) -> Column:
     return F.regexp_extract_all(text, F.lit(quoted), F.lit(0))
 
 
+def _terms_found(text: str, taxonomy: Taxonomy) -> Column:
+    """Terms found in ``text``, once per occurrence. The text is lower-cased and cut once, not for every run in it."""
+    nothing = F.array().cast("array<string>")
+
+    def hits(cut: Column) -> Column:
+        parts = [_sequence_hits(cut["runs"], n, terms) for n, terms in sorted(taxonomy.by_length.items())]
+        parts += [_overlapping_hits(cut["lowered"], t) for t in taxonomy.self_overlapping]
+        return F.coalesce(F.concat(*parts), nothing) if parts else nothing
+
+    return bind(F.lower(F.col(text)), lambda lowered: bind(
+        F.struct(lowered.alias("lowered"), word_runs(lowered).alias("runs")), hits))
+
+
 def with_skill_hits(df: DataFrame, text: str, taxonomy: Taxonomy, out: str = "hits") -> DataFrame:
     """Add ``out``: one struct (position, term, skill, mentions) per term of the taxonomy found in ``text``."""
-    lowered = f"_{out}_lower"
-    runs = f"_{out}_runs"
-
-    df = df.withColumn(lowered, F.lower(F.col(text)))
-    df = df.withColumn(runs, word_runs(F.col(lowered)))
-    parts = [_sequence_hits(F.col(runs), n, terms) for n, terms in sorted(taxonomy.by_length.items())]
-    parts += [_overlapping_hits(F.col(lowered), t) for t in taxonomy.self_overlapping]
-    found = F.coalesce(F.concat(*parts), F.array().cast("array<string>")) if parts else F.array().cast("array<string>")
+    found = _terms_found(text, taxonomy)
 
     def counted(listed: Column) -> Column:
         """Equal terms stand together; a term's count is the distance to the next one's first place."""
@@ -81,7 +87,13 @@ def with_skill_hits(df: DataFrame, text: str, taxonomy: Taxonomy, out: str = "hi
             title_case(t).alias("skill"),
             (F.coalesce(F.get(starts, i + 1), n) - at).cast("bigint").alias("mentions")))))
 
-    return df.withColumn(out, F.sort_array(bind(F.sort_array(found), counted))).drop(lowered, runs)
+    return df.withColumn(out, F.sort_array(bind(F.sort_array(found), counted)))
+
+
+def with_skills(df: DataFrame, text: str, taxonomy: Taxonomy, out: str = "skills") -> DataFrame:
+    """Add ``out``: the distinct names of the skills found in ``text``, sorted; nothing is counted for them."""
+    named = F.transform(F.array_distinct(_terms_found(text, taxonomy)), title_case)
+    return df.withColumn(out, F.sort_array(F.array_distinct(named)))
 
 
 def skill_mentions(df: DataFrame, keys: list[str], text: str, taxonomy: Taxonomy | TermIndex) -> DataFrame:
@@ -136,8 +148,7 @@ def tag_postings(postings: DataFrame, taxonomy: Taxonomy | TermIndex) -> DataFra
         listed = named.groupBy("job_uid").agg(F.sort_array(F.collect_set("skill")).alias("_skills"))
         return postings.join(listed, "job_uid", "left").withColumn(
             "skills", F.coalesce("_skills", F.array().cast("array<string>"))).drop("_skills")
-    tagged = with_skill_hits(postings.withColumn("_text", text), "_text", taxonomy)
-    return tagged.withColumn("skills", skill_list(F.col("hits"))).drop("_text", "hits")
+    return with_skills(postings.withColumn("_text", text), "_text", taxonomy).drop("_text")
 
 
 def chunk_texts(df: DataFrame, keys: list[str], text: str, size: int = 700, overlap: int = 90) -> DataFrame:

@@ -100,3 +100,13 @@ def test_tagging_is_a_projection(spark):
     plan = mentions._jdf.queryExecution().executedPlan().toString()
     # One pass over the text, and one for each of the two terms that overlap themselves.
     assert plan.count("\\E") == 2 * plan.count("+|[^\\p{L}\\p{N}_]+") > 0, plan
+
+
+def test_postings_are_tagged_without_counting(spark):
+    rows = [("Java dev", "java, git and c++x"), (None, "vue.js"), ("", None), (None, None)]
+    df = spark.createDataFrame(rows, "title string, description string")
+    taxonomy = Taxonomy.from_terms(TERMS)
+    tagged = T.tag_postings(df, taxonomy)
+    hits = T.with_skill_hits(df.select(F.concat_ws(" ", "title", "description").alias("t")), "t", taxonomy)
+    assert [r.skills for r in tagged.collect()] == [r.s for r in hits.select(T.skill_list(F.col("hits")).alias("s")).collect()]
+    assert "mentions" not in tagged._jdf.queryExecution().analyzed().toString()

@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import string
-import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skillgrid.session import stored
+from skillgrid.session import ship_package, stored  # noqa: F401
 
 # White space and words of the corpus contracts; the class is meant for Java, RE2 and Python patterns alike.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that their Python workers can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "skillgrid.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(root):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                full = os.path.join(folder, name)
-                archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,9 @@
 """Best-fitting postings for tables of resumes.
 
-Per segment the newest postings are candidates (800, as the feature is defined), or all of the window. Candidates travel
-as bounded arrays, one per segment under a cap and as many as it takes without one, so a request meets them in a few rows
-and is scored and ranked there: request-posting pairs are never shuffled, only each array's best.
+Per segment the newest postings are candidates (800, as the feature is defined), or all of the window. Under a cap they
+travel as one bounded array per segment, so a request meets them in one row and is scored and ranked there. Without one,
+fit, overlap and alignment depend on a posting's skills alone, so requests that ask the same and postings with the same
+skills are scored once, in bounded tiles, and postings are looked up for the best sets only. No pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from skillgrid.functions.binding import bind
 from skillgrid.functions.skills import clamp, fit_score
 from skillgrid.functions.text import clean_items, parse_skill_cell, parse_stamp, shown_or_default, strip
 from skillgrid.operators.demand import COMPANY, LOCATION, ROLE, SEGMENT, attach_demand, segment_sql, with_exact_segment
+from skillgrid.operators.set_match import best_sets
 from skillgrid.operators.spread import spread_lookup
 from skillgrid.operators.tagging import skill_list, with_skill_hits
 from skillgrid.operators.topk import top_per_group
@@ -28,8 +30,12 @@ from skillgrid.taxonomy import Taxonomy
 # Newest postings of a segment that are scored, as the feature is defined; how many there were is part of the answer.
 CANDIDATE_CAP = 800
 
-# Postings in an array where all of a segment are scored; a segment has as many arrays as it needs.
-PART_SIZE = 800
+# Skill sets and requests in a tile where all postings are scored; a segment has as many tiles as it needs.
+PART_SIZE = 4_000
+ASKS_SIZE = 2_000
+
+# The longest list that can be asked for.
+LONGEST = 20
 
 # What an answer can be, from no stored table to a ranked list.
 RESULTS = ("snapshot_missing", "snapshot_empty", "snapshot_no_matches", "snapshot_ranked")
@@ -106,6 +112,11 @@ def _shown() -> Column:
         F.array_distinct(F.transform("skills", F.lower)).alias("names"), F.col("_ts").alias("ts"))
 
 
+def _age() -> Column:
+    """Age in whole days, started days included; 0 if no posting has a date."""
+    return F.coalesce(F.ceil((F.unix_micros("_newest") - F.unix_micros("_ts")) / 86_400_000_000), F.lit(0))
+
+
 def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     """One row per wanted segment with an array of its newest postings.
 
@@ -117,27 +128,34 @@ def newest_candidates(postings: DataFrame, wanted: DataFrame, cap: int) -> DataF
     order = [F.col("_ts").desc_nulls_last(), F.col("scraped_at").desc_nulls_last(), F.col("job_uid").asc()]
     top = top_per_group(spread, SEGMENT, order, cap, "job_uid")
     top = top.join(wanted, SEGMENT, "left_semi")
-    age = F.ceil((F.unix_micros("_newest") - F.unix_micros("_ts")) / 86_400_000_000)
-    ages = spread.groupBy(*SEGMENT, F.coalesce(age, F.lit(0)).alias("age")).agg(F.count("*").alias("n"))
+    ages = spread.groupBy(*SEGMENT, _age().alias("age")).agg(F.count("*").alias("n"))
     ages = ages.groupBy(*SEGMENT).agg(F.collect_list(F.struct("age", "n")).alias("_ages"))  # one entry per day of age
     # At most ``cap`` entries per group.
     return top.groupBy(*SEGMENT).agg(F.collect_list(_shown()).alias("_candidates")).join(ages, SEGMENT)
 
 
-def all_candidates(postings: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All postings of the wanted segments as arrays of about ``PART_SIZE`` (segment, _part), and each segment's _parts."""
-    spread = _by_segment(postings)
-    sizes = spread.groupBy(*SEGMENT).agg(F.ceil(F.count("*") / PART_SIZE).cast("int").alias("_parts"))
-    sizes = stored(sizes.join(wanted, SEGMENT, "left_semi"), "segment_parts")
-    part = F.pmod(F.xxhash64("job_uid"), F.col("_parts")).cast("int")
-    dealt = spread_lookup(spread, sizes, SEGMENT, "job_uid").where("_parts IS NOT NULL").withColumn("_part", part)
-    return dealt.groupBy(*SEGMENT, "_part").agg(F.collect_list(_shown()).alias("_candidates")), sizes
-
-
 def _last_spelling(skills: Column, name: Column) -> Column:
     return F.element_at(F.filter(skills, lambda s: F.lower(s) == name), -1)
 
 
+def _job(rank: Column, p: Column, matched: Column, fit: Column, count: Column, aligned: Column) -> Column:
+    """A ranked posting as it is shown."""
+    missing = F.filter(p["names"], lambda n: ~F.array_contains(matched, n))
+    return F.struct(
+        rank.alias("rank"), p["job_uid"].alias("job_uid"),
+        shown_or_default(p["title"], "Unknown title").alias("title"),
+        shown_or_default(p["company"], "Unknown company").alias("company"),
+        shown_or_default(p["location"], "Unknown location").alias("location"),
+        F.coalesce(strip(p["role"]), F.lit("")).alias("role"), F.coalesce(strip(p["url"]), F.lit("")).alias("url"),
+        fit.alias("fit_score"),
+        F.transform(F.sort_array(matched), lambda n: _last_spelling(p["skills"], n)).alias("matched_skills"),
+        F.slice(F.sort_array(F.transform(missing, lambda n: _last_spelling(p["skills"], n))), 1, MISSING_SHOWN)
+        .alias("missing_skills"),
+        count.alias("matched_count"), F.size(p["skills"]).alias("job_skill_count"),
+        aligned.alias("demand_alignment"), F.coalesce(p["source"], F.lit("")).alias("source"),
+    )
+
+
 def score_candidates(df: DataFrame) -> DataFrame:
     """Score each row's ``_candidates`` since ``_cutoff`` against ``_mine``; adds ``total`` and the ranked ``jobs``."""
     df = df.withColumn("_fresh", F.filter("_candidates", lambda c: F.col("_cutoff").isNull()
@@ -146,7 +164,7 @@ def score_candidates(df: DataFrame) -> DataFrame:
         i.alias("i"), c["job_uid"].alias("job_uid"), F.size(c["names"]).alias("size"),
         F.array_intersect(c["names"], F.col("_mine")).alias("matched")))
     df = df.withColumn("_overlap", F.filter(overlap, lambda o: F.size(o["matched"]) > 0))
-    limit = clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, 20)
+    limit = clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, LONGEST)
 
     # Fit and overlap decide first. Only postings that reach the last shown place on these, ties included, can be
     # shown, so alignment is worked out for them alone.
@@ -167,21 +185,7 @@ def score_candidates(df: DataFrame) -> DataFrame:
     df = df.withColumn("_best", F.slice(F.sort_array(F.transform("_near", rank_key)), 1, limit))
 
     def job(s: Column, at: Column) -> Column:
-        p = F.get(F.col("_fresh"), s["i"])
-        missing = F.filter(p["names"], lambda n: ~F.array_contains(s["matched"], n))
-        return F.struct(
-            (at + 1).alias("rank"), p["job_uid"].alias("job_uid"),
-            shown_or_default(p["title"], "Unknown title").alias("title"),
-            shown_or_default(p["company"], "Unknown company").alias("company"),
-            shown_or_default(p["location"], "Unknown location").alias("location"),
-            F.coalesce(strip(p["role"]), F.lit("")).alias("role"), F.coalesce(strip(p["url"]), F.lit("")).alias("url"),
-            (-s["fit"]).alias("fit_score"),
-            F.transform(F.sort_array(s["matched"]), lambda n: _last_spelling(p["skills"], n)).alias("matched_skills"),
-            F.slice(F.sort_array(F.transform(missing, lambda n: _last_spelling(p["skills"], n))), 1, MISSING_SHOWN)
-            .alias("missing_skills"),
-            (-s["count"]).alias("matched_count"), F.size(p["skills"]).alias("job_skill_count"),
-            (-s["aligned"]).alias("demand_alignment"), F.coalesce(p["source"], F.lit("")).alias("source"),
-        )
+        return _job(at + 1, F.get(F.col("_fresh"), s["i"]), s["matched"], -s["fit"], -s["count"], -s["aligned"])
 
     return df.withColumn("total", F.size("_overlap")).withColumn("jobs", F.transform("_best", job))
 
@@ -212,7 +216,7 @@ def recommend_postings(requests: DataFrame, postings: DataFrame | None, segments
     asked = with_exact_segment(requests.select("role", "company", "region")).select(*SEGMENT).distinct()
     recent, asking = dated(_candidate_skills(postings, taxonomy)), with_exact_segment(narrowed)
     if candidate_cap is None:
-        scored = _scored_in_parts(asking, recent, asked, requests.columns)
+        scored = _scored_by_skill_set(asking, recent, asked, requests.columns)
     else:
         candidates = newest_candidates(recent, asked, candidate_cap)
         scored = score_candidates(spread_lookup(asking, candidates, SEGMENT, "request_id"))
@@ -230,34 +234,61 @@ def recommend_postings(requests: DataFrame, postings: DataFrame | None, segments
     return scored.withColumn("market_result", result)
 
 
-def _scored_in_parts(asking: DataFrame, postings: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
-    """Every request against every array of its segment; the arrays' counts are added and their best ranked again."""
-    parts, sizes = all_candidates(postings, asked)
-    # A request is told apart by its row, as ids may repeat; written, so that the numbers stay.
-    asking = asking.join(sizes, SEGMENT, "left").withColumn("_row", F.monotonically_increasing_id())
-    asking = stored(asking.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(
-        "_parts"), "requests_by_part")
-    met = score_candidates(spread_lookup(asking, parts, [*SEGMENT, "_part"], "_row"))
-    limit = clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, 20)
-    met = stored(met.select(
-        "_row", *columns, limit.alias("_limit"), F.greatest(F.lit(0), F.col("total")).alias("_total"),
-        F.greatest(F.lit(0), F.size("_fresh")).alias("_scored"), "jobs"), "scored_parts")
-
-    best = unnest(met, ["_row", "_limit"], "jobs", "_job").withColumn("_uid", F.col("_job.job_uid"))
-    order = [F.col("_job.fit_score").desc(), F.col("_job.matched_count").desc(), F.col("_job.demand_alignment").desc(),
-             F.col("_uid").asc()]
-    ranked = top_per_group(best.select("_row", "_limit", "_uid", "_job"), ["_row"], order, 20, "_uid")
-    placed = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_row").orderBy(*order)))
-    placed = placed.where(F.col("_rank") <= F.col("_limit")).withColumn(
-        "_job", F.col("_job").withField("rank", F.col("_rank")))
-    # At most 20 entries per request.
-    lists = placed.groupBy("_row").agg(F.sort_array(F.collect_list("_job")).alias("jobs"))  # by rank, the first field
-    sums = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in columns], F.sum("_total").cast("int").alias("total"),
-                                   F.sum("_scored").alias("_scored"))
-    nothing = F.array().cast(lists.schema["jobs"].dataType)
-    return sums.join(lists, "_row", "left").select(
-        *columns, "total", F.col("_scored").alias("candidates_in_window"),
-        F.col("_scored").cast("int").alias("candidates_scored"), F.coalesce("jobs", nothing).alias("jobs"))
+def _scored_by_skill_set(asking: DataFrame, postings: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """Every distinct question against every distinct skill set of its segment, then the postings of the best sets."""
+    # Postings and requests are told apart by their rows, as keys may repeat; written, so that the numbers stay.
+    postings = stored(postings.select(_shown().alias("p"), "role", "company", "location", _age().cast("int").alias("age"),
+                                      F.monotonically_increasing_id().alias("_pid")), "recent_postings")
+    weights = F.transform(F.sort_array("_mine"), lambda name: F.aggregate(
+        "_wanted", F.lit(0).cast("bigint"),
+        lambda acc, d: acc + F.when(d["name"] == name, d["demand_count"]).otherwise(0)))
+    question = F.struct(*SEGMENT, "mine", "weights", "days")
+    asking = stored(asking.select(
+        *columns, *SEGMENT, F.sort_array("_mine").alias("mine"), weights.alias("weights"), F.col("_days").cast("int").alias("days"),
+        F.monotonically_increasing_id().alias("_row")).withColumn("_ask", F.sha2(F.to_json(question), 256)), "asking")
+    asks = stored(asking.select("_ask", *SEGMENT, "mine", "weights", "days").distinct(), "asks")
+
+    # Null keys come first.
+    uid = F.coalesce(F.concat(F.lit("1"), F.col("p.job_uid")), F.lit("0"))
+    keyed = postings.select("role", "company", "location", "age", "_pid", uid.alias("_uid"), F.sort_array("p.names").alias("names"))
+    spread = spread_lookup(_by_segment(keyed), asked.withColumn("_asked", F.lit(True)), SEGMENT, "_pid").where("_asked")
+    cells = stored(spread.groupBy(*SEGMENT, "names", "age").agg(F.count("*").alias("n"), F.min("_uid").alias("first")), "cells")
+    # One entry per day of age.
+    sets = cells.groupBy(*SEGMENT, "names").agg(F.collect_list(F.struct("age", "n", "first")).alias("c"))
+    sets = stored(sets.select(
+        *SEGMENT, "names", F.monotonically_increasing_id().alias("set_id"), F.col("c.age").alias("ages"),
+        F.col("c.n").alias("counts"), F.col("c.first").alias("firsts")), "skill_sets")
+    met = stored(best_sets(asks, sets.where(F.size("names") > 0), SEGMENT, LONGEST, PART_SIZE, ASKS_SIZE), "best_sets")
+
+    order = [F.col("fit").desc(), F.col("count").desc(), F.col("aligned").desc()]
+    best = unnest_structs(met, ["_ask", "days"], "best")
+    best = stored(top_per_group(best, ["_ask"], [*order, F.col("first").asc(), F.col("set_id").asc()], LONGEST, "set_id"), "asked_sets")
+    needed = best.select("set_id", "days").distinct().join(sets.select("set_id", *SEGMENT, "names"), "set_id")
+    members = top_per_group(spread, [*SEGMENT, "names", "age"], [F.col("_uid").asc(), F.col("_pid").asc()], LONGEST, "_pid")
+    members = members.join(needed, [*SEGMENT, "names"]).where("age <= days").select("set_id", "days", "_uid", "_pid")
+    members = top_per_group(members, ["set_id", "days"], [F.col("_uid").asc(), F.col("_pid").asc()], LONGEST, "_pid")
+    # At most 20 entries per set and age, and per request below.
+    lists = stored(members.groupBy("set_id", "days").agg(F.collect_list(F.struct("_uid", "_pid")).alias("m")), "set_postings")
+    placed = unnest_structs(spread_lookup(best, lists, ["set_id", "days"], "_ask"), ["_ask", "fit", "count", "aligned"], "m")
+    place = F.row_number().over(Window.partitionBy("_ask").orderBy(*order, F.col("_uid").asc(), F.col("_pid").asc()))
+    placed = stored(placed.withColumn("_rank", place).where(F.col("_rank") <= LONGEST).drop("_uid"), "placed")
+    shown = spread_lookup(placed.join(asks.select("_ask", "mine"), "_ask"), postings.select("_pid", "p"), ["_pid"], "_ask")
+    job = _job(F.col("_rank"), F.col("p"), F.array_intersect("p.names", "mine"), F.col("fit"), F.col("count"), F.col("aligned"))
+    lists = shown.select("_ask", job.alias("_job")).groupBy("_ask").agg(
+        F.sort_array(F.collect_list("_job")).alias("_jobs"))  # by rank, the first field
+    answers = stored(met.groupBy("_ask").agg(F.sum("total").cast("int").alias("_total")).join(lists, "_ask", "left"), "answers")
+
+    # One entry per day of age.
+    ages = cells.groupBy(*SEGMENT, "age").agg(F.sum("n").alias("n")).groupBy(*SEGMENT).agg(
+        F.collect_list(F.struct("age", "n")).alias("_ages"))
+    known = spread_lookup(spread_lookup(asking, answers, ["_ask"], "_row"), ages, SEGMENT, "_row")
+    in_window = F.aggregate(F.filter(F.coalesce("_ages", F.array().cast(ages.schema["_ages"].dataType)),
+                                     lambda a: a["age"] <= F.col("days")), F.lit(0).cast("bigint"), lambda s, a: s + a["n"])
+    limit = clamp(F.coalesce(F.col("limit"), F.lit(8)), 1, LONGEST)
+    return known.withColumn("_scored", in_window).select(
+        *columns, F.coalesce("_total", F.lit(0)).alias("total"), F.col("_scored").alias("candidates_in_window"),
+        F.col("_scored").cast("int").alias("candidates_scored"),
+        F.slice(F.coalesce("_jobs", F.array().cast(answers.schema["_jobs"].dataType)), 1, limit).alias("jobs"))
 
 
 def recommended_jobs(answered: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_scratch: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(app_name: str = "skillgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,6 +67,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "skillgrid.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def widen_scan(df: DataFrame) -> DataFrame:
     """Spread a scan with fewer splits than cores over all cores; leave any other scan alone.
 

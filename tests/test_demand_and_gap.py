@@ -240,6 +240,31 @@ def test_recommendations_with_hot_segments(spark, monkeypatch):
     assert R.recommend_postings(df, postings, found, candidate_cap=800).orderBy("request_id").collect() == few
 
 
+def test_equal_requests_and_equal_postings_are_scored_once(spark, monkeypatch):
+    """Any number of postings and requests makes no more pairs than they have skill sets and questions."""
+    rows = [(f"u{i // 2:03d}", "s", "t", None, "Rome", "data", "d", "l", f"2024-01-{1 + i % 28:02d}",
+             [["git", "go"], ["go", "git"], ["sql", "git"], ["go"], []][i % 5]) for i in range(200)]
+    requests = [(i, [["git", "SQL"], ["sql", "Git"], ["Go", "go"]][i % 3], None, None, "rome" if i % 2 else None, 1 + i % 20, 20)
+                for i in range(60)]
+    df = spark.createDataFrame(requests, "request_id int, resume_skills array<string>, role string, company string, "
+                                         "region string, limit int, max_age_days int")
+    met, best_sets = {}, R.best_sets
+
+    def seen(asks, sets, *args):
+        met.update(asks=asks.count(), sets=sets.count())
+        return best_sets(asks, sets, *args)
+
+    monkeypatch.setattr(R, "best_sets", seen)
+    monkeypatch.setattr(R, "PART_SIZE", 2)
+    monkeypatch.setattr(R, "ASKS_SIZE", 1)
+    answered = R.recommend_postings(df, spark.createDataFrame(rows, POSTING), segments(spark, rows), candidate_cap=None)
+    for r in answered.collect():
+        total, jobs = best_jobs(rows, tuple(r[:7]), None, r.limit, r.max_age_days)
+        assert (r.total, [(j.job_uid, j.fit_score, j.matched_count, j.demand_alignment) for j in r.jobs]) == (total, jobs)
+        assert r.candidates_scored == r.candidates_in_window >= total
+    assert met == {"asks": 4, "sets": 6}  # two questions in each of two segments, three sets in each
+
+
 def test_untagged_postings_and_text_cells(spark):
     from skillgrid.taxonomy import Taxonomy
 

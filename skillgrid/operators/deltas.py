@@ -45,7 +45,8 @@ def changed_segments(segments: DataFrame, change: DataFrame) -> DataFrame:
     """Segments with a change of the rollup: its cube, one row per segment, joined and added in the segment's row."""
     entry = F.struct("demand_count", "skill")
     # At most one entry per skill in each segment.
-    cube = demand_cube(change).where("demand_count <> 0").groupBy(*SEGMENT).agg(F.collect_list(entry).alias("_change"))
+    cube = demand_cube(change).where("demand_count <> 0").repartition(*SEGMENT).groupBy(*SEGMENT).agg(
+        F.collect_list(entry).alias("_change"))
     both = segments.join(cube, SEGMENT, "full_outer")
     empty = F.array().cast(segments.schema["demand"].dataType)
     demand = F.when(F.col("_change").isNull(), F.col("demand")).otherwise(

@@ -43,11 +43,11 @@ def demand_rollup(postings: DataFrame) -> DataFrame:
     )
 
 
-def demand_cube(demand: DataFrame) -> DataFrame:
-    """Demand per skill for every combination of fixed and open keys; a fixed key is never null."""
+def _cube_sets(demand: DataFrame, masks: tuple[int, ...]) -> DataFrame:
+    """Demand per skill for the combinations of fixed keys in ``masks``."""
     r, c, l = F.col("role_norm"), F.col("company_norm"), F.col("location_norm")
     sets = [[k for k, bit in ((r, ROLE), (c, COMPANY), (l, LOCATION)) if mask & bit] + [F.col("skill")]
-            for mask in range(8)]
+            for mask in masks]
     kept = [F.when(F.grouping(k) == 0, F.lit(bit)).otherwise(F.lit(0))
             for k, bit in (("role_norm", ROLE), ("company_norm", COMPANY), ("location_norm", LOCATION))]
     cubed = demand.groupingSets(sets, r, c, l, F.col("skill")).agg(
@@ -63,14 +63,33 @@ def demand_cube(demand: DataFrame) -> DataFrame:
     )
 
 
+def demand_cube(demand: DataFrame) -> DataFrame:
+    """Demand per skill for every combination of fixed and open keys; a fixed key is never null.
+
+    Combinations with an open company are summed from a rollup without companies. For the others the rows are dealt over
+    all tasks first: each becomes four, hardly any of them fall together before the shuffle, and a task of a whole file
+    split would hold more groups than fit into memory.
+    """
+    coarse = demand.groupBy("role_norm", "location_norm", "skill").agg(
+        F.sum("demand_count").alias("demand_count"))
+    coarse = coarse.withColumn("company_norm", F.lit(None).cast("string"))
+    # The count is given, so adaptive execution does not merge small partitions again.
+    parts = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = demand.where(F.col("company_norm").isNotNull()).repartition(
+        parts, "role_norm", "company_norm", "location_norm", "skill")
+    open_company = tuple(m for m in range(8) if not m & COMPANY)
+    return _cube_sets(fine, tuple(m for m in range(8) if m & COMPANY)).unionByName(_cube_sets(coarse, open_company))
+
+
 def demand_segments(cube: DataFrame) -> DataFrame:
     """One row per segment with its ranked demand.
 
-    The array has at most one entry per taxonomy term, so its length does not grow with the data.
+    The array has at most one entry per taxonomy term, so its length does not grow with the data. The cube is dealt by
+    segment as plain rows: lists collected before that would have one entry each.
     """
     entry = F.struct((-F.col("demand_count")).alias("minus"), "skill")
     ranked = F.sort_array(F.collect_list(entry))
-    return cube.groupBy(*SEGMENT).agg(
+    return cube.repartition(*SEGMENT).groupBy(*SEGMENT).agg(
         F.transform(ranked, lambda e: F.struct((-e["minus"]).alias("demand_count"), e["skill"].alias("skill")))
         .alias("demand"))
 

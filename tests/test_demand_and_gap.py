@@ -161,6 +161,22 @@ def test_category_report(spark):
     assert strict == {"Data Engineering", "Other"}
 
 
+def test_cube_makes_four_rows_of_a_rollup_row_not_eight(spark):
+    """Open companies are summed from a rollup without companies; the rest is dealt over all tasks before it is expanded."""
+    demand = spark.createDataFrame([("web", "acme", "rome", "Git", 2), ("web", None, "rome", "Git", 3), ("web", "zoo", None, "Go", -1)],
+                                   "role_norm string, company_norm string, location_norm string, skill string, demand_count bigint")
+    cube = D.demand_cube(demand)
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand ") == 2 and "REPARTITION_BY_NUM" in plan
+    want = {}
+    for *keys, skill, n in map(tuple, demand.collect()):
+        for mask in range(8):
+            fixed = [k if mask & bit else "" for k, bit in zip(keys, (D.ROLE, D.COMPANY, D.LOCATION))]
+            if None not in fixed:
+                want[(mask, *fixed, skill)] = want.get((mask, *fixed, skill), 0) + n
+    assert {tuple(r)[:5]: r.demand_count for r in cube.collect()} == want and cube.count() == len(want)
+
+
 def best_jobs(rows, request, cap, limit, days):
     import datetime as dt
 

@@ -6,14 +6,14 @@ documents, about ``block_tokens`` ids, as a wavelet matrix: one bit-plane per bi
 followed by a stable partition of the ids by that bit. With counts of ones at fixed steps (rank), the planes give the id
 at a place, the number of occurrences of an id before a place, and all places of an id, without decoding the block.
 
-Words repeat, so a task hands each distinct unit between ASCII white space to the tokenizer once per memo of bounded
-size. This is exact for tokenizers that cut at white space and drop it.
+Words repeat, so a task tells the units between ASCII white space of some megabytes of text apart and hands each distinct
+one to the tokenizer once per memo of bounded size. This is exact for tokenizers that cut at white space and drop it.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,15 +21,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 _STEP = 4096  # bits between two stored counts of ones
-_MEMO = 900_000
-_UNITS = re.compile(r"[^\x20\x09-\x0D]+")
-# Latin letters that stay as they are under NFC. Full stops and commas after them are a run of their own to the tokenizer.
-_LATIN = re.compile("[a-zß-öø-ÿ]+")
+_CHUNK = 16 << 20  # bytes of text whose units are told apart together
+_MEMO = 64 << 20  # bytes of units and ids
+_IDS = pa.list_(pa.uint32())
+# Latin letters that stay as they are under NFC. ASCII marks after them are a run of their own to the tokenizer.
+_LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
 
 
 @dataclass
@@ -118,28 +120,34 @@ class WaveletMatrix:
         return current
 
 
-def _units(text: str) -> list[str]:
-    """Runs between ASCII white space. The tokenizer lower-cases each character, which is safe to do first in Latin-1.
+class _Memo:
+    """Ids of distinct units. Those not met lately go to ``learn``; forgets all when it holds over ``_MEMO`` bytes."""
 
-    Its added tokens (``<|endoftext|>``) are matched before that, so texts that may hold one keep their letters.
-    """
-    if "<|" in text:
-        return _UNITS.findall(text)
-    if text.isascii():
-        # ``str.split`` would also cut at four controls.
-        return _UNITS.findall(text.lower()) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower().split()
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _UNITS.findall(text)
-    return _UNITS.findall(text.lower())
+    def __init__(self, learn: Callable[[list[str]], pa.ListArray]):
+        self._learn = learn
+        self._forget()
+
+    def _forget(self) -> None:
+        self._units, self._ids = pa.array([""]), pa.array([[]], _IDS)
+
+    def ids(self, units: pa.Array) -> pa.ListArray:
+        if self._units.nbytes + self._ids.nbytes > _MEMO:
+            self._forget()
+        places = pc.fill_null(pc.index_in(units, value_set=self._units), -1).to_numpy(zero_copy_only=False).copy()
+        missing = places < 0
+        if missing.any():
+            new = units.filter(pa.array(missing))
+            places[missing] = np.arange(len(self._units), len(self._units) + len(new))
+            self._units = pa.concat_arrays([self._units, new])
+            self._ids = pa.concat_arrays([self._ids, self._learn(new.to_pylist())])
+        return self._ids.take(pa.array(places))
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], Iterator[bytes]]:
+def word_encoder(path: str, end_id: int) -> Callable[[pa.Array | list[str | None]], Iterator[bytes]]:
     """Encode texts with the tokenizer file at ``path``: little-endian unsigned 32-bit ids, the end id last.
 
-    Kept by the worker process, so its memo serves all tasks that the process runs.
+    Kept by the worker process, so its memos serve all tasks that the process runs.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -152,64 +160,51 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], Iterato
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     ends_word[[i for t, i in tokenizer.get_vocab(False).items() if t.endswith("</w>")]] = True
 
-    def packed_ids(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    stop, memo, tails = packed_ids([end_id]), {}, {}
-
     def library(texts: list[str], by: Tokenizer = tokenizer) -> list[list[int]]:
         return [e.ids for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_words(words: list[str]) -> None:
+    def learn_words(words: list[str]) -> pa.ListArray:
         """Words of plain letters go to the tokenizer in lines; each ends with its only word-end token."""
         lines = [words[i:i + 200] for i in range(0, len(words), 200)]
-        for line, ids in zip(lines, library([" ".join(line) for line in lines], bare)):
-            packed = np.array(ids, "<u4")
-            cuts = (4 * (np.flatnonzero(ends_word[packed]) + 1)).tolist()
-            assert len(cuts) == len(line), "the tokenizer joined words"
-            raw = packed.tobytes()
-            for word, begin, end in zip(line, [0, *cuts], cuts):
-                memo[word] = raw[begin:end]
-
-    def learn(units: set[str]) -> None:
-        """Plain words are learned without the stops and commas after them, which are tokens of their own."""
-        longer, cores, words, odd = [], [], set(), []
-        for unit in units:
-            core = unit.rstrip(".,").lower()
-            if (core.isascii() and core.isalpha()) or _LATIN.fullmatch(core):
-                if unit != core:
-                    longer.append(unit)
-                    cores.append(core)
-                if core not in memo:
-                    words.add(core)
-            else:
-                odd.append(unit)
-        learn_words(list(words))
-        for unit, core in zip(longer, cores):
-            tail = unit[len(core):]
-            if tail not in tails:
-                tails[tail] = packed_ids(library([tail])[0]) if tail else b""
-            memo[unit] = memo[core] + tails[tail]
-        for unit, ids in zip(odd, library(odd)):
-            memo[unit] = packed_ids(ids)
-
-    def encode(texts: list[str | None]) -> Iterator[bytes]:
-        for begin in range(0, len(texts), 200):
-            for held in (memo, tails):
-                if len(held) > _MEMO:
-                    held.clear()
-            split = [_units(t or "") for t in texts[begin:begin + 200]]
-            # Each word is looked up once; new ones are learned together and put into their places.
-            found = [list(map(memo.get, units)) for units in split]
-            gaps = [(ids, units, [i for i, x in enumerate(ids) if x is None])
-                    for ids, units in zip(found, split) if None in ids]
-            if gaps:
-                learn({units[i] for _, units, places in gaps for i in places})
-                for ids, units, places in gaps:
-                    for i in places:
-                        ids[i] = memo[units[i]]
-            for ids in found:
-                yield b"".join(ids) + stop
+        found = [np.array(ids, np.uint32) for ids in library([" ".join(line) for line in lines], bare)]
+        flat = np.concatenate(found)
+        cuts = np.concatenate(([0], np.flatnonzero(ends_word[flat]) + 1)).astype(np.int32)
+        per_line = np.cumsum([len(line) for line in lines])
+        assert len(cuts) == len(words) + 1 and (cuts[per_line] == np.cumsum([len(f) for f in found])).all(), \
+            "the tokenizer joined words"
+        return pa.ListArray.from_arrays(cuts, flat)
+
+    plain, others = _Memo(learn_words), _Memo(lambda units: pa.array(library(units), _IDS))
+
+    def encode_chunk(texts: pa.Array) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        units = split.flatten().dictionary_encode()
+        distinct = units.dictionary
+        # Letters, and marks after them, which are tokens of their own. Any other unit goes to the tokenizer as it is.
+        words, marks = pc.ascii_rtrim(distinct, string.punctuation), pc.utf8_ltrim(distinct, _LETTERS)
+        plainly = pc.equal(pc.add(pc.binary_length(words), pc.binary_length(marks)), pc.binary_length(distinct))
+        words = pc.if_else(plainly, pc.utf8_lower(words), "").dictionary_encode()
+        marks = pc.if_else(plainly, marks, distinct).dictionary_encode()
+        # Both parts of a unit stand side by side, so every second offset is one of a unit.
+        parts = pa.concat_arrays([plain.ids(words.dictionary), others.ids(marks.dictionary)])
+        order = np.empty(2 * len(distinct), np.int32)
+        order[::2] = words.indices.to_numpy()
+        order[1::2] = marks.indices.to_numpy() + len(words.dictionary)
+        parts = parts.take(pa.array(order))
+        ids = pa.ListArray.from_arrays(pa.array(parts.offsets.to_numpy()[::2]), parts.values).take(units.indices)
+        ends = ids.offsets.to_numpy()[np.cumsum(split.value_lengths().to_numpy())]
+        raw = np.insert(ids.values.to_numpy(), ends, end_id).astype("<u4").tobytes()
+        begin = 0
+        for end in (4 * (ends.astype(np.int64) + np.arange(1, len(ends) + 1))).tolist():
+            yield raw[begin:end]
+            begin = end
+
+    def encode(texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        begins = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _CHUNK, prepend=-1)).tolist()
+        for begin, end in zip(begins, [*begins[1:], len(texts)]):
+            yield from encode_chunk(texts.slice(begin, end - begin).cast(pa.string()))
 
     return encode
 
@@ -246,7 +241,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()),
                      pa.list_(pa.binary()), pa.list_(key), pa.list_(pa.int64())]
             names = ["shard", "block", "n_tokens", "bits", "zeros", "planes", "ones", "doc_ids", "doc_tokens"]
-            for doc_id, coded in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist())):
+            for doc_id, coded in zip(batch["doc_id"].to_pylist(), encode(batch["text"])):
                 ids.append(doc_id)
                 sizes.append(len(coded) // 4)
                 held.append(coded)

@@ -279,6 +279,49 @@ def test_special_tokens_in_other_letters_are_plain_text():
         assert np.frombuffer(raw, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_units_with_marks_share_what_is_learned(monkeypatch):
+    import tokenizers
+
+    path, real, asked = str(tokenizer_file("word_bpe_49k.json")), tokenizers.Tokenizer, []
+
+    class Counting:
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner
+
+        @classmethod
+        def from_file(cls, name):
+            return cls(real.from_file(name))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            asked.extend(texts)
+            return self.inner.encode_batch_fast(texts, **kwargs)
+
+    words, marks = ["alpha", "Über", "straße", "ÿz", "ends"], ["", ".", ",", "%%%", "!!", "'", "_", "<|", "\\`", "$^~|"]
+    texts = [" ".join(w + m for w in words) for m in marks]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    got = list(token_files.word_encoder.__wrapped__(path, 2)(texts))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == plain_ids(texts)
+    # Once per distinct word and mark, not per pair of them.
+    assert sum(len(t.split()) for t in asked) <= len(words) + len(marks)
+
+
+def test_encoding_in_small_chunks_with_small_memos(monkeypatch):
+    path = str(tokenizer_file("word_bpe_49k.json"))
+    texts = [None, "", " ", "a\x0bb\x0cc\r\nd\x1ce\x85f\u3000g", "x" * 300, "Kelvin \u212a, \u212bngström's", "e\u0301t\u00e9. e \u0301",
+             "a<|endoftext|>B <|endoftext|>. <|EndOfText|>,", "ab-cd, 12.5% don't 'tis DON'T!", "\u0130stanbul \u1e9e \u00b5m \u00aa",
+             *(f"{chr(c)}a{chr(c)} a{chr(c)}" for c in range(0x250))]
+    monkeypatch.setattr(token_files, "_CHUNK", 40)
+    monkeypatch.setattr(token_files, "_MEMO", 400)
+    got = list(token_files.word_encoder.__wrapped__(path, 2)(texts))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == plain_ids(texts)
+
+
 def test_token_files_equal_the_library(spark, sample_docs):
     odd = ["don't STOP e.g. a@b.co ... 12,5", "naïve Äpfel ß, œuvre.", " wide space x́", "日本 text!!?.", "ª² ½",
            None, "", "WORD word. word, word.,"]

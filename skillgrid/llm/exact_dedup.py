@@ -23,16 +23,16 @@ _ODD = -1  # stands for the missing right half of an odd last name; names are ne
 def _renamed(occurrences: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
     """Replace the keys of every occurrence (_id, _sha, _at) by their name and gather each document's names.
 
-    The distinct keys are sorted inside their hash partition and numbered: partition and place make up the (even) name. A key
-    with over one in ``share`` of all occurrences is hot; there are at most ``share`` of them, so their names are
-    broadcast, as odd numbers of their own. All other occurrences meet their names where these were made.
+    The distinct keys are counted, sorted inside their hash partition and numbered: partition and place make up the (even)
+    name. A key with over one in ``share`` of all occurrences is hot; there are at most ``share`` of them, so their names
+    are broadcast, as odd numbers of their own. All other occurrences meet their names where these were made. Hot and other
+    names both read the counts, so one shuffle of the keys serves all.
     """
-    names = occurrences.select("_h", *keys).distinct().sortWithinPartitions("_h", *keys).withColumn(
-        "_name", F.monotonically_increasing_id() * 2)
-    counts = occurrences.groupBy("_h").agg(F.count("*").alias("_rows"))
-    piece = F.greatest(F.ceil(counts.agg(F.sum("_rows")).scalar() / share), F.lit(200))
-    hot = F.broadcast(counts.where(F.col("_rows") > piece).select("_h"))
-    hot_names = F.broadcast(names.join(hot, "_h", "left_semi").withColumn("_hot", F.col("_name") + 1).drop("_name"))
+    names = occurrences.groupBy("_h", *keys).agg(F.count("*").alias("_rows")).sortWithinPartitions(
+        "_h", *keys).withColumn("_name", F.monotonically_increasing_id() * 2)
+    piece = F.greatest(F.ceil(names.agg(F.sum("_rows")).scalar() / share), F.lit(200))
+    hot_names = F.broadcast(names.where(F.col("_rows") > piece).select("_h", *keys, (F.col("_name") + 1).alias("_hot")))
+    names = names.where(F.col("_rows") <= piece).drop("_rows")
     known = occurrences.join(hot_names, ["_h", *keys], "left")
     done = F.col("_hot").isNotNull()
     # Named rows only pass through the join: dealt evenly and without their text.
@@ -54,15 +54,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal if identical after lower-casing A-Z; null counts as empty, and all empty texts are equal. The row
     with the largest id stays. Rows with the same id and text are copies of each other: one of them stays. Null ids
     come after all others, so such a row stays only in a group without any id. An empty table gives no rows. Other
-    columns of ``docs`` are not read.
+    columns of ``docs`` are not read. ``block_chars`` counts UTF-8 bytes, so a letter may lie in two blocks.
     """
     base = docs.select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"))
-    # Cut by a pattern: linear in the text, unlike one substring per block.
-    cut = F.regexp_extract_all("_norm", F.lit(rf"(?s).{{1,{int(block_chars)}}}"), F.lit(0))
-    cut = F.when(F.col("_norm") == "", F.array(F.lit(""))).otherwise(cut)
+    # Cut as bytes: a place in them is found at once, one in characters only by counting from the start.
+    size, raw = int(block_chars), F.col("_norm").cast("binary")
+    last = F.greatest(F.ceil(F.octet_length("_norm") / size).cast("int") - 1, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
     blocks = base.select("_id", F.sha2("_norm", 256).alias("_sha"), cut.alias("_cut"))
     occurrences = blocks.select("_id", "_sha", F.size("_cut").alias("_blocks"), F.lit(1).cast("bigint").alias("_copies"),
-                                F.posexplode("_cut").alias("_at", "_block")).withColumn("_h", F.xxhash64("_block"))
+                                F.posexplode_outer("_cut").alias("_at", "_block")).withColumn("_h", F.xxhash64("_block"))
     level = _renamed(occurrences, ["_block"])
     finished = []
     while True:
@@ -74,7 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.sequence(F.lit(0), F.floor((F.size("_names") - 1) / 2).cast("int")),
             lambda i: F.struct(F.get("_names", i * 2).alias("_left"),
                                F.coalesce(F.get("_names", i * 2 + 1), F.lit(_ODD)).alias("_right")))
-        paired = level.select("_id", "_sha", "_blocks", "_copies", F.posexplode(pairs).alias("_at", "_pair")).select(
+        paired = level.select("_id", "_sha", "_blocks", "_copies", F.posexplode_outer(pairs).alias("_at", "_pair")).select(
             "_id", "_sha", "_blocks", "_copies", "_at", "_pair._left", "_pair._right")
         level = _renamed(paired.withColumn("_h", F.xxhash64("_left", "_right")), ["_left", "_right"])
     named = finished[0]

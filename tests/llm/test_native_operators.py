@@ -9,6 +9,7 @@ import xxhash
 from odd_tables import ROWS, rows_of
 from skillgrid.llm import exact_dedup, line_dedup
 from skillgrid.llm.sharding import ShardTree, shard_documents
+from skillgrid.session import stored
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -51,6 +52,26 @@ def test_exact_groups_with_a_hot_text(spark):
     assert got == brute_groups(rows)
 
 
+def test_blocks_may_cut_letters(spark):
+    texts = ["é" * 9, "é" * 8 + "è", "日本語" * 5, "aÉb" * 7, "Aéb" * 7, "aÉB" * 7, "x" * 10, "é" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (1, 5, 4096):
+        assert rows_of(exact_dedup.exact_groups(docs, block_chars=block)) == brute_groups(list(enumerate(texts)))
+
+
+def test_no_filter_of_the_scan_lower_cases_texts(spark, odd_docs, monkeypatch):
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(exact_dedup, "stored", noted)
+    exact_dedup.exact_groups(odd_docs)
+    lowered = [line for line in plans[0].splitlines() if "translate(" in line]
+    assert lowered and not any("Filter" in line for line in lowered)
+
+
 def test_exact_on_empty_and_clashing_tables(no_docs, clashing_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
     assert rows_of(exact_dedup.exact_groups(clashing_docs)) == brute_groups(ROWS)

@@ -1,15 +1,14 @@
 """Demand kept up to date by signed changes: minus what the replaced postings counted, plus what the new ones do.
 
 Rollup, cube and segments are sums over postings, so a change of a few postings is a small rollup of its own, which is
-added. A segment takes its change into its ranked list inside its own row; segments without a change stay as they are.
+added. A segment's ranked list and its change meet in one worker and are summed there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from skillgrid.functions.binding import bind
-from skillgrid.operators.demand import SEGMENT, demand_cube, demand_rollup
+from skillgrid.operators.demand import cube_segments, demand_rollup
 
 ROLLUP = ["role_norm", "company_norm", "location_norm", "skill"]
 
@@ -30,26 +29,6 @@ def added(rollup: DataFrame, change: DataFrame) -> DataFrame:
         "demand_count <> 0").select(*rollup.columns)
 
 
-def _with_change(demand: Column, change: Column) -> Column:
-    """A ranked list of (demand_count, skill) with signed counts added; both lists have a skill at most once."""
-    kept = F.transform(demand, lambda d: bind(F.filter(change, lambda c: c["skill"] == d["skill"]), lambda c: F.struct(
-        (d["demand_count"] + F.coalesce(F.get(c, F.lit(0))["demand_count"], F.lit(0))).alias("demand_count"),
-        d["skill"].alias("skill"))))
-    new = F.filter(change, lambda c: ~F.exists(demand, lambda d: d["skill"] == c["skill"]))
-    counted = F.filter(F.concat(kept, new), lambda d: d["demand_count"] != 0)
-    ranked = F.sort_array(F.transform(counted, lambda d: F.struct((-d["demand_count"]).alias("minus"), d["skill"])))
-    return F.transform(ranked, lambda e: F.struct((-e["minus"]).alias("demand_count"), e["skill"].alias("skill")))
-
-
 def changed_segments(segments: DataFrame, change: DataFrame) -> DataFrame:
-    """Segments with a change of the rollup: its cube, one row per segment, joined and added in the segment's row."""
-    entry = F.struct("demand_count", "skill")
-    # At most one entry per skill in each segment.
-    cube = demand_cube(change).where("demand_count <> 0").repartition(*SEGMENT).groupBy(*SEGMENT).agg(
-        F.collect_list(entry).alias("_change"))
-    both = segments.join(cube, SEGMENT, "full_outer")
-    empty = F.array().cast(segments.schema["demand"].dataType)
-    demand = F.when(F.col("_change").isNull(), F.col("demand")).otherwise(
-        bind(F.struct(F.coalesce("demand", empty).alias("d"), F.coalesce("_change", empty).alias("c")),
-             lambda s: _with_change(s["d"], s["c"])))
-    return both.select(*SEGMENT, demand.alias("demand")).where(F.size("demand") > 0)
+    """Segments with a change of the rollup: what its cube counts is added to their lists; empty segments go."""
+    return cube_segments(change, onto=segments)

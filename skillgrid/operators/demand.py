@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgrid.functions.skills import BASELINE_DEMAND
 from skillgrid.functions.text import filter_key, segment_key
+from skillgrid.operators.segment_lists import DEMAND as DEMAND_ARRAY, WITH_COMPANY, summed_segments
 from skillgrid.operators.unnest import unnest, unnest_structs
 
 ROLE, COMPANY, LOCATION = 4, 2, 1
 SEGMENT = ["kept", "role_key", "company_key", "location_key"]
-DEMAND_ARRAY = "array<struct<demand_count:bigint,skill:string>>"
 
 # Labels of the steps tried in turn, most specific first.
 LABELS = [
@@ -63,6 +63,14 @@ def _cube_sets(demand: DataFrame, masks: tuple[int, ...]) -> DataFrame:
     )
 
 
+def _open_company(demand: DataFrame) -> DataFrame:
+    """The cube's combinations with an open company, from a rollup without companies."""
+    coarse = demand.groupBy("role_norm", "location_norm", "skill").agg(
+        F.sum("demand_count").alias("demand_count"))
+    coarse = coarse.withColumn("company_norm", F.lit(None).cast("string"))
+    return _cube_sets(coarse, tuple(m for m in range(8) if not m & COMPANY))
+
+
 def demand_cube(demand: DataFrame) -> DataFrame:
     """Demand per skill for every combination of fixed and open keys; a fixed key is never null.
 
@@ -70,15 +78,11 @@ def demand_cube(demand: DataFrame) -> DataFrame:
     all tasks first: each becomes four, hardly any of them fall together before the shuffle, and a task of a whole file
     split would hold more groups than fit into memory.
     """
-    coarse = demand.groupBy("role_norm", "location_norm", "skill").agg(
-        F.sum("demand_count").alias("demand_count"))
-    coarse = coarse.withColumn("company_norm", F.lit(None).cast("string"))
     # The count is given, so adaptive execution does not merge small partitions again.
     parts = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fine = demand.where(F.col("company_norm").isNotNull()).repartition(
         parts, "role_norm", "company_norm", "location_norm", "skill")
-    open_company = tuple(m for m in range(8) if not m & COMPANY)
-    return _cube_sets(fine, tuple(m for m in range(8) if m & COMPANY)).unionByName(_cube_sets(coarse, open_company))
+    return _cube_sets(fine, tuple(m for m in range(8) if m & COMPANY)).unionByName(_open_company(demand))
 
 
 def demand_segments(cube: DataFrame) -> DataFrame:
@@ -94,6 +98,26 @@ def demand_segments(cube: DataFrame) -> DataFrame:
         .alias("demand"))
 
 
+def _segment_rows(demand: DataFrame) -> DataFrame:
+    """The rows of a rollup, signed ones as well, as ``summed_segments`` takes them."""
+    keys = [F.col(f"{k}_norm").alias(f"{k}_key") for k in ("role", "company", "location")]
+    fine = demand.where(F.col("company_norm").isNotNull()).select(
+        F.lit(WITH_COMPANY).alias("kept"), *keys, "skill", "demand_count")
+    return fine.unionByName(_open_company(demand)).withColumn("demand", F.lit(None).cast(DEMAND_ARRAY))
+
+
+def cube_segments(demand: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """``demand_segments(demand_cube(demand))`` in one step, added to the segments ``onto`` if given.
+
+    A rollup's rows are not expanded to the cube before the shuffle. Open-company combinations are summed on the map side.
+    """
+    rows = _segment_rows(demand)
+    if onto is not None:
+        rows = onto.select(*SEGMENT, F.lit(None).cast("string").alias("skill"),
+                           F.lit(None).cast("bigint").alias("demand_count"), "demand").unionByName(rows)
+    return summed_segments(rows)
+
+
 def segment_demand(demand: DataFrame, role: str | None = None, company: str | None = None,
                    region: str | None = None, top_n: int = 20) -> DataFrame:
     """Most demanded skills of one segment; filters left out are open."""

@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from skillgrid.operators.dedupe import latest_postings, merge_newest, replaced_postings, union_all
 from skillgrid.operators.deltas import added, changed_segments, signed_rollup
-from skillgrid.operators.demand import demand_cube, demand_rollup, demand_segments
+from skillgrid.operators.demand import cube_segments, demand_rollup
 from skillgrid.session import stored
 from skillgrid.sources.layout import clustered, typed_postings
 
@@ -154,7 +154,7 @@ class MarketStore:
         if not self.exists("job_postings"):
             return
         self._swap_in(demand_rollup(self.table("job_postings")), "skill_demand")
-        self._swap_in(demand_segments(demand_cube(self.table("skill_demand"))), "demand_segments")
+        self._swap_in(cube_segments(self.table("skill_demand")), "demand_segments")
 
     def export_snapshots(self) -> None:
         if self.snapshot_root is None:

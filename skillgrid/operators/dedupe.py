@@ -88,3 +88,12 @@ def merge_newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 def replaced_postings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """_old and _new of the postings that a merge changes: _old is null for those that are added."""
     return _paired(stored, incoming, "right").where("_take_new").select("_old", "_new")
+
+
+def with_replaced(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``merge_newest`` for the ``_new`` side of ``replaced_postings``: one row per key, known to be the one to keep."""
+    columns = stored.columns
+    old = stored.select("job_uid", F.struct(*columns).alias("_old"))
+    pair = old.join(new.select("job_uid", F.struct(*columns).alias("_new")), "job_uid", "full_outer")
+    return pair.select(F.coalesce("_new", "_old").alias("_row")).select(
+        *[F.col(f"_row.{c}").alias(c) for c in columns])

@@ -20,7 +20,7 @@ COMPANY_MASKS = (2, 3, 6, 7)
 KEYS = ("role_key", "company_key", "location_key")
 DEMAND = "array<struct<demand_count:bigint,skill:string>>"
 BLOCK = 250_000
-# Every block ends with a whole number of hashes and is sent back in pieces of this many segments.
+# Segments sent back at once.
 PIECE = 10_000
 
 
@@ -106,24 +106,29 @@ def _block_lists(block: pa.Table) -> pa.Table:
         pa.array(np.append(heads, len(sums)), pa.int32()), demand)})
 
 
-def _lists(batches):
-    """Blocks of whole hashes from batches in the order of hashes."""
-    waiting, weight, limit = [], 0, BLOCK
+def hash_blocks(batches, size: int, weigh):
+    """Tables of about ``size`` by ``weigh`` from batches in the order of ``_deal``; no value of it is cut in two."""
+    waiting, weight, limit = [], 0, size
     for batch in batches:
         waiting.append(batch)
-        weight += batch.num_rows + len(batch.column("demand").flatten())
+        weight += weigh(batch)
         if weight >= limit:
             block = pa.Table.from_batches(waiting)
             deal = block["_deal"].to_numpy()
             whole = int(np.searchsorted(deal, deal[-1]))
             if whole:
-                yield from _block_lists(block.slice(0, whole)).to_batches(max_chunksize=PIECE)
-                waiting, limit = block.slice(whole).combine_chunks().to_batches(), BLOCK
-                weight = sum(b.num_rows + len(b.column("demand").flatten()) for b in waiting)
+                yield block.slice(0, whole)
+                waiting = block.slice(whole).combine_chunks().to_batches()
+                weight = sum(map(weigh, waiting))
             # A hash with more rows than a block goes on growing.
-            limit = max(BLOCK, 2 * weight)
+            limit = max(size, 2 * weight)
     if waiting:
-        yield from _block_lists(pa.Table.from_batches(waiting)).to_batches(max_chunksize=PIECE)
+        yield pa.Table.from_batches(waiting)
+
+
+def _lists(batches):
+    for block in hash_blocks(batches, BLOCK, lambda batch: batch.num_rows + len(batch.column("demand").flatten())):
+        yield from _block_lists(block).to_batches(max_chunksize=PIECE)
 
 
 def summed_segments(rows: DataFrame) -> DataFrame:

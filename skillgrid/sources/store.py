@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from skillgrid.operators.dedupe import latest_postings, merge_newest, replaced_postings, union_all
+from skillgrid.operators.dedupe import latest_postings, merge_newest, replaced_postings, union_all, with_replaced
 from skillgrid.operators.deltas import added, changed_segments, signed_rollup
 from skillgrid.operators.demand import cube_segments, demand_rollup
 from skillgrid.session import stored
@@ -110,7 +110,7 @@ class MarketStore:
         rollup = stored(signed_rollup(changes), "demand_change")
         new = changes.select("_new.*")
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(PENDING)} (batch string) USING parquet")
-        self._swap_in(merge_newest(self.table("job_postings"), new), "job_postings", bucket_by="job_uid")
+        self._swap_in(with_replaced(self.table("job_postings"), new), "job_postings", bucket_by="job_uid")
         self._swap_in(added(self.table("skill_demand"), rollup), "skill_demand")
         self._swap_in(changed_segments(self.table("demand_segments"), rollup), "demand_segments")
         if self.by_month:

@@ -103,7 +103,7 @@ def _segment_rows(demand: DataFrame) -> DataFrame:
     keys = [F.col(f"{k}_norm").alias(f"{k}_key") for k in ("role", "company", "location")]
     fine = demand.where(F.col("company_norm").isNotNull()).select(
         F.lit(WITH_COMPANY).alias("kept"), *keys, "skill", "demand_count")
-    return fine.unionByName(_open_company(demand)).withColumn("demand", F.lit(None).cast(DEMAND_ARRAY))
+    return fine.unionByName(_open_company(demand)).withColumn("demand", F.array().cast(DEMAND_ARRAY))
 
 
 def cube_segments(demand: DataFrame, onto: DataFrame | None = None) -> DataFrame:

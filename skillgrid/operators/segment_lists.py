@@ -19,7 +19,7 @@ WITH_COMPANY = -1
 COMPANY_MASKS = (2, 3, 6, 7)
 KEYS = ("role_key", "company_key", "location_key")
 DEMAND = "array<struct<demand_count:bigint,skill:string>>"
-BLOCK = 250_000
+BLOCK = 60_000
 # Segments sent back at once.
 PIECE = 10_000
 
@@ -52,7 +52,7 @@ def _block_lists(block: pa.Table) -> pa.Table:
     column = {name: block[name].combine_chunks() for name in ("kept", *KEYS, "skill", "demand_count", "demand")}
     kept = column["kept"].to_numpy().astype(np.int64)
     coded = [_coded(column[k]) for k in KEYS]
-    listed = column["demand"].is_valid().to_numpy(zero_copy_only=False)
+    listed = column["demand_count"].is_null().to_numpy(zero_copy_only=False)
     stored, plain = np.flatnonzero(listed), np.flatnonzero(~listed)
     entries = column["demand"].flatten()
 
@@ -134,8 +134,9 @@ def _lists(batches):
 def summed_segments(rows: DataFrame) -> DataFrame:
     """One row per segment with its ranked demand.
 
-    ``rows`` has kept, the three keys, and either skill and demand_count (which may be negative) or demand, a list of a
-    segment. Rows with ``kept`` of WITH_COMPANY count in all combinations of their keys with the company; keys that are
+    ``rows`` has kept, the three keys, and either skill and demand_count (which may be negative) or, where demand_count is
+    null, demand, a list of a segment. Otherwise demand is empty, not null: the size of a batch is asked for each row, and
+    Arrow walks back over all null lists before it. Rows with ``kept`` of WITH_COMPANY count in all combinations of their keys with the company; keys that are
     null are never fixed. Entries of zero and segments without entries drop out.
     """
     ship_package(rows.sparkSession)

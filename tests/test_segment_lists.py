@@ -2,12 +2,13 @@
 
 import random
 import time
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skillgrid.operators import demand as D, segment_lists as L
-from skillgrid.operators.deltas import added, changed_segments
+from skillgrid.operators.deltas import added, changed_segments, signed_rollup
 
 ROLLUP = "role_norm string, company_norm string, location_norm string, skill string, demand_count bigint"
 
@@ -68,7 +69,7 @@ def test_blocks_of_any_size_give_the_same_segments(monkeypatch):
         for _ in range(rng.randint(1, 12)):
             keys = [rng.choice(["", "web", None]), f"c{deal}", rng.choice(["", "rome", None])]
             if rng.random() < 0.5:
-                given.append((deal, L.WITH_COMPANY, *keys, rng.choice(names), rng.choice([-1, 1, 2]), None))
+                given.append((deal, L.WITH_COMPANY, *keys, rng.choice(names), rng.choice([-1, 1, 2]), []))
             else:
                 some = rng.sample(names, 2)
                 given.append((deal, 7, *[k or "" for k in keys], None, None, [
@@ -85,3 +86,27 @@ def test_blocks_of_any_size_give_the_same_segments(monkeypatch):
         return sorted(map(repr, done))
 
     assert run(1, 1) == run(7, 3) == run(50, 16) == run(10**6, 10**6)
+
+
+def test_a_change_is_counted_in_one_pass_over_what_differs(spark):
+    """One sum, not three; lists with a skill twice, without skills or without a former posting count in full."""
+    posting = "struct<role:string,company:string,location:string,skills:array<string>>"
+    rng = random.Random(11)
+
+    def side():
+        if rng.random() < 0.2:
+            return None
+        return (rng.choice(["Web", " web", None]), rng.choice(["A", None]), rng.choice(["Rome", " ROME "]),
+                rng.choice([None, [], rng.choices(["Git", "Go", None, "Sql"], k=rng.randint(1, 5))]))
+
+    given = [(side() or ("Web", "A", "Rome", ["Git"]), side()) for _ in range(300)]
+    change = signed_rollup(spark.createDataFrame(given, f"_new {posting}, _old {posting}"))
+    expected = Counter()
+    for pair in given:
+        for some, sign in zip(pair, (1, -1)):
+            role, company, location, skills = some or (None, None, None, None)
+            for skill in skills or []:
+                expected[(role and role.strip().lower(), company and company.lower(), location.strip().lower(), skill)] += sign
+    assert {tuple(r)[:4]: r.demand_count for r in change.collect()} == {k: n for k, n in expected.items() if n}
+    plan = change._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1

@@ -1,6 +1,7 @@
 """SQL that each corpus query must equal, where SQL can express it."""
 
 LLM_ORACLES: dict[str, str] = {}
+PART_ORACLES: dict[str, str] = {}
 
 LLM_ORACLES["op1_exact_dedup"] = """
 WITH d AS (
@@ -11,7 +12,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 # Resharing ends where target = min(3 * size, level * weight); the level is found by capping the sources one by one.
-LLM_ORACLES["mixing_targets"] = """
+PART_ORACLES["mixing_targets"] = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (
@@ -29,7 +30,7 @@ SELECT d.doc_id, d.size, r.source_size, round(least(3.0::DOUBLE * r.source_size,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN l ON true
 """
 
-LLM_ORACLES["license_words"] = """
+PART_ORACLES["license_words"] = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),

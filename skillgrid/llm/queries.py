@@ -17,6 +17,8 @@ PACKED_END_ID = 1
 WORD_BITS = 16  # ids of the word tokenizer are below 49,408
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Parts of operators that SQL can state where the whole has none.
+PART_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,7 +34,7 @@ def query(fn):
         ship_package(spark)
         return fn(spark, sf_dir)
 
-    LLM_QUERIES[fn.__name__] = run
+    (LLM_QUERIES if fn.__name__.startswith("op") else PART_QUERIES)[fn.__name__] = run
     return run
 
 
